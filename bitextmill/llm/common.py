@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -74,7 +75,7 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 256, chars: int = 4_00
         if not batch.num_rows:
             continue
         k = batch.schema.get_field_index("text")
-        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(k)), 0).to_pylist() if k >= 0 else [0] * batch.num_rows
+        sizes = pc.fill_null(pc.binary_length(batch.column(k)), 0).to_pylist() if k >= 0 else [0] * batch.num_rows
         start, total = 0, 0
         for i, n in enumerate(sizes):
             if i > start and (i - start >= rows or total + n > chars):
