@@ -11,9 +11,7 @@ occur. Columns other than doc_id and text are ignored, whatever their names.
 
 from __future__ import annotations
 
-import re
 import zlib
-from array import array
 
 import numpy as np
 import pandas as pd
@@ -24,61 +22,55 @@ from pyspark.sql import functions as F
 from .common import bucket_count, ranked, slices, staged
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Byte-level pre-tokenisation always has a boundary before a space that a non-space follows.
-_BOUNDARY = re.compile(r"(?= \S)")
+#: The split of text that byte-level vocabularies of this family are made with: a fixed value.
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-class ChunkEncoder:
-    """Ids of texts by a tokenizer file, through a bounded memory of chunks seen (chunks are pre-token aligned)."""
+def _byte_of() -> dict[str, int]:
+    """The printable character that a byte-level vocabulary file writes for each byte."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
-    def __init__(self, path: str, end_id: int = 0, memory_bytes: int = 48_000_000):
+
+class Encoder:
+    """Ids of whole texts by a byte-level tokenizer file.
+
+    The vocabulary and its merge ranks (ids are in merge order) are read from the file and run by the faster of the two
+    libraries that know this kind; texts that hold a special token's string, and files that are not byte-level BPE in
+    merge order, go through ``tokenizers`` itself. Both give the same ids.
+    """
+
+    def __init__(self, path: str, end_id: int = 0):
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end_id, self.memory_bytes = Tokenizer.from_file(path), end_id, memory_bytes
-        self._clear()
-
-    def _clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ends, self.flat, self.held = array("q", [0, 1]), array("I", [self.end_id]), 0
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """uint32 ids of each text, the end id last."""
-        if self.held > self.memory_bytes:
-            self._clear()
-        known, new, rows = self.known, [], []
-        for text in texts:
-            row = []
-            for chunk in _BOUNDARY.split(text) if text else ():
-                k = known.get(chunk)
-                if k is None:
-                    k = known[chunk] = len(known) + 1
-                    new.append(chunk)
-                row.append(k)
-            row.append(0)
-            rows.append(row)
-        for i in range(0, len(new), 4096):
-            for got in self.tokenizer.encode_batch(new[i : i + 4096], add_special_tokens=False):
-                self.flat.extend(got.ids)
-                self.ends.append(len(self.flat))
-        self.held += sum(map(len, new)) + 120 * len(new)
-        ends, flat = np.frombuffer(self.ends, np.int64), np.frombuffer(self.flat, np.uint32)
-        out = []
-        for row in rows:
-            at = np.asarray(row)
-            first, size = ends[at], ends[at + 1] - ends[at]
-            last = np.cumsum(size)
-            out.append(flat[np.arange(last[-1]) + np.repeat(first - last + size, size)])
-        return out
+        self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        byte = _byte_of()
+        ranks = {bytes(map(byte.__getitem__, t)): i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t not in self.special}
+        self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str | None) -> np.ndarray:
+        """uint32 ids, the end id last."""
+        if not text:
+            return np.array([self.end_id], np.uint32)
+        if any(s in text for s in self.special):
+            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        else:
+            ids = self.fast.encode_to_numpy(text, disallowed_special=())
+        return np.append(ids, np.uint32(self.end_id)).astype(np.uint32, copy=False)
 
 
 def tokenised(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32. Longer documents are cut; the first piece takes the rest."""
 
     def run(batches):
-        encoder = ChunkEncoder(tokenizer_path, end_id)
+        encoder = Encoder(tokenizer_path, end_id)
         for batch in slices(batches):
             cols: list[list] = [[], [], [], [], []]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode([t or "" for t in batch.column(1).to_pylist()])):
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ids = encoder.encode(text.as_py())
                 n, start, k = len(ids), 0, 0
                 stop = n - (-(-n // capacity) - 1) * capacity
                 while start < n:
