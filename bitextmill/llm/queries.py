@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, pii, quality_rules, sharding
+from . import near_dedup, packing, pii, quality_rules, sharding
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -18,6 +18,10 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.link(table(spark, sf_dir, "documents"), per_cent=85)
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=40)
 
@@ -35,6 +39,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_near_dedup": op4_near_dedup,
     "op5_sharding": op5_sharding,
     "op6_packing": op6_packing,
     "op7_quality_rules": op7_quality_rules,
