@@ -6,9 +6,10 @@
 2. Registers are banded. Classes that agree on a band share a bucket; buckets of one class are dropped. A large bucket
    is cut into blocks of about BLOCK classes, and blocks are compared with each other, so no bucket is one task.
 3. In a pair of blocks the Jaccard similarity of two sketches is estimated by maximum likelihood from the registers
-   that are greater, equal and less, given the set sizes. Round one emits a maximum spanning forest of the pairs whose
-   estimate is within a margin of the threshold; these links are verified on full sets. Round two emits every such pair
-   that the verified links leave in different components, once (in the first band the two share), and verifies those.
+   that are greater, equal and less, given the set sizes. A pair is taken in the first band that its two share. Round
+   one emits a spanning forest of each block's pairs whose estimate is within a margin of the threshold, likeliest
+   first; these links are verified on full sets. Round two emits every such pair that the verified links leave in
+   different components, and verifies those.
    A component is thus missed only if a linked pair shares no band (2e-7 at the threshold) or is estimated over four
    standard deviations too low; no bucket, partner or candidate is capped.
 4. Components come from contracting the verified links, and every document gets its class's component.
@@ -25,7 +26,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, staged
@@ -67,22 +68,17 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
     return registers(minima).T
 
 
-_GRID = np.concatenate([np.arange(0.5, 0.7, 0.02), np.arange(0.7, 1.0001, 0.005)])
+def likelihood(j: float | np.ndarray, less: np.ndarray, equal: np.ndarray, greater: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Log-likelihood of Jaccard similarity ``j`` for sketches whose registers compare so; u and v: shares of the set sizes."""
+    p = lambda x: -np.log1p(-np.clip(x, 1e-12, 1) * (BASE - 1) / BASE) / math.log(BASE)
+    up, down = p(u - v * j), p(v - u * j)
+    return greater * np.log(up) + less * np.log(down) + equal * np.log(np.maximum(1 - up - down, 1e-12))
 
 
-def estimated(less: np.ndarray, equal: np.ndarray, greater: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Jaccard similarities of most likelihood on a grid from 0.5, given how many registers of the first are less, equal
-    and greater than those of the second and the set sizes n and m."""
+def at_least(cut: float, less: np.ndarray, equal: np.ndarray, greater: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether the estimate of most likelihood is ``cut`` or more: the likelihood is concave, so it rises at ``cut``."""
     u, v = n / (n + m), m / (n + m)
-    best, found = np.full(len(less), -np.inf), np.full(len(less), _GRID[0])
-    p = lambda x: -np.log1p(-np.clip(x, 1e-12, 1) * (BASE - 1) / BASE) / math.log(BASE)
-    for j in _GRID:
-        ok = (j <= u / v + 1e-9) & (j <= v / u + 1e-9)
-        up, down = p(u - v * j), p(v - u * j)
-        like = greater * np.log(np.maximum(up, 1e-12)) + less * np.log(np.maximum(down, 1e-12)) + equal * np.log(np.maximum(1 - up - down, 1e-12))
-        better = ok & (like > best)
-        best[better], found[better] = like[better], j
-    return found
+    return likelihood(cut + 1e-3, less, equal, greater, u, v) >= likelihood(cut, less, equal, greater, u, v)
 
 
 def _forest(a: np.ndarray, b: np.ndarray, order: np.ndarray, labels: np.ndarray) -> list[int]:
@@ -112,30 +108,30 @@ def compared(first: dict, second: dict | None, band: int, threshold: float, ever
     n = np.array(both["n"], np.float64)
     labels = np.unique(np.array(both["label"], dtype=object), return_inverse=True)[1]
     bands = sketch.reshape(size, BANDS, ROWS)
-    out_a, out_b, out_e = [], [], []
+    out_a, out_b, out_equal, out_greater = [], [], [], []
     for i in range(size if second is None else cut):
         js = np.arange(i + 1, size) if second is None else np.arange(cut, size)
         js = js[(labels[js] != labels[i]) & (n[js] >= threshold * n[i]) & (n[i] >= threshold * n[js])]
-        if len(js):
-            equal = (sketch[js] == sketch[i]).sum(1)
-            near = equal >= (threshold - MARGIN - 0.1) * REGISTERS
-            js, equal = js[near], equal[near]
         if not len(js):
             continue
-        if every:
-            shared = (bands[js] == bands[i]).all(2).argmax(1) == band
-            js, equal = js[shared], equal[shared]
-        greater = (sketch[i] > sketch[js]).sum(1)
-        estimate = estimated(REGISTERS - equal - greater, equal, greater, np.full(len(js), n[i]), n[js])
-        good = estimate >= threshold - MARGIN
-        out_a.append(np.full(int(good.sum()), i))
-        out_b.append(js[good])
-        out_e.append(estimate[good])
+        equal = (sketch[js] == sketch[i]).sum(1)
+        near = equal >= (threshold - MARGIN - 0.1) * REGISTERS
+        js, equal = js[near], equal[near]
+        # each pair is taken in the first band that the two share
+        shared = (bands[js] == bands[i]).all(2).argmax(1) == band
+        js, equal = js[shared], equal[shared]
+        if len(js):
+            out_a.append(np.full(len(js), i))
+            out_b.append(js)
+            out_equal.append(equal)
+            out_greater.append((sketch[i] > sketch[js]).sum(1))
     if not out_a:
         return []
-    a, b, e = map(np.concatenate, (out_a, out_b, out_e))
+    a, b, equal, greater = map(np.concatenate, (out_a, out_b, out_equal, out_greater))
+    good = at_least(threshold - MARGIN, REGISTERS - equal - greater, equal, greater, n[a], n[b])
+    a, b, equal = a[good], b[good], equal[good]
     ids = both["id"]
-    kept = range(len(a)) if every else _forest(a, b, np.lexsort((b, a, -e)), labels)
+    kept = range(len(a)) if every else _forest(a, b, np.lexsort((b, a, -equal)), labels)
     return [(min(ids[a[k]], ids[b[k]]), max(ids[a[k]], ids[b[k]])) for k in kept]
 
 
@@ -299,10 +295,6 @@ def _with_components(rows: DataFrame, classes: DataFrame, labels: DataFrame) ->
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id").eqNullSafe(component), F.lit(False)).alias("kept"))
 
 
-def _occurrences(rows: DataFrame, key: Column | str) -> DataFrame:
-    return rows.groupBy(key).count().where("count > 1")
-
-
 def drop_near_duplicates(docs: DataFrame, per_cent: int = 85) -> DataFrame:
     """``docs`` with one row of each component: the one with the least id (of rows that repeat it, one)."""
     found = staged(link(docs, per_cent), "linked")
