@@ -4,18 +4,16 @@
    copies is one row from here on. The class's SetSketch holds REGISTERS values floor(1 - log_b(min)) of exponentially
    distributed hash minima, truncated to 16 bits; registers of a union are the maxima of the registers.
 2. Registers are banded. Classes that agree on a band share a bucket; buckets of one class are dropped. A large bucket
-   is cut into blocks of about BLOCK classes, and blocks are compared with each other, so no bucket is one task.
+   is cut into blocks of about BLOCK classes, and blocks are compared with each other, so no bucket is one task. The
+   full sets of the classes that are left come again from the texts, which a fixed-size bitmap of their ids selects.
 3. In a pair of blocks the Jaccard similarity of two sketches is estimated by maximum likelihood from the registers
-   that are greater, equal and less, given the set sizes. A pair is taken in the first band that its two share. Round
-   one emits a spanning forest of each block's pairs whose estimate is within a margin of the threshold, likeliest
-   first; these links are verified on full sets. Round two emits every such pair that the verified links leave in
-   different components, and verifies those.
-   A component is thus missed only if a linked pair shares no band (2e-7 at the threshold) or is estimated over four
-   standard deviations too low; no bucket, partner or candidate is capped.
+   that are greater, equal and less, given the set sizes. A pair is taken in the first band that its two share. Pairs
+   whose estimate is within a margin of the threshold are verified on full sets, likeliest first, unless verified links
+   of the block connect them already; verified links leave the task, candidates never do. A component is thus missed
+   only if a linked pair shares no band (2e-7 at the threshold) or is estimated over four standard deviations too low;
+   no bucket, partner or candidate is capped.
 4. Components come from contracting the verified links, and every document gets its class's component.
 
-The full sets of the classes in question are made again from the texts, which a fixed-size bitmap of their ids selects.
-
 Nulls: a null or wordless text has an empty set and is linked with nothing. Null ids are never a component's smallest id
 unless it has no other. Repeated rows are copies. Empty tables give no rows; other columns are ignored.
 """
@@ -36,7 +34,7 @@ BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
 #: SetSketch parameters: base, rate, largest register value.
 BASE, RATE, TOP = 1.001, 20.0, 65_535
-BLOCK = 256
+BLOCK = 384
 #: Estimates this far under the threshold are still verified (over four standard deviations at 0.85).
 MARGIN = 0.13
 BITMAP_BITS = 1 << 26
@@ -81,37 +79,18 @@ def at_least(cut: float, less: np.ndarray, equal: np.ndarray, greater: np.ndarra
     return likelihood(cut + 1e-3, less, equal, greater, u, v) >= likelihood(cut, less, equal, greater, u, v)
 
 
-def _forest(a: np.ndarray, b: np.ndarray, order: np.ndarray, labels: np.ndarray) -> list[int]:
-    """Indices of the pairs, in ``order``, that join two components (of labels 0..)."""
-    parent = list(range(int(labels.max()) + 1))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    kept = []
-    for k in order.tolist():
-        x, y = root(int(labels[a[k]])), root(int(labels[b[k]]))
-        if x != y:
-            parent[x] = y
-            kept.append(k)
-    return kept
-
-
-def compared(first: dict, second: dict | None, band: int, threshold: float, every: bool) -> list[tuple[bytes, bytes]]:
-    """Pairs to verify between two blocks (or within one): all, or a forest of the likeliest."""
+def compared(first: dict, second: dict | None, band: int, per_cent: int) -> list[tuple[bytes, bytes]]:
+    """Verified links between two blocks (or within one) that connect all that their pairs of this band connect."""
+    threshold = per_cent / 100
     both = first if second is None else {k: first[k] + second[k] for k in first}
     cut, size = len(first["id"]), len(both["id"])
     sketch = np.frombuffer(b"".join(both["sketch"]), np.uint16).reshape(size, REGISTERS)
-    n = np.array(both["n"], np.float64)
-    labels = np.unique(np.array(both["label"], dtype=object), return_inverse=True)[1]
+    n = np.array([len(e) // 8 for e in both["elements"]], np.float64)
     bands = sketch.reshape(size, BANDS, ROWS)
     out_a, out_b, out_equal, out_greater = [], [], [], []
     for i in range(size if second is None else cut):
         js = np.arange(i + 1, size) if second is None else np.arange(cut, size)
-        js = js[(labels[js] != labels[i]) & (n[js] >= threshold * n[i]) & (n[i] >= threshold * n[js])]
+        js = js[(n[js] >= threshold * n[i]) & (n[i] >= threshold * n[js])]
         if not len(js):
             continue
         equal = (sketch[js] == sketch[i]).sum(1)
@@ -130,9 +109,26 @@ def compared(first: dict, second: dict | None, band: int, threshold: float, ever
     a, b, equal, greater = map(np.concatenate, (out_a, out_b, out_equal, out_greater))
     good = at_least(threshold - MARGIN, REGISTERS - equal - greater, equal, greater, n[a], n[b])
     a, b, equal = a[good], b[good], equal[good]
-    ids = both["id"]
-    kept = range(len(a)) if every else _forest(a, b, np.lexsort((b, a, -equal)), labels)
-    return [(min(ids[a[k]], ids[b[k]]), max(ids[a[k]], ids[b[k]])) for k in kept]
+    sets = [np.frombuffer(e, np.uint64) for e in both["elements"]]
+    parent = list(range(size))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    links = []
+    for k in np.lexsort((b, a, -equal)).tolist():
+        i, j = int(a[k]), int(b[k])
+        x, y = root(i), root(j)
+        if x == y:
+            continue
+        common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+        if 100 * common >= per_cent * (len(sets[i]) + len(sets[j]) - common):
+            parent[x] = y
+            links.append((both["id"][i], both["id"][j]))
+    return links
 
 
 def sketched(docs: DataFrame) -> DataFrame:
@@ -176,48 +172,20 @@ def _buckets(classes: DataFrame) -> DataFrame:
     return rows.join(counts, ["key", "band"]).select("key", "band", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), "id")
 
 
-def _candidates(buckets: DataFrame, members: DataFrame, threshold: float, every: bool) -> DataFrame:
-    """Distinct pairs (a, b), a < b, to verify. ``members``: id, n, sketch, label."""
-    rows = buckets.join(members, "id")
-    if every:
-        mixed_ = rows.groupBy("key", "band").agg((F.min("label") != F.max("label")).alias("open")).where("open").select("key", "band")
-        rows = rows.join(mixed_, ["key", "band"], "left_semi")
-    member = F.struct("id", "n", "sketch", "label")
-    blocks = rows.groupBy("key", "band", "blocks", "block").agg(F.collect_list(member).alias("members"))
-    # block i meets blocks i and above: a row for each pair of blocks, both ends carrying their members
-    ends = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    ends = ends.select("key", "band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "members")
-    pairs = ends.groupBy("key", "band", "lo", "hi").agg(F.sort_array(F.collect_list(F.struct("block", "members"))).alias("sides"))
-    pairs = pairs.where((F.size("sides") == 2) | (F.col("lo") == F.col("hi"))).select("band", (F.col("lo") == F.col("hi")).alias("own"), "sides.members")
-
-    def run(batches):
-        for batch in batches:
-            pairs: set[tuple[bytes, bytes]] = set()
-            for r in range(batch.num_rows):
-                sides = [{k: [m[k] for m in side] for k in ("id", "n", "sketch", "label")} for side in batch.column(2)[r].as_py()]
-                pairs.update(compared(sides[0], None if batch.column(1)[r].as_py() else sides[1], batch.column(0)[r].as_py(), threshold, every))
-            ordered = sorted(pairs)
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in ordered], pa.binary()) for k in (0, 1)], ["a", "b"])
-
-    return pairs.mapInArrow(run, "a binary, b binary").distinct()
-
-
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, per_cent: int) -> DataFrame:
-    """The pairs whose full sets satisfy 100 * intersection >= per_cent * union."""
-    spark = docs.sparkSession
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = classes.join(ends, "id", "left_semi").select(F.pmod(F.xxhash64(F.col("first")), F.lit(BITMAP_BITS)).alias("bit"))
+def _sets(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """(id, elements): full sets of the classes ``members`` (id, first), made again from the texts."""
+    wanted = members.select(F.pmod(F.xxhash64("first"), F.lit(BITMAP_BITS)).alias("bit"))
     maps = wanted.groupBy(F.bitmap_bucket_number("bit").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
     bitmap = np.zeros(BITMAP_BITS // 8 + 4096, np.uint8)  # a fixed size: 8 MB
     for k, bits in maps.toLocalIterator():
         bitmap[(k - 1) * 4096 : k * 4096] = np.frombuffer(bits, np.uint8)
-    shared = spark.sparkContext.broadcast(bitmap)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches):
         bitmap, hasher = shared.value, WordHasher()
         for batch in slices(batches):
             bit = batch.column(0).to_numpy(zero_copy_only=False)
-            # bitmap_bucket_number(p) is p // 32768 + 1 and bitmap_bit_position(p) is p % 32768 for p >= 0, less one if p > 0
+            # Spark's bitmap buckets count positive values from 1 and have 0 in the first bucket's first place
             at = np.where(bit > 0, bit - 1, 0)
             hit = np.flatnonzero(bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1)
             sets = [shingle_set(hasher.of(batch.column(1)[int(i)].as_py())) for i in hit]
@@ -225,21 +193,31 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, per_cent: i
             yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "elements"])
 
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_BITS)).alias("bit")
-    sets = docs.select(bit, F.col("text").cast("string").alias("text")).mapInArrow(run, "id binary, elements binary")
-    sets = staged(sets.join(ends, "id", "left_semi"), "sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("elements").alias("y")), "b")
+    found = docs.select(bit, F.col("text").cast("string").alias("text")).mapInArrow(run, "id binary, elements binary")
+    # rows that repeat an id and text give the set again
+    return found.join(members.select("id"), "id", "left_semi").groupBy("id").agg(F.first("elements").alias("elements"))
+
 
-    def check(batches):
+def _links(buckets: DataFrame, members: DataFrame, per_cent: int) -> DataFrame:
+    """Verified links (a, b). ``members``: id, sketch, elements."""
+    member = F.struct("id", "sketch", "elements")
+    blocks = buckets.join(members, "id").groupBy("key", "band", "blocks", "block").agg(F.collect_list(member).alias("members"))
+    # block i meets blocks i and above: a row for each pair of blocks, both ends carrying their members
+    ends = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    ends = ends.select("key", "band", "blocks", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "members")
+    own = blocks.where("blocks = 1").select("band", F.lit(True).alias("own"), F.array("members").alias("members"))
+    pairs = ends.where("blocks > 1").groupBy("key", "band", "lo", "hi").agg(F.sort_array(F.collect_list(F.struct("block", "members"))).alias("sides"))
+    pairs = pairs.where((F.size("sides") == 2) | (F.col("lo") == F.col("hi"))).select("band", (F.col("lo") == F.col("hi")).alias("own"), "sides.members")
+
+    def run(batches):
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * common >= per_cent * (len(x) + len(y) - common))
-            mask = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(k).filter(mask) for k in (0, 1)], ["a", "b"])
+            links: list[tuple[bytes, bytes]] = []
+            for r in range(batch.num_rows):
+                sides = [{k: [m[k] for m in side] for k in ("id", "sketch", "elements")} for side in batch.column(2)[r].as_py()]
+                links += compared(sides[0], None if batch.column(1)[r].as_py() else sides[1], batch.column(0)[r].as_py(), per_cent)
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in links], pa.binary()) for k in (0, 1)], ["a", "b"])
 
-    return staged(both.select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary").distinct(), "links")
+    return own.unionByName(pairs).mapInArrow(run, "a binary, b binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -271,18 +249,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 def link(docs: DataFrame, per_cent: int = 85) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (its least reachable doc_id), kept."""
-    threshold = per_cent / 100
     rows = staged(sketched(docs), "sketches")
-    classes = staged(rows.where("n > 0").groupBy("id").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
+    classes = staged(rows.where("n > 0").groupBy("id").agg(F.min("doc_id").alias("first"), F.first("sketch").alias("sketch")), "classes")
     buckets = staged(_buckets(classes), "buckets")
-    inside = classes.select("id", "n", "sketch").join(buckets.select("id").distinct(), "id", "left_semi")
-    pairs = staged(_candidates(buckets, inside.withColumn("label", F.col("id")), threshold, every=False), "pairs")
-    links = _verified(docs, classes, pairs, per_cent)
-    labels = components(links)
-    labelled = inside.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    more = staged(_candidates(buckets, labelled, threshold, every=True).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    if not more.isEmpty():
-        labels = components(links.unionByName(_verified(docs, classes, more, per_cent)))
+    inside = classes.join(buckets.select("id").distinct(), "id", "left_semi")
+    members = inside.select("id", "sketch").join(_sets(docs, inside), "id")
+    labels = components(staged(_links(buckets, members, per_cent), "links"))
     return _with_components(rows, classes, labels)
 
 
