@@ -66,11 +66,15 @@ def candidates(words: DataFrame, model: DataFrame, letters: DataFrame | None = N
     return pairs
 
 
-def corrections(words: DataFrame, model: DataFrame, n: int = 5) -> DataFrame:
-    """(word, place, candidate, share): the n likeliest candidates of each word, ties by spelling."""
+def ranked_corrections(found: DataFrame, n: int = 5) -> DataFrame:
+    """(word, place, candidate, share): the n likeliest of each word's candidates, ties by spelling."""
     order = Window.partitionBy("word").orderBy(F.desc("share"), "candidate")
-    found = candidates(words, model).withColumn("place", F.row_number().over(order).cast("long"))
-    return found.where(F.col("place") <= n).select("word", "place", "candidate", "share")
+    placed = found.withColumn("place", F.row_number().over(order).cast("long"))
+    return placed.where(F.col("place") <= n).select("word", "place", "candidate", "share")
+
+
+def corrections(words: DataFrame, model: DataFrame, n: int = 5) -> DataFrame:
+    return ranked_corrections(candidates(words, model), n)
 
 
 def check(segments: DataFrame, model: DataFrame | None = None, n: int = 5) -> DataFrame:
