@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, slices
+from .common import lean, remainder, slices
 
 SAMPLE_ROWS, SAMPLE_WINDOWS = 3000, 2
 WINDOW, WIDTHS, FILTERS, EMBED = 128, (2, 3, 4), 12, 6
@@ -124,7 +124,7 @@ def training_windows(docs: DataFrame, modulus: int, held_out: int, rows: int, wi
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(langs, pa.string())], ["window", "lang"])
 
     sample = learn.join(F.broadcast(ids), "doc_id", "left_semi").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    return sorted((bytes(r[0]), r[1]) for r in sample.mapInArrow(run, "window binary, lang string").collect())
+    return sorted((bytes(r[0]), r[1]) for r in sample.mapInArrow(lean(run), "window binary, lang string").collect())
 
 
 def identify(docs: DataFrame, modulus: int = 4, held_out: int = 2, rows: int = SAMPLE_ROWS, windows: int = SAMPLE_WINDOWS) -> DataFrame:
@@ -157,4 +157,4 @@ def identify(docs: DataFrame, modulus: int = 4, held_out: int = 2, rows: int = S
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(lang), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
     source = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.coalesce(remainder("doc_id", modulus) == held_out, F.lit(False)).alias("held_out"))
-    return source.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return source.mapInArrow(lean(run), f"doc_id {kind}, held_out boolean, lang_pred string, score double")

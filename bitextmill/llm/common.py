@@ -5,6 +5,8 @@ Every helper works on DataFrames only and holds no corpus-sized data on the driv
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -69,7 +71,7 @@ def bucket_count(rows: int, per_bucket: int = 20_000) -> int:
     return int(min(4096, max(8, -(-rows // per_bucket))))
 
 
-def slices(batches: Iterable[pa.RecordBatch], rows: int = 256, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 256, chars: int = 1_500_000) -> Iterator[pa.RecordBatch]:
     """Record batches of at most ``rows`` rows and about ``chars`` characters of text (or one row), to bound memory."""
     for batch in batches:
         if not batch.num_rows:
@@ -85,6 +87,26 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 256, chars: int = 4_00
         yield batch.slice(start)
 
 
+def _trim() -> None:
+    """Give freed memory back to the system; a Python worker that idles would keep it."""
+    import ctypes
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def lean(run):
+    """A batch function that leaves its worker as small as it found it."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        _trim()
+
+    return wrapped
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, rows: int) -> DataFrame:
     """A bounded sample of labelled training rows: (doc_id, text, label), at most ``rows`` labelled ids.
 

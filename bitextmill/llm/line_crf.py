@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, remainder, slices
+from .common import labelled_sample, lean, remainder, slices
 
 SAMPLE_ROWS, SAMPLE_LINES = 2500, 48
 UPPER = bytes(range(0x41, 0x5B))
@@ -207,7 +207,7 @@ def training_examples(docs: DataFrame, labels: DataFrame, label: str, modulus: i
             yield pa.RecordBatch.from_arrays([pa.array([s.tobytes() for s, _ in got], pa.binary()), pa.array([w.tobytes() for _, w in got], pa.binary()), batch.column(2)], ["stats", "weight", "label"])
 
     sample = labelled_sample(docs, labels, label, modulus, held_out, rows).select("doc_id", F.col("text").cast("string").alias("text"), "label")
-    found = sample.mapInArrow(run, "stats binary, weight binary, label int").collect()
+    found = sample.mapInArrow(lean(run), "stats binary, weight binary, label int").collect()
     found.sort(key=lambda r: (r[2], bytes(r[0])))  # the same model whatever the partitions
     return [(np.frombuffer(s, np.float32).reshape(-1, K), np.frombuffer(w, np.float32), y) for s, w, y in found]
 
@@ -225,4 +225,4 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: i
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(got, pa.float64()), pa.array((got >= 0.5).astype(np.int32), pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
     source = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.coalesce(remainder("doc_id", modulus) == held_out, F.lit(False)).alias("held_out"))
-    return source.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return source.mapInArrow(lean(run), f"doc_id {kind}, held_out boolean, score double, predicted int")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, staged
+from .common import lean, slices, staged
 from .shingles import WordHasher, digest, shingle_set
 
 BANDS, ROWS = 25, 5
@@ -146,7 +146,7 @@ def sketched(docs: DataFrame) -> DataFrame:
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.binary()), pa.array(sketch, pa.binary())], ["doc_id", "n", "id", "sketch"]
             )
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n long, id binary, sketch binary")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(lean(run), f"doc_id {kind}, n long, id binary, sketch binary")
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
@@ -166,7 +166,7 @@ def _buckets(classes: DataFrame) -> DataFrame:
             at = np.repeat(np.arange(size), BANDS)
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64).ravel()), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), size)), batch.column(0).take(pa.array(at))], ["key", "band", "id"])
 
-    rows = classes.select("id", "sketch").mapInArrow(run, "key long, band int, id binary")
+    rows = classes.select("id", "sketch").mapInArrow(lean(run), "key long, band int, id binary")
     counts = rows.groupBy("key", "band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
     return rows.join(counts, ["key", "band"]).select("key", "band", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), "id")
@@ -193,7 +193,7 @@ def _sets(docs: DataFrame, members: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "elements"])
 
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_BITS)).alias("bit")
-    found = docs.select(bit, F.col("text").cast("string").alias("text")).mapInArrow(run, "id binary, elements binary")
+    found = docs.select(bit, F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "id binary, elements binary")
     # rows that repeat an id and text give the set again
     return found.join(members.select("id"), "id", "left_semi").groupBy("id").agg(F.first("elements").alias("elements"))
 
@@ -217,7 +217,7 @@ def _links(buckets: DataFrame, members: DataFrame, per_cent: int) -> DataFrame:
                 links += compared(sides[0], None if batch.column(1)[r].as_py() else sides[1], batch.column(0)[r].as_py(), per_cent)
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in links], pa.binary()) for k in (0, 1)], ["a", "b"])
 
-    return own.unionByName(pairs).mapInArrow(run, "a binary, b binary")
+    return own.unionByName(pairs).mapInArrow(lean(run), "a binary, b binary")
 
 
 def components(edges: DataFrame) -> DataFrame:

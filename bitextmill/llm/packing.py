@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_count, ranked, slices, staged
+from .common import bucket_count, lean, ranked, slices, staged
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: The split of text that byte-level vocabularies of this family are made with: a fixed value.
@@ -79,7 +79,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id
                     start, stop, k = stop, stop + capacity, k + 1
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), PIECES)
 
 
 def best_two_fit(counts: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:

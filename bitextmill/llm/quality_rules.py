@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, staged
+from .common import lean, slices, staged
 
 #: Share of rows that the estimates are made from, and rows under which a group uses wider estimates.
 SUPPORT, MIN_GROUP = 0.75, 400
@@ -92,7 +92,7 @@ def with_stats(docs: DataFrame, keep: list[str]) -> DataFrame:
             columns = [pa.array(c, pa.int64()) for c in zip(*rows)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *columns], ["doc", "lang", "source", *_COLUMNS])
 
-    return _levels(source.mapInArrow(run, schema)).select("*", base_failed().alias("base_failed"), *features())
+    return _levels(source.mapInArrow(lean(run), schema)).select("*", base_failed().alias("base_failed"), *features())
 
 
 def base_failed() -> Column:
@@ -180,7 +180,7 @@ def _params(moments: DataFrame, key: str, factor: float, least: int) -> DataFram
                 params.append(Estimates(mean, factor * cov).flat())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(params, pa.list_(pa.float64()))], [key, "params"])
 
-    return moments.mapInArrow(run, f"{key} string, params array<double>")
+    return moments.mapInArrow(lean(run), f"{key} string, params array<double>")
 
 
 def _start(rows: DataFrame, key: str, least: int) -> DataFrame:

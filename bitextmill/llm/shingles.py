@@ -21,7 +21,7 @@ class WordHasher(dict):
     """Hash of a word, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 600_000:
+        if len(self) > 150_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
