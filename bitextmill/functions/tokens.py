@@ -58,14 +58,18 @@ def tokens_of(entry: str | None, numbers: dict | None = None, safe: bool = True)
     return out
 
 
-@F.pandas_udf("struct<entry:string,other:string>")
-def entry_pair(source: pd.Series, target: pd.Series) -> pd.DataFrame:
-    """Entries of both sides, the target with the source's tag numbers."""
-    rows = []
-    for s, t in zip(source, target):
-        entry, numbers = entry_of(s)
-        rows.append((entry, entry_of(t, numbers)[0] if t is not None else None))
-    return pd.DataFrame(rows, columns=["entry", "other"])
+def entry_pair(source: Column | str, target: Column | str) -> Column:
+    """struct(entry, other): entries of both sides, the target with the source's tag numbers."""
+
+    @F.pandas_udf("struct<entry:string,other:string>")
+    def run(source: pd.Series, target: pd.Series) -> pd.DataFrame:
+        rows = []
+        for s, t in zip(source, target):
+            entry, numbers = entry_of(s)
+            rows.append((entry, entry_of(t, numbers)[0] if t is not None else None))
+        return pd.DataFrame(rows, columns=["entry", "other"])
+
+    return run(source, target)
 
 
 def entry(tokens: Column) -> Column:
@@ -104,7 +108,11 @@ def shown(tokens_: Column) -> Column:
     return F.array_join(F.transform(tokens_, lambda t: F.when(t["kind"] == "text", F.coalesce(t["text"], F.lit(""))).otherwise(tag(t))), "")
 
 
-@F.pandas_udf("string")
-def html_unescape(s: pd.Series) -> pd.Series:
+def html_unescape(c: Column) -> Column:
     """Every named and numeric entity."""
-    return s.map(lambda x: None if x is None else html.unescape(x))
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else html.unescape(x))
+
+    return run(c)

@@ -60,7 +60,7 @@ def entries(memory: DataFrame, first: int, last: int, bucket: int = 100_000) ->
     n = memory.count() if first < 0 or last < 0 else 0
     lo, hi = (max(0, i + n) if i < 0 else i for i in (first, last))
     rows = ranked(memory, F.floor(F.col("id") / bucket), ["id"], "_place")
-    return rows.where(F.col("_place").between(lo + 1, hi)).select(*memory.columns)
+    return rows.where(F.col("_place").between(lo + 1, hi)).select(*memory.columns).orderBy("id")
 
 
 def from_csv(spark: SparkSession, path: str) -> DataFrame:
