@@ -27,7 +27,8 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-LINE_ID = F.col("doc_id") * 100_000 + F.col("pos")
+def _line_id():
+    return F.col("doc_id") * 100_000 + F.col("pos")
 
 
 @query(
@@ -57,7 +58,7 @@ def word_count_by_file(spark, sf_dir):
 
 @query("repetitions", f"WITH {SQL_LINES} SELECT entry, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT file) AS BIGINT) AS files, min(doc_id * 100000 + pos) AS first_line FROM lines GROUP BY entry HAVING count(*) > 1")
 def repetitions(spark, sf_dir):
-    per = D.lines(spark, sf_dir).groupBy("entry", "file").agg(F.count(F.lit(1)).alias("n"), F.min(LINE_ID).alias("first_line"))
+    per = D.lines(spark, sf_dir).groupBy("entry", "file").agg(F.count(F.lit(1)).alias("n"), F.min(_line_id()).alias("first_line"))
     return per.groupBy("entry").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("files"), F.min("first_line").alias("first_line")).where("n > 1")
 
 
@@ -66,7 +67,7 @@ def _bucket():
 
 
 def _batch(spark, sf_dir, part):
-    return D.lines(spark, sf_dir).where(F.col("doc_id") % 2 == part).select(LINE_ID.alias("line_id"), F.col("entry").alias("source"), F.lower("entry").alias("target"), F.lit("draft").alias("state"), F.col("file").alias("submitted_by"))
+    return D.lines(spark, sf_dir).where(F.col("doc_id") % 2 == part).select(_line_id().alias("line_id"), F.col("entry").alias("source"), F.lower("entry").alias("target"), F.lit("draft").alias("state"), F.col("file").alias("submitted_by"))
 
 
 _SQL_UPSERT = f"""WITH {SQL_LINES}, {sql_memory('tm', 0)}, batch AS (SELECT doc_id * 100000 + pos AS line_id, entry AS source, lower(entry) AS target, file AS submitted_by FROM lines WHERE doc_id % 2 = 1)
@@ -113,13 +114,13 @@ def tm_import_filter(spark, sf_dir):
 
 @query("tm_exact_hits", f"WITH {SQL_LINES} SELECT doc_id * 100000 + pos AS query_id, entry FROM lines WHERE doc_id % 2 = 1 AND entry IN (SELECT entry FROM lines WHERE doc_id % 2 = 0)")
 def tm_exact_hits(spark, sf_dir):
-    queries = D.lines(spark, sf_dir).where("doc_id % 2 = 1").select(LINE_ID.alias("query_id"), "entry")
+    queries = D.lines(spark, sf_dir).where("doc_id % 2 = 1").select(_line_id().alias("query_id"), "entry")
     return memory.exact_hits(queries, D.memory_lines(spark, sf_dir).select(F.col("entry").alias("source")))
 
 
 @query("tm_latest_per_source", f"WITH {SQL_LINES} SELECT entry AS source, max(doc_id * 100000 + pos) AS id, arg_max('> ' || entry, doc_id * 100000 + pos) AS target FROM lines GROUP BY entry")
 def tm_latest_per_source(spark, sf_dir):
-    return D.lines(spark, sf_dir).groupBy(F.col("entry").alias("source")).agg(F.max(LINE_ID).alias("id"), F.max_by(F.concat(F.lit("> "), "entry"), LINE_ID).alias("target"))
+    return D.lines(spark, sf_dir).groupBy(F.col("entry").alias("source")).agg(F.max(_line_id()).alias("id"), F.max_by(F.concat(F.lit("> "), "entry"), _line_id()).alias("target"))
 
 
 @query("tm_fuzzy_lookup")
@@ -127,7 +128,7 @@ def tm_fuzzy_lookup(spark, sf_dir):
     """Every benchmark item's lines against a memory of all document lines."""
     items = D.table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", "\n")).alias("pos", "entry")).where(F.trim("entry") != "")
     queries = items.select((F.col("item_id") * 1000 + F.col("pos")).alias("query_id"), "entry")
-    tm = D.lines(spark, sf_dir).groupBy(F.col("entry").alias("source")).agg(F.min(LINE_ID).alias("id"))
+    tm = D.lines(spark, sf_dir).groupBy(F.col("entry").alias("source")).agg(F.min(_line_id()).alias("id"))
     tm = tm.select("id", "source", F.concat(F.lit("> "), "source").alias("target"), F.lit("translated").alias("state"), F.lit(None).cast("string").alias("time"), F.lit("tm").alias("submitted_by"))
     return memory.lookup_segments(queries, tm, 0.9)
 
