@@ -95,8 +95,12 @@ def shard(docs: DataFrame, shards: int = 40, rounds: int = 3) -> DataFrame:
     target = _step(F.col("shard"), list(range(shards)), [F.lit(t) for t in targets])
     placed = staged(placed.withColumn("_kept", F.col("slot") < target), "placed")
     kept = {s: n for s, n in placed.where("_kept").groupBy("shard").count().collect()}
-    pool = single.select("doc_id", "size", "text_crc32", "hub", "_u").unionByName(placed.where("not _kept").select("doc_id", "size", "text_crc32", "hub", "_u"))
-    pool = ranked(pool.withColumn("_all", F.lit(0)), ["_all"], ["hub", "doc_id", "size"], F.pmod(F.coalesce(F.xxhash64("hub"), F.lit(0)) + F.floor(F.col("_u") * 997), F.lit(buckets)), "_r")
+    columns = ["doc_id", "size", "text_crc32", "hub", "_u"]
+    pool = single.select(*columns, F.lit(False).alias("_linked")).unionByName(placed.where("not _kept").select(*columns, F.lit(True).alias("_linked")))
+    # what overflows of linked groups comes first and stays together; documents without links fill what is left
+    grouped = F.pmod(F.xxhash64("hub") + F.floor(F.col("_u") * 4), F.lit(buckets))
+    pool = pool.withColumn("_all", F.lit(0)).withColumn("_b", F.when(F.col("_linked"), grouped).otherwise(F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(buckets)) + buckets))
+    pool = ranked(pool, ["_all"], ["hub", "doc_id", "size"], F.col("_b"), "_r")
     starts, results, slots, at = [], [], [], 0
     for s in range(shards):
         if (room := targets[s] - kept.get(s, 0)) > 0:
