@@ -24,7 +24,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import lean, slices, staged
@@ -172,28 +172,39 @@ def _buckets(classes: DataFrame) -> DataFrame:
     return rows.join(counts, ["key", "band"]).select("key", "band", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), "id")
 
 
+def _bit(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(BITMAP_BITS)).alias("bit")
+
+
+def _bitmap(ids: DataFrame, column: str) -> np.ndarray:
+    """Bits of the hashed ids: a fixed size, 8 MB, whatever their number."""
+    bits = ids.select(_bit(column))
+    maps = bits.groupBy(F.bitmap_bucket_number("bit").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    out = np.zeros(BITMAP_BITS // 8 + 4096, np.uint8)
+    for k, found in maps.toLocalIterator():
+        out[(k - 1) * 4096 : k * 4096] = np.frombuffer(found, np.uint8)
+    return out
+
+
+def _held(bitmap: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    """Whether each bit is set. Spark's buckets count positive values from 1 and have 0 in the first bucket's first place."""
+    at = np.where(bit > 0, bit - 1, 0)
+    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def _sets(docs: DataFrame, members: DataFrame) -> DataFrame:
     """(id, elements): full sets of the classes ``members`` (id, first), made again from the texts."""
-    wanted = members.select(F.pmod(F.xxhash64("first"), F.lit(BITMAP_BITS)).alias("bit"))
-    maps = wanted.groupBy(F.bitmap_bucket_number("bit").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
-    bitmap = np.zeros(BITMAP_BITS // 8 + 4096, np.uint8)  # a fixed size: 8 MB
-    for k, bits in maps.toLocalIterator():
-        bitmap[(k - 1) * 4096 : k * 4096] = np.frombuffer(bits, np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(members, "first"))
 
     def run(batches):
         bitmap, hasher = shared.value, WordHasher()
         for batch in slices(batches):
-            bit = batch.column(0).to_numpy(zero_copy_only=False)
-            # Spark's bitmap buckets count positive values from 1 and have 0 in the first bucket's first place
-            at = np.where(bit > 0, bit - 1, 0)
-            hit = np.flatnonzero(bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+            hit = np.flatnonzero(_held(bitmap, batch.column(0).to_numpy(zero_copy_only=False)))
             sets = [shingle_set(hasher.of(batch.column(1)[int(i)].as_py())) for i in hit]
             sets = [s for s in sets if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "elements"])
 
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_BITS)).alias("bit")
-    found = docs.select(bit, F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "id binary, elements binary")
+    found = docs.select(_bit("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "id binary, elements binary")
     # rows that repeat an id and text give the set again
     return found.join(members.select("id"), "id", "left_semi").groupBy("id").agg(F.first("elements").alias("elements"))
 
@@ -272,7 +283,22 @@ def drop_near_duplicates(docs: DataFrame, per_cent: int = 85) -> DataFrame:
     found = staged(link(docs, per_cent), "linked")
     gone = found.where("not kept").select("doc_id").distinct()
     again = found.where("kept and n_shingles > 0 and doc_id is not null").groupBy("doc_id", "component_id").count().where("count > 1").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti")
-    if again.isEmpty():
-        return kept
-    return kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    # a bitmap of the ids in question parts the rows that surely stay from the few that a join decides: no text of the
+    # others is shuffled
+    asked = gone.unionByName(again)
+    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(asked, "doc_id"))
+    columns = docs.columns
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("doc"), _bit("doc_id"))
+    schema = f"doc {whole.schema['doc'].dataType.simpleString()}"
+
+    def part(wanted: bool) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                mask = _held(shared.value, batch.column(1).to_numpy(zero_copy_only=False)) == wanted
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(mask))], ["doc"])
+
+        return whole.mapInArrow(lean(run), schema).select("doc.*")
+
+    decided = part(True).join(gone, "doc_id", "left_anti").select(*columns)
+    once = decided.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*columns)
+    return part(False).unionByName(decided.join(again, "doc_id", "left_anti").select(*columns)).unionByName(once)
