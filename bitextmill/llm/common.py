@@ -41,9 +41,22 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/bitextmill/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_STAGED: list[str] = []
+
+
+def clean(spark: SparkSession) -> int:
+    """Delete the tables that this process has staged; call it when the results that read them are written."""
+    jvm, gone = spark.sparkContext._jvm, 0
+    while _STAGED:
+        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        gone += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return gone
+
+
 def remainder(column: str | Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus`` (null ids: null)."""
     c = F.col(column) if isinstance(column, str) else column
