@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from bitextmill.llm import byte_cnn, decontamination, line_crf, lm_scoring, near_dedup, packing, pii, quality_rules, queries, sharding, toxicity
-from bitextmill.llm.common import ranked, remainder
+from bitextmill.llm.common import clean, ranked, remainder, staged
 
 DIR = "/root/testdata/sf0.001"
 BASE = "the quick brown fox jumps over the lazy dog while seven wise owls watch from an old oak tree beside the quiet river and nobody speaks until the moon has climbed above the hill"
@@ -517,6 +517,12 @@ def test_pipeline_equals_brute_force(spark):
     assert got == {i for i, _ in rows} - leaked
 
 
+def test_staged_tables_are_read_back_and_cleaned(spark):
+    kept = staged(spark.range(5), "five")
+    assert kept.count() == 5
+    assert clean(spark) >= 1 and clean(spark) == 0
+
+
 def test_remainders(spark):
     rows = spark.range(50).select("id", remainder("id", 5).alias("m")).collect()
     assert all(r.m == zlib.crc32(str(r.id).encode()) % 5 for r in rows)
