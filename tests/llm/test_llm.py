@@ -356,6 +356,27 @@ def test_recall_of_leaks_and_paraphrases(spark):
     assert len({(i, k) for i, _, k in planted} & got) >= 0.9 * len(planted)
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the driver's tables are not here")
+def test_loose_paraphrases_reach_the_verification(spark):
+    """Items of which 46% of the words are left, the answer among them, inside documents: against the check on the place."""
+    docs, bench = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
+    space = decontamination.fitted(docs, bench)
+    texts = [decontamination.words_of(r.text) for r in docs.orderBy("doc_id").limit(200).collect()]
+    rng, tried, found = np.random.default_rng(0), 0, 0
+    pool = [w for t in texts for w in t[:60]]
+    for item in space.items:
+        n, a = len(item.words), len(item.answer)
+        for _ in range(5):
+            left = {*rng.permutation(n - a)[: max(0, math.ceil(0.46 * n) - a)].tolist(), *range(n - a, n)}
+            altered = [w if i in left else pool[rng.integers(len(pool))] for i, w in enumerate(item.words)]
+            text = texts[rng.integers(len(texts))]
+            at = rng.integers(0, len(text) + 1)
+            if item.in_region(altered)[1]:
+                tried += 1
+                found += item.key in {m[0] for m in space.matches(text[:at] + altered + text[at:])}
+    assert tried >= 100 and found >= 0.9 * tried, (found, tried)
+
+
 def test_common_subsequence():
     def slow(a, b):
         row = [0] * (len(b) + 1)
