@@ -377,6 +377,17 @@ def test_loose_paraphrases_reach_the_verification(spark):
     assert tried >= 100 and found >= 0.9 * tried, (found, tried)
 
 
+@pytest.mark.parametrize("n", [20, 30, 38, 54])
+def test_windows_reach_the_end_of_the_text(n):
+    """Half of an item's words, its answer among them, as the last words of texts of all lengths."""
+    item = decontamination.Item(1, [b"w%d" % i for i in range(n)])
+    altered = [w if i < n // 2 - len(item.answer) + 1 or i >= n - len(item.answer) else b"x" for i, w in enumerate(item.words)]
+    assert decontamination.LOOSE <= item.in_region(altered)[0] / n < decontamination.OVERLAP
+    for more in range(40):
+        text = [b"y"] * more + altered
+        assert decontamination.Space._best(item, text, 0, len(text)), more
+
+
 def test_common_subsequence():
     def slow(a, b):
         row = [0] * (len(b) + 1)
