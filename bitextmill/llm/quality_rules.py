@@ -5,8 +5,9 @@ roughly normal scales, and location and scatter are estimated per (language, sou
 the per-group medians and scaled median deviations, then keep the share ``SUPPORT`` of rows nearest by Mahalanobis
 distance and re-estimate from those. A step is two aggregations over all rows: a histogram of distances, which gives
 each group's threshold, and the sums of the rows inside it. Both combine before the shuffle, so a hot source costs no
-more than another and no group is collected. Groups of under ``MIN_GROUP`` rows use the estimates of their language,
-and those of small languages the estimates of all rows.
+more than another and no group is collected. Every group has its own estimates, drawn towards those of its language,
+and a language's towards those of all rows: a group of n rows weighs n^2 / (n^2 + OWN^2) in the pooled location and
+scatter. So a few rows, which tell little of themselves, are judged by their language, and no verdict turns on a limit.
 
 Nulls: a null text has no words; null lang or source form groups of their own. Texts without words fail the base rule.
 Empty tables give no rows, repeated rows repeat, other columns are ignored.
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import lean, slices, staged
 
-#: Share of rows that the estimates are made from, and rows under which a group uses wider estimates.
-SUPPORT, MIN_GROUP = 0.75, 400
+#: Share of rows that the estimates are made from, and rows at which a group weighs as much as the wider group.
+SUPPORT, OWN = 0.75, 60
 #: Squared distances are cut into bins of this many per natural-log unit, from exp(LOW) up.
 GRAIN, LOW, BINS = 12, -6.0, 320
 #: Rejected beyond this chance of a normal row.
@@ -159,34 +160,44 @@ def _levels(rows: DataFrame) -> DataFrame:
 def _moments(rows: DataFrame, key: str) -> DataFrame:
     sums = [F.sum(f).alias(f"s{i}") for i, f in enumerate(FEATURES)]
     cross = [F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"x{i}{j}") for i in range(P) for j in range(i, P)]
-    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *sums, *cross)
+    return rows.groupBy(key).agg(F.first("up").alias("up"), F.count(F.lit(1)).alias("n"), *sums, *cross)
 
 
-def _params(moments: DataFrame, key: str, factor: float, least: int) -> DataFrame:
-    """(key, params array): mean, then the inverse of the scaled, ridged scatter, by small-matrix algebra per group.
+def pooled(n: int, mean: np.ndarray, cov: np.ndarray, wide_mean: np.ndarray, wide_cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Location and scatter of a group of ``n`` rows mixed with those of the wider group."""
+    w = n * n / (n * n + OWN * OWN)
+    apart = mean - wide_mean
+    return wide_mean + w * apart, w * cov + (1 - w) * wide_cov + w * (1 - w) * np.outer(apart, apart)
+
+
+def _params(moments: DataFrame, key: str, factor: float, wide: DataFrame | None) -> DataFrame:
+    """(key, params, shape): mean and inverse of the scaled, ridged scatter; mean and scatter. By small-matrix algebra per
+    group, pooled with the row of ``wide`` (up, wide) that the group belongs to.
 
     One row a group; done in Python per group row, never over documents.
     """
+    moments = moments.withColumn("wide", F.lit(None).cast("array<double>")) if wide is None else moments.join(wide, "up", "left")
 
     def run(batches):
         for batch in batches:
-            keys, params = [], []
+            keys, params, shapes = [], [], []
             for r in batch.to_pylist():
-                if r["n"] < least:
-                    continue
                 mean = np.array([r[f"s{i}"] for i in range(P)]) / r["n"]
-                cov = np.array([[r[f"x{min(i, j)}{max(i, j)}"] for j in range(P)] for i in range(P)]) / r["n"] - np.outer(mean, mean)
+                cov = factor * (np.array([[r[f"x{min(i, j)}{max(i, j)}"] for j in range(P)] for i in range(P)]) / r["n"] - np.outer(mean, mean))
+                if r["wide"] is not None:
+                    mean, cov = pooled(r["n"], mean, cov, np.array(r["wide"][:P]), np.array(r["wide"][P:]).reshape(P, P))
                 keys.append(r[key])
-                params.append(Estimates(mean, factor * cov).flat())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(params, pa.list_(pa.float64()))], [key, "params"])
+                params.append(Estimates(mean, cov).flat())
+                shapes.append([*map(float, mean), *map(float, cov.ravel())])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(params, pa.list_(pa.float64())), pa.array(shapes, pa.list_(pa.float64()))], [key, "params", "shape"])
 
-    return moments.mapInArrow(lean(run), f"{key} string, params array<double>")
+    return moments.mapInArrow(lean(run), f"{key} string, params array<double>, shape array<double>")
 
 
-def _start(rows: DataFrame, key: str, least: int) -> DataFrame:
+def _start(rows: DataFrame, key: str) -> DataFrame:
     """Medians and scaled deviations (mergeable quantile sketches), as diagonal estimates."""
     quantiles = [F.percentile_approx(f, [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i, f in enumerate(FEATURES)]
-    found = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *quantiles).where(F.col("n") >= least)
+    found = rows.groupBy(key).agg(*quantiles)
     zero = F.lit(0.0)
     inverse = [1 / (F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) + float(RIDGE[i, i])) if i == j else zero for i in range(P) for j in range(P)]
     return found.select(key, F.array(*(F.col(f"q{i}")[1] for i in range(P)), *inverse).alias("params"))
@@ -205,21 +216,29 @@ def _nearest(rows: DataFrame, key: str, params: DataFrame) -> DataFrame:
         lambda a, x: F.struct((a["n"] + x["_n"]).alias("n"), F.when((a["bin"] < 0) & (a["n"] + x["_n"] >= F.ceil(F.col("_all") * SUPPORT)), x["_bin"]).otherwise(a["bin"]).alias("bin")),
         lambda a: a["bin"],
     )
-    return near.join(limits.select(key, walk.alias("_limit")), key).where("_bin <= _limit").select(key, *FEATURES)
+    return near.join(limits.select(key, walk.alias("_limit")), key).where("_bin <= _limit").select(key, "up", *FEATURES)
 
 
-def estimates(rows: DataFrame, key: str, least: int, steps: int = 2) -> DataFrame:
-    """Minimum-covariance-determinant estimates per ``key``: (key, params)."""
-    params = staged(_start(rows, key, least), "mcd")
+def estimates(rows: DataFrame, key: str, wide: DataFrame | None, steps: int = 2) -> DataFrame:
+    """Minimum-covariance-determinant estimates per ``key``, drawn towards ``wide``: (key, params, shape).
+
+    ``rows``: key, the wider group ``up`` and the features.
+    """
+    params = staged(_start(rows, key), "mcd")
     factor = _consistency(SUPPORT)
     for _ in range(steps):
-        params = staged(_params(_moments(_nearest(rows, key, params), key), key, factor, 1), "mcd")
+        params = staged(_params(_moments(_nearest(rows, key, params.select(key, "params")), key), key, factor, wide), "mcd")
     return params
 
 
 def _all_estimates(rows: DataFrame, steps: int) -> dict[str, DataFrame]:
-    good = rows.where("not base_failed").withColumn("k0", F.lit("all"))
-    return {k: estimates(good.select(k, *FEATURES), k, least, steps) for k, least in (("k2", MIN_GROUP), ("k1", MIN_GROUP), ("k0", 1))}
+    good = rows.where("not base_failed").withColumns({"k0": F.lit("all"), "none": F.lit("")})
+    out, wide = {}, None
+    for key, up in (("k0", "none"), ("k1", "k0"), ("k2", "k1")):  # widest first
+        found = estimates(good.select(key, F.col(up).alias("up"), *FEATURES), key, wide, steps)
+        out[key] = found.select(key, "params")
+        wide = found.select(F.col(key).alias("up"), F.col("shape").alias("wide"))
+    return out
 
 
 def _verdicts(rows: DataFrame, found: dict[str, DataFrame]) -> DataFrame:

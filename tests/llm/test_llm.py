@@ -282,6 +282,24 @@ def test_outliers_go_and_clean_documents_stay(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, k in got.items() if k}
 
 
+def test_sources_of_some_tens_of_rows_have_their_own_estimates(spark):
+    """A source that writes in capitals is no outlier of itself; a single document that does is one of its language."""
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), rng.integers(3, 9)))
+    text = lambda: " ".join(word() for _ in range(80))
+    rows = [(i, text(), "en", "plain") for i in range(500)]
+    own = [(1000 + i, text().upper(), "en", "capitals") for i in range(60)]
+    odd = [(2000, text().upper(), "en", "plain"), (2001, text().upper(), "en", "single"), (2002, " ".join(word().upper() + "***" for _ in range(80)), "en", "capitals")]
+    got = {r.doc_id: r.kept for r in quality_rules.judged(frame(spark, rows + own + odd)).collect()}
+    assert all(got[i] for i, *_ in rows + own) and not any(got[i] for i, *_ in odd)
+
+
+def test_pooled_estimates_have_no_step():
+    wide, own = (np.zeros(4), np.eye(4)), (np.ones(4), 2 * np.eye(4))
+    means = [quality_rules.pooled(n, *own, *wide)[0][0] for n in range(2000)]
+    assert means[0] == 0 and means[-1] > 0.99 and 0 < max(np.diff(means)) < 0.02 and min(np.diff(means)) > 0
+
+
 # personal data
 
 
