@@ -120,10 +120,13 @@ def restored(word: str, model: CharacterModel) -> tuple[str, ...]:
     if len(word) > LONGEST:
         return (plain,) if plain else ()
     core = _EDGE.sub("", word)
-    if plain.isalpha() and len(core) - len(plain) != 1 and not re.search(r"(\w)\1\1", plain):
+    # sentence marks after a word are no letters of it; any other look-alike at an edge may be
+    lead, _, tail = core.partition(plain) if plain else ("", "", "")
+    signs = not LOOKS.keys().isdisjoint(lead + tail.replace("!", ""))
+    if plain.isalpha() and len(core) - len(plain) != 1 and not signs and not re.search(r"(\w)\1\1", plain):
         return (plain,)
     out = [plain] if plain else []
-    for w in dict.fromkeys((core, plain)):
+    for w in dict.fromkeys((core, core.rstrip("!"), plain) if signs else (core, plain)):
         if w and _DISGUISED.search(w):
             out.append(decode(w, model))
     return tuple(dict.fromkeys(x for x in out if x))

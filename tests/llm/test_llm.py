@@ -520,6 +520,15 @@ def test_disguised_words_are_restored():
     assert hashed in reader.text("so i d i o t it is") and hashed not in reader.text("a b c d e f")
 
 
+def test_signs_at_the_edges_are_read():
+    model = toxicity.CharacterModel(toxicity.trigrams(["ass worthless shit asshole less glass shot idiot hole the and of worth word " * 20]))
+    for word, plain in (("a$$", "ass"), ("worthle$$", "worthless"), ("$$hit", "shit"), ("@$$hole", "asshole"), ("'worthle$$!!',", "worthless"), ("!!diot", "idiot")):
+        assert plain in toxicity.restored(word, model), word
+    for word in ("word!!", "(word)!!!", "__word__", "\u201eword\u201d,"):
+        assert toxicity.restored(word, model)[0] == "word"
+    assert toxicity.restored("word!!", model) == ("word",) and toxicity.restored("$$$", model) == toxicity.restored("--", model) == ()
+
+
 SMALL = "/root/testdata/sf0.01"
 
 
