@@ -9,7 +9,9 @@ The trigram counts cover every training text (never the held-out ones) and are a
 fitted on a bounded sample of ``rows`` labelled documents, by hash of id: features of the restored words whose log-odds
 stand out are selected, then weighted together. Scoring reads every word of every text.
 
-Words longer than LONGEST characters are read as they are: they are no disguised words, and a lattice of them is none.
+Decoding is linear in the length, so words and rows of single letters of any length are decoded whole. Words longer than
+LONGEST characters may be several run together, so words inside them count as well, as they do in rows of single letters.
+A single character repeated holds no word and stays as it is.
 Nulls: null and empty texts have no features and score by the bias alone. Without labelled rows every score is the
 prior, zero. Repeated rows repeat, empty tables give no rows, other columns are ignored.
 """
@@ -93,15 +95,15 @@ def readings(char: str, times: int) -> list[tuple[str, float]]:
 
 
 def decode(word: str, model: CharacterModel) -> str:
-    """The likeliest reading of a disguised word: Viterbi over the last two letters."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    """The likeliest reading of a disguised word: Viterbi over the last two letters, with links back to what was read."""
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     i = 0
     while i < len(word):
         j = i
         while j < len(word) and word[j] == word[i]:
             j += 1
         options, ahead = readings(word[i], j - i), {}
-        for (a, b), (score, text) in states.items():
+        for (a, b), (score, back) in states.items():
             for letters, cost in options:
                 x, y, total = a, b, score + cost
                 for c in letters:
@@ -109,17 +111,21 @@ def decode(word: str, model: CharacterModel) -> str:
                     total += model.table[x][y][k]
                     x, y = y, k
                 if (x, y) not in ahead or total > ahead[x, y][0]:
-                    ahead[x, y] = (total, text + letters)
+                    ahead[x, y] = (total, (back, letters) if letters else back)
         states, i = ahead, j
-    return max((score + model.table[a][b][0], text) for (a, b), (score, text) in states.items())[1]
+    back, out = max(((score + model.table[a][b][0], back) for (a, b), (score, back) in states.items()), key=lambda x: x[0])[1], []
+    while back:
+        back, letters = back
+        out.append(letters)
+    return "".join(reversed(out))
 
 
 def restored(word: str, model: CharacterModel) -> tuple[str, ...]:
     """Readings of one white-space-delimited, lower-case word: itself without edge signs and, if disguised, decoded."""
     plain = _PLAIN_EDGE.sub("", word)
-    if len(word) > LONGEST:
-        return (plain,) if plain else ()
     core = _EDGE.sub("", word)
+    if len(set(core)) == 1:
+        return (plain,) if plain else ()
     # sentence marks after a word are no letters of it; any other look-alike at an edge may be
     lead, _, tail = core.partition(plain) if plain else ("", "", "")
     signs = not LOOKS.keys().isdisjoint(lead + tail.replace("!", ""))
@@ -145,7 +151,10 @@ class Reader:
         self.known: dict[str, tuple[int, ...]] = {}
 
     def _of(self, word: str) -> tuple[int, ...]:
-        found = {f for r in restored(word, self.model) for f in features(r)}
+        read = restored(word, self.model)
+        found = {f for r in read for f in features(r)}
+        if len(word) > LONGEST:
+            found.update(*map(self._inside, read))
         return tuple(found if self.weights is None else found & self.weights.keys())
 
     def text(self, text: str | None) -> set[int]:
@@ -172,12 +181,16 @@ class Reader:
         return out
 
     def _spaced(self, run: list[str]) -> set[int]:
-        letters = decode("".join(run), self.model) if len(run) <= LONGEST else "".join(run)
-        out = {f for r in (letters,) for f in features(r)}
+        letters = decode("".join(run), self.model)
+        out = set(features(letters))
+        return out if self.weights is None else (out | self._inside(letters)) & self.weights.keys()
+
+    def _inside(self, letters: str) -> set[int]:
+        """Weighted words of 3 to 16 letters anywhere in a row of letters; when fitting, none."""
         if self.weights is None:
-            return out
-        whole = {xxhash.xxh3_64_intdigest(letters[i : i + n].encode("utf-8", "surrogatepass")) for i in range(len(letters) - 2) for n in range(3, min(16, len(letters) - i) + 1)}
-        return (out | whole) & self.weights.keys()
+            return set()
+        each = (xxhash.xxh3_64_intdigest(letters[i : i + n].encode("utf-8", "surrogatepass")) for i in range(len(letters) - 2) for n in range(3, min(16, len(letters) - i) + 1))
+        return {h for h in each if h in self.weights}
 
 
 def select_and_fit(docs: list[tuple[np.ndarray, int]]) -> tuple[dict[int, float], float]:

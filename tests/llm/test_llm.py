@@ -529,6 +529,17 @@ def test_signs_at_the_edges_are_read():
     assert toxicity.restored("word!!", model) == ("word",) and toxicity.restored("$$$", model) == toxicity.restored("--", model) == ()
 
 
+def test_words_of_any_length_are_restored():
+    model = toxicity.CharacterModel(toxicity.trigrams(["you are a stupid idiot moron loser the and of with this that word " * 20]))
+    stretched = "l" + "o" * 60 + "ser"
+    assert "loser" in toxicity.restored(stretched, model) and "idiot" in toxicity.restored("i" + "." * 60 + "diot", model)
+    hashed = toxicity.features("idiot")[0]
+    reader = toxicity.Reader(model, {hashed: 1.0})
+    assert hashed in reader.text("-".join("the word of this that and you are a stupid 1d10t with word".split()))
+    assert hashed in reader.text(" ".join("theandofwiththatwordyouareastup1d1d10tandthewordofthisthatandthat"))
+    assert hashed not in reader.text("-".join(["the word of this"] * 9)) and toxicity.decode("w" * 50_000, model) in ("w", "ww")
+
+
 SMALL = "/root/testdata/sf0.01"
 
 
