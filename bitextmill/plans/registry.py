@@ -11,6 +11,7 @@ from ..functions import text as X
 from ..functions.similarity import diff_spans
 from ..operators import analyze, fuzzy, memory, qa, review, segment
 from . import fixtures as D
+from . import formats
 from .fixtures import SQL_LINES, SQL_PAIRS, SQL_QA_WORDS, SQL_WORDS, sql_memory
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -496,3 +497,7 @@ def language_catalogue(spark, sf_dir):
 @query("legacy_quotes", "SELECT doc_id, replace(text, '\"', '\"\"') AS text FROM documents")
 def legacy_quotes(spark, sf_dir):
     return D.table(spark, sf_dir, "documents").select("doc_id", X.legacy_quotes(F.col("text")).alias("text"))
+
+
+QUERIES |= formats.QUERIES
+ORACLE_SQL |= formats.ORACLE_SQL

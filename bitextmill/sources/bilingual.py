@@ -1,11 +1,13 @@
 """Bilingual XML files: XLIFF 1.2, XLIFF 2 and the annotated v2 dialect, SDLXLIFF and TMX, read into rows and written back.
 
 Files come as whole binaries (one row a file), are parsed once per row on the executors, and become the tables of
-``schemas``. Edits are written by applying rows of segments to the original file, so everything else in it stays.
+``schemas``. Changes (targets, states, locks, comments, quality issues, merges, history) are written by applying rows to
+the original file, so everything else in it stays.
 """
 
 from __future__ import annotations
 
+import copy
 import io
 import xml.etree.ElementTree as ET
 from html import unescape
@@ -20,12 +22,16 @@ from ..schemas import TOKENS
 #: Name spaces: fixed values.
 XLIFF2, XLIFF1 = "urn:oasis:names:tc:xliff:document:2.0", "urn:oasis:names:tc:xliff:document:1.2"
 SDL = "http://sdl.com/FileTypes/SdlXliff/1.0"
+#: Name space of annotations (history, quality issues, the original's text) in files that have none of their own yet.
+ANNOTATED = "urn:bitextmill:annotated:1.0"
+ANNOTATIONS = ("history", "locQualityIssues", "internal-file")
 XML_LANG = "{http://www.w3.org/XML/1998/namespace}lang"
 MOST_BYTES = 256 << 20  #: larger files are refused, not parsed
 
 _SEGMENT = f"struct<unit_ord:int,unit_id:string,seg_ord:int,segment_id:string,kind:string,source:{TOKENS},target:{TOKENS},state:string,sub_state:string,lock:string,modified_on:string,modified_by:string>"
+_VERSION = f"struct<unit_ord:int,segment_id:string,version_ord:int,target:{TOKENS},state:string,modified_on:string,modified_by:string>"
 _REMARK = "struct<unit_ord:int,kind:string,attrs:map<string,string>,text:string>"
-FILE = f"struct<format:string,version:string,src_lang:string,trg_lang:string,original:string,segments:array<{_SEGMENT}>,remarks:array<{_REMARK}>,error:string>"
+FILE = f"struct<format:string,version:string,src_lang:string,trg_lang:string,original:string,segments:array<{_SEGMENT}>,remarks:array<{_REMARK}>,history:array<{_VERSION}>,internal:string,error:string>"
 
 
 def local(element: ET.Element) -> str:
@@ -93,7 +99,7 @@ def sniff(root: ET.Element) -> str:
     if local(root) != "xliff":
         raise ValueError(f"not a bilingual file: {local(root)}")
     if float(root.get("version", "1.2")[:3]) >= 2:
-        return "kxliff" if any(local(e) in ("history", "locQualityIssues", "internal-file") for e in root.iter()) else "xliff2"
+        return "kxliff" if any(local(e) in ANNOTATIONS for e in root.iter()) else "xliff2"
     return "sdlxliff" if any(e.tag.startswith(f"{{{SDL}}}") for e in root.iter() if isinstance(e.tag, str)) else "xliff1"
 
 
@@ -112,12 +118,28 @@ def _segments_v2(root: ET.Element) -> tuple[list[dict], list[dict]]:
                 more = {"state": child.get("state"), "sub_state": child.get("subState"), "modified_on": child.get("modified_on"), "modified_by": child.get("modified_by")}
                 rows.append(_row(u, unit.get("id"), s, child.get("id"), kind, tokens_v2(_find(child, "source")), tokens_v2(_find(child, "target")), **more))
                 s += 1
-            elif kind in ("notes", "locQualityIssues", "history", "originalData"):
-                names = {"notes": "note", "locQualityIssues": "lqi", "history": "version", "originalData": "data"}
+            elif kind in ("notes", "locQualityIssues", "originalData"):
+                names = {"notes": "note", "locQualityIssues": "lqi", "originalData": "data"}
                 remarks += [{"unit_ord": u, "kind": names[kind], "attrs": dict(e.attrib), "text": "".join(e.itertext())} for e in child]
+        if len(unit.attrib) > ("id" in unit.attrib):
+            remarks.append({"unit_ord": u, "kind": "unit", "attrs": {k.rpartition("}")[2]: v for k, v in unit.attrib.items()}, "text": None})
     return rows, remarks
 
 
+def _known(value: str | None) -> str | None:
+    return None if value == "N/A" else value
+
+
+def _history(root: ET.Element) -> list[dict]:
+    """Earlier versions of targets: each its own row, with the state and the stamps it had."""
+    out = []
+    for u, unit in enumerate(_iter(root, "unit"), 1):
+        for segment in (s for h in unit if local(h) == "history" for s in h):
+            for v, target in enumerate(segment, 1):
+                out.append({"unit_ord": u, "segment_id": segment.get("id"), "version_ord": v, "target": tokens_v2(target), "state": _known(target.get("state")), "modified_on": _known(target.get("modified_on")), "modified_by": _known(target.get("modified_by"))})
+    return out
+
+
 def _segments_v1(root: ET.Element, sdl: bool) -> list[dict]:
     rows = []
     for u, unit in enumerate(_iter(root, "trans-unit"), 1):
@@ -134,6 +156,8 @@ def _segments_v1(root: ET.Element, sdl: bool) -> list[dict]:
             pairs = [("N/A", side, target)] if side is not None else []
         for s, (id_, a, b) in enumerate(pairs):
             d = defs.get(id_)
+            if sdl and d is None:
+                raise ValueError(f"segment {id_} of unit {unit.get('id')} has no definition")
             state = d.get("conf") if d is not None else b.get("state") if b is not None else None
             rows.append(_row(u, unit.get("id"), s, id_, "segment", tokens_v1(a), tokens_v1(b) or [], state=state, lock=d.get("locked") if d is not None else None))
     return rows
@@ -141,7 +165,7 @@ def _segments_v1(root: ET.Element, sdl: bool) -> list[dict]:
 
 def file_rows(content: bytes) -> dict:
     """Everything of one file, or the cause why it cannot be read."""
-    out = {"format": None, "version": None, "src_lang": None, "trg_lang": None, "original": None, "segments": [], "remarks": [], "error": None}
+    out = {"format": None, "version": None, "src_lang": None, "trg_lang": None, "original": None, "segments": [], "remarks": [], "history": [], "internal": None, "error": None}
     try:
         root = parse(content)
         kind = sniff(root)
@@ -150,6 +174,9 @@ def file_rows(content: bytes) -> dict:
         if kind in ("kxliff", "xliff2"):
             out["src_lang"], out["trg_lang"] = root.get("srcLang"), root.get("trgLang")
             out["segments"], out["remarks"] = _segments_v2(root)
+            out["history"] = _history(root)
+            inside = next(_iter(root, "internal-file"), None)
+            out["internal"] = None if inside is None else "".join(inside.itertext())
         elif kind == "tmx":
             raise ValueError("a TMX file holds no segments; use tmx_units")
         else:
@@ -203,6 +230,16 @@ def issues_of(opened_files: DataFrame) -> DataFrame:
     )
 
 
+def history_of(opened_files: DataFrame) -> DataFrame:
+    """Rows of ``HISTORY``: earlier versions of targets, oldest first by ``version_ord``."""
+    return opened_files.select("file_id", F.explode("f.history").alias("h")).select("file_id", "h.*")
+
+
+def unit_attributes_of(opened_files: DataFrame) -> DataFrame:
+    """(file_id, unit_ord, attrs) of units that have more than an id."""
+    return _remarks(opened_files, "unit").select("file_id", "unit_ord", F.col("a").alias("attrs"))
+
+
 def original_data_of(opened_files: DataFrame) -> DataFrame:
     return _remarks(opened_files, "data").select("file_id", "unit_ord", F.col("a")["id"].alias("data_id"), F.col("text").alias("xml"))
 
@@ -242,9 +279,15 @@ def _fill(element: ET.Element, tokens: list[dict], space: str, v1: bool) -> None
             raise ValueError(f"tag {t['tag']} is not allowed here")
 
 
+def _annotated(root: ET.Element) -> str:
+    """The name space that the file's annotations have, or would have."""
+    found = next((e for e in root.iter() if local(e) in ANNOTATIONS and e.tag.startswith("{")), None)
+    return found.tag[: found.tag.index("}") + 1] if found is not None else f"{{{ANNOTATED}}}"
+
+
 def written(root: ET.Element) -> bytes:
     out = io.BytesIO()
-    for prefix, uri in (("sdl", SDL),):
+    for prefix, uri in (("sdl", SDL), ("note", _annotated(root)[1:-1])):
         ET.register_namespace(prefix, uri)
     space = root.tag[1:].partition("}")[0] if root.tag.startswith("{") else ""
     if space:
@@ -311,15 +354,177 @@ def saved(files: DataFrame, edits: DataFrame) -> DataFrame:
     return files.join(listed, "file_id", "left").select("file_id", run("content", "edits").alias("content"))
 
 
-def new_xliff(segments: list[dict], src: str, trg: str, original: str) -> bytes:
-    """A version-2 file of segments (unit_id, segment_id, kind, source and target tokens)."""
-    s = f"{{{XLIFF2}}}"
+#: A change of an annotated file, in the order ``ord``: ``op`` is update, lock, unlock, comment, resolve_comment, issue,
+#: resolve_issue or merge. ``text`` is a comment, ``remark_id`` the id that is resolved, ``segments`` the ids to merge.
+CHANGE = f"ord int, op string, unit_id string, segment_id string, target {TOKENS}, state string, text string, type string, severity string, remark_id string, segments array<string>, at string, by string"
+#: States as written: fixed values.
+_STATES = {"blank": ("initial", "initial-blank"), "draft": ("initial", "initial-draft"), "translated": ("translated", "translated"), "reviewed": ("reviewed", "reviewed")}
+
+
+class Container:
+    """A version-2 file that changes are applied to, one after the other."""
+
+    def __init__(self, content: bytes):
+        self.root = parse(content)
+        if sniff(self.root) not in ("kxliff", "xliff2"):
+            raise ValueError("changes of this kind need a version-2 file")
+        self.space = self.root.tag[: self.root.tag.index("}") + 1] if self.root.tag.startswith("{") else ""
+        self.notes_space = _annotated(self.root)
+        self.units = {id(c): unit for unit in _iter(self.root, "unit") for c in unit}
+
+    def segment(self, id_: str | None, unit_id: str | None = None) -> ET.Element:
+        for unit in _iter(self.root, "unit"):
+            if unit_id is None or unit.get("id") == unit_id:
+                for c in unit:
+                    if local(c) == "segment" and c.get("id") == id_:
+                        return c
+        raise ValueError(f"segment {id_} does not exist")
+
+    def _locked(self, segment: ET.Element) -> bool:
+        return "locked" in segment.get("subState", "")
+
+    def _child(self, parent: ET.Element, name: str, space: str) -> ET.Element:
+        found = _find(parent, name)
+        return found if found is not None else ET.SubElement(parent, f"{space}{name}")
+
+    def update(self, c: dict) -> None:
+        segment = self.segment(c["segment_id"], c["unit_id"])
+        if self._locked(segment):
+            raise ValueError(f"segment {c['segment_id']} is locked")
+        if c["state"] in ("translated", "reviewed"):
+            self._remember(segment)
+        _fill(self._child(segment, "target", self.space), list(c["target"]) if c["target"] is not None else [], self.space, False)
+        if c["by"] and c["state"] in _STATES:
+            state, sub = _STATES[c["state"]]
+            for name, value in (("state", state), ("subState", sub), ("modified_on", c["at"]), ("modified_by", c["by"])):
+                if value:
+                    segment.set(name, value)
+
+    def _remember(self, segment: ET.Element) -> None:
+        """Puts the target that is replaced into the history, unless it is empty or was the last version already."""
+        target = _find(segment, "target")
+        if target is None or (not len(target) and not target.text):
+            return
+        history = self._child(self.units[id(segment)], "history", self.notes_space)
+        versions = next((s for s in history if s.get("id") == segment.get("id")), None)
+        if versions is None:
+            versions = ET.SubElement(history, f"{self.notes_space}segment", {"id": segment.get("id")})
+        if len(versions) and tokens_v2(versions[-1]) == tokens_v2(target):
+            return
+        kept = copy.deepcopy(target)
+        kept.tail = None
+        for name in ("state", "modified_on", "modified_by"):
+            kept.set(name, segment.get(name, "N/A"))
+        versions.append(kept)
+
+    def lock(self, c: dict) -> None:
+        segment = self.segment(c["segment_id"], c["unit_id"])
+        if not self._locked(segment):
+            segment.set("subState", f"{segment.get('subState') or segment.get('state') or 'initial-blank'}-locked")
+
+    def unlock(self, c: dict) -> None:
+        segment = self.segment(c["segment_id"], c["unit_id"])
+        segment.set("subState", segment.get("subState", "").removesuffix("-locked") or "initial-blank")
+
+    def comment(self, c: dict) -> None:
+        unit = self.units[id(self.segment(c["segment_id"], c["unit_id"]))]
+        notes = self._child(unit, "notes", self.space)
+        note = ET.SubElement(notes, f"{self.space}note", {"id": str(len(notes) + 1), "segment": c["segment_id"], "state": "open", "added_at": c["at"] or "", "added_by": c["by"] or ""})
+        note.text = c["text"]
+
+    def resolve_comment(self, c: dict) -> None:
+        note = next((n for n in _iter(self.root, "note") if n.get("segment") == c["segment_id"] and n.get("id") == c["remark_id"]), None)
+        if note is None:
+            raise ValueError(f"comment {c['remark_id']} does not exist")
+        for name, value in (("resolved_at", c["at"]), ("resolved_by", c["by"]), ("state", "resolved")):
+            note.set(name, value or "")
+
+    def issue(self, c: dict) -> None:
+        unit = next((u for u in _iter(self.root, "unit") if u.get("id") == c["unit_id"]), None) if c["unit_id"] else self.units[id(self.segment(c["segment_id"]))]
+        if unit is None:
+            raise ValueError(f"unit {c['unit_id']} does not exist")
+        issues = self._child(unit, "locQualityIssues", self.notes_space)
+        values = {"id": str(len(issues) + 1), "segment": c["segment_id"] or "N/A", "type": c["type"], "comment": c["text"], "severity": c["severity"], "added_at": c["at"], "added_by": c["by"]}
+        ET.SubElement(issues, f"{self.notes_space}locQualityIssue", {k: v or "" for k, v in values.items()})
+
+    def resolve_issue(self, c: dict) -> None:
+        issue = next((i for i in _iter(self.root, "locQualityIssue") if i.get("segment") == (c["segment_id"] or "N/A") and i.get("id") == c["remark_id"]), None)
+        if issue is None:
+            raise ValueError(f"issue {c['remark_id']} does not exist")
+        if issue.get("resolved"):
+            raise ValueError(f"issue {c['remark_id']} is resolved already")
+        for name, value in (("resolved_at", c["at"]), ("resolved_by", c["by"]), ("resolved", "true")):
+            issue.set(name, value or "")
+
+    def merge(self, c: dict) -> None:
+        """Puts consecutive segments of one unit into the first; an ignorable between them goes to both sides."""
+        wanted = list(c["segments"]) if c["segments"] is not None else []
+        if len(wanted) < 2:
+            raise ValueError("fewer than two segments")
+        chosen = [self.segment(i) for i in wanted]
+        unit = self.units[id(chosen[0])]
+        if any(self.units[id(x)] is not unit for x in chosen):
+            raise ValueError("not in one unit")
+        if any(map(self._locked, chosen)):
+            raise ValueError("a segment is locked")
+        parts = list(unit)
+        places = [parts.index(x) for x in chosen]
+        within = [x for x in parts[min(places) : max(places) + 1] if local(x) in ("segment", "ignorable")]
+        if any(local(x) == "segment" and x not in chosen for x in within):
+            raise ValueError("not consecutive")
+        sides: dict[str, list[dict]] = {"source": [], "target": []}
+        for x in within:
+            source, target = (tokens_v2(_find(x, side)) or [] for side in sides)
+            sides["source"] += source
+            sides["target"] += target if local(x) == "segment" else source
+        for side, tokens in sides.items():
+            _fill(self._child(within[0], side, self.space), tokens, self.space, False)
+        for x in within[1:]:
+            unit.remove(x)
+
+
+def apply_changes(content: bytes, changes: list[dict]) -> tuple[bytes, list[dict]]:
+    """The file after ``changes`` (dicts of ``CHANGE``) in their order, and those that were refused, with the reason."""
+    file, refused = Container(content), []
+    for c in sorted(changes, key=lambda c: c["ord"]):
+        try:
+            if c["op"] not in ("update", "lock", "unlock", "comment", "resolve_comment", "issue", "resolve_issue", "merge"):
+                raise ValueError(f"{c['op']} is no change")
+            getattr(file, c["op"])(c)
+        except ValueError as e:
+            refused.append({"ord": c["ord"], "reason": str(e)})
+    return written(file.root), refused
+
+
+def changed(files: DataFrame, changes: DataFrame) -> DataFrame:
+    """(file_id, content, refused) of version-2 files after ``changes`` (file_id and ``CHANGE``), one file a row."""
+    names = [c.split()[0] for c in CHANGE.replace(TOKENS, "tokens").split(", ")]
+    listed = changes.groupBy("file_id").agg(F.collect_list(F.struct(*names)).alias("changes"))
+
+    @F.pandas_udf("struct<content:binary,refused:array<struct<ord:int,reason:string>>>")
+    def run(content: pd.Series, changes: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([apply_changes(bytes(c), [dict(x) for x in xs] if xs is not None else []) for c, xs in zip(content, changes)], columns=["content", "refused"])
+
+    return files.join(listed, "file_id", "left").withColumn("_r", run("content", "changes")).select("file_id", "_r.content", "_r.refused")
+
+
+def new_xliff(segments: list[dict], src: str, trg: str, original: str, internal: str | None = None) -> bytes:
+    """A version-2 file of segments (unit_id, segment_id, kind, source and target tokens; ``data``: the XML that the unit's
+    tags stand for, by id; ``attrs``: further attributes of the unit). ``internal``: what the original has besides units."""
+    s, a = f"{{{XLIFF2}}}", f"{{{ANNOTATED}}}"
     root = ET.Element(f"{s}xliff", {"version": "2.1", "srcLang": src, "trgLang": trg})
     file, unit, last = ET.SubElement(root, f"{s}file", {"id": "1", "original": original}), None, None
+    if internal is not None:
+        ET.SubElement(file, f"{a}internal-file", {f"{a}rel": "self"}).text = internal
     for r in segments:
-        if unit is None or r["unit_id"] != last:
-            last = r["unit_id"]
-            unit = ET.SubElement(file, f"{s}unit", {"id": last} if last else {})
+        key = r.get("unit_ord", r["unit_id"])
+        if unit is None or key != last:
+            last = key
+            unit = ET.SubElement(file, f"{s}unit", ({"id": r["unit_id"]} if r["unit_id"] else {}) | dict(r.get("attrs") or {}))
+            if r.get("data"):
+                originals = ET.SubElement(unit, f"{s}originalData")
+                for id_, xml in dict(r["data"]).items():
+                    ET.SubElement(originals, f"{s}data", {"id": id_}).text = xml
         part = ET.SubElement(unit, f"{s}{r['kind']}", {"id": r["segment_id"]} if r.get("segment_id") else {})
         _fill(ET.SubElement(part, f"{s}source"), r["source"], s, False)
         if r.get("target"):

@@ -7,12 +7,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tokens as T
+from ..functions.ranking import ranked
 from ..operators import segment
 from ..schemas import TOKENS
 from .bilingual import new_tmx, new_xliff
 from .documents import document_units, text_units
 from .office import PART, office_units
 
+DATA = "map<string,string>"
+
 
 def text_tokens(c: Column) -> Column:
     """One text token."""
@@ -21,52 +24,94 @@ def text_tokens(c: Column) -> Column:
 
 
 def units(files: DataFrame, kind: str) -> DataFrame:
-    """(file_id, unit_ord, unit_id, source tokens) of documents (file_id, content) of one kind."""
+    """(file_id, unit_ord, unit_id, source tokens, data, attrs, target tokens, internal) of documents (file_id, content).
+
+    data: the XML that tags stand for. attrs: what the unit keeps of its place in the original. target: what the original
+    has as translation (PO). internal: on the first unit, what the original has besides units (a PO file's header).
+    """
+    none = lambda t: F.lit(None).cast(t)
     if kind in PART:
-        return office_units(files, kind).select("file_id", "unit_ord", "unit_id", "source")
+        return office_units(files, kind).select("file_id", "unit_ord", "unit_id", "source", "data", none(DATA).alias("attrs"), none(TOKENS).alias("target"), none("string").alias("internal"))
     texts = files.select(F.col("file_id").alias("path"), F.decode("content", "UTF-8").alias("text"))
+    attrs, target, internal = none(DATA), none(TOKENS), none("string")
     if kind == "txt":
         rows = text_units(texts, "path", "text").withColumn("unit_id", F.col("unit_ord").cast("string"))
-    elif kind in ("json", "po"):
+    elif kind == "json":
+        rows = document_units(texts, kind).where("error is null and source is not null")
+        attrs = F.create_map(F.lit("key"), F.coalesce("unit_key", F.lit("")))
+    elif kind == "po":
         rows = document_units(texts, kind).where("error is null and source is not null")
+        header = rows.where("unit_key = 'header' and kind = 'ignorable'").select("path", F.col("source").alias("_header"), F.coalesce(F.col("attrs")["metadata"], F.lit("")).alias("_comments"))
+        # plural forms: a unit that refers to another carries the second translation of that one
+        first = rows.select("path", F.col("unit_id").alias("_rid"), F.col("attrs")["msgstr[1]"].alias("_second"))
+        rows = rows.where("unit_key is null or unit_key <> 'header' or kind <> 'ignorable'").withColumn("_rid", F.col("attrs")["rid"]).join(first, ["path", "_rid"], "left").join(header, "path", "left")
+        a = lambda k: F.col("attrs")[k]
+        plural = F.col("_rid").isNotNull()
+        single = F.when(plural, "msgid_plural").otherwise("msgid")
+        form = F.when(plural, "msgstr[1]").when(a("msgstr").isNotNull(), "msgstr").otherwise("msgstr[0]")
+        given = F.coalesce(F.when(plural, F.col("_second")), a("msgstr"), a("msgstr[0]"), F.lit(""))
+        target = F.when(given != "", text_tokens(given))
+        listed = {"keys": F.concat(single, F.lit(";"), form), "metadata": F.coalesce(a("metadata"), F.lit("")), "rid": F.col("_rid"), "msgctxt": a("msgctxt")}
+        attrs = F.map_filter(F.create_map(*(x for k, v in listed.items() for x in (F.lit(k), v))), lambda k, v: v.isNotNull())
+        internal = F.when(F.col("_header").isNotNull(), F.concat("_comments", F.lit('\nmsgid ""\nmsgstr "'), "_header", F.lit('"\n')))
     else:
         raise ValueError(f"no bilingual file is made from {kind}")
-    return rows.select(F.col("path").alias("file_id"), F.col("unit_ord").cast("int").alias("unit_ord"), "unit_id", text_tokens(F.col("source")).alias("source"))
+    source = text_tokens(F.col("source")).alias("source")
+    return rows.select(F.col("path").alias("file_id"), F.col("unit_ord").cast("int").alias("unit_ord"), "unit_id", source, none(DATA).alias("data"), attrs.alias("attrs"), target.alias("target"), internal.alias("internal"))
 
 
 def new_segments(files: DataFrame, kind: str, segmentation: bool | None = None) -> DataFrame:
-    """Segments and ignorables of new bilingual files, numbered per file.
+    """Segments and ignorables of new bilingual files, numbered per file, with their units' data, attrs and internal.
 
-    PO files are not segmented unless asked; without segmentation a segment's id is its unit's.
+    PO files are not segmented unless asked; without segmentation a segment's id is its unit's and translations that the
+    original has become targets.
     """
     split = segmentation if segmentation is not None else kind != "po"
-    rows = segment.segmented(units(files, kind), split)
-    return rows if split else rows.withColumn("segment_id", F.when(F.col("kind") == "segment", F.col("unit_id")))
+    given = units(files, kind)
+    rows = segment.segmented(given.select("file_id", "unit_ord", "unit_id", "source"), split)
+    rows = rows if split else rows.withColumn("segment_id", F.when(F.col("kind") == "segment", F.col("unit_id")))
+    more = given.select("file_id", "unit_ord", "data", "attrs", "internal", F.col("target").alias("_target"))
+    target = F.when(F.lit(not split) & (F.col("kind") == "segment"), F.col("_target"))
+    return rows.join(more, ["file_id", "unit_ord"]).withColumn("target", target).drop("_target")
 
 
 def to_xliff(segments: DataFrame, src: str, trg: str) -> DataFrame:
-    """(file_id, content): one version-2 file for each file_id; ``target`` tokens are optional."""
-    if "target" not in segments.columns:
-        segments = segments.withColumn("target", F.lit(None).cast(TOKENS))
+    """(file_id, content): one version-2 file for each file_id; ``target`` tokens, ``data``, ``attrs`` and ``internal`` are
+    optional. A bilingual file is one document, so its rows meet in one task, and nothing else does."""
+    for c, kind in (("target", TOKENS), ("data", DATA), ("attrs", DATA), ("internal", "string")):
+        if c not in segments.columns:
+            segments = segments.withColumn(c, F.lit(None).cast(kind))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["unit_ord", "seg_ord"])
-        listed = [{"unit_id": r.unit_id, "segment_id": r.segment_id, "kind": r.kind, "source": list(r.source), "target": list(r.target) if r.target is not None else None} for r in rows.itertuples()]
-        return pd.DataFrame({"file_id": [rows.file_id.iloc[0]], "content": [new_xliff(listed, src, trg, rows.file_id.iloc[0])]})
+        listed = [{"unit_ord": r.unit_ord, "unit_id": r.unit_id, "segment_id": r.segment_id, "kind": r.kind, "source": list(r.source), "target": list(r.target) if r.target is not None else None, "data": r.data, "attrs": r.attrs} for r in rows.itertuples()]
+        internal = next((x for x in rows.internal if x is not None), None)
+        return pd.DataFrame({"file_id": [rows.file_id.iloc[0]], "content": [new_xliff(listed, src, trg, rows.file_id.iloc[0], internal)]})
 
-    return segments.select("file_id", "unit_ord", "unit_id", "seg_ord", "segment_id", "kind", "source", "target").groupBy("file_id").applyInPandas(run, "file_id string, content binary")
+    columns = ["file_id", "unit_ord", "unit_id", "seg_ord", "segment_id", "kind", "source", "target", "data", "attrs", "internal"]
+    return segments.select(*columns).groupBy("file_id").applyInPandas(run, "file_id string, content binary")
 
 
-def memory_to_xliff(memory: DataFrame, src: str, trg: str, name: str = "memory") -> DataFrame:
-    """One file of the pairs that have both sides, in id order; a memory file is one document, so one task writes it."""
-    rows = memory.where("source <> '' and target <> ''")
-    rows = rows.select(F.lit(name).alias("file_id"), F.col("id").alias("unit_ord"), F.col("id").cast("string").alias("unit_id"), F.lit(0).alias("seg_ord"), F.lit("segment").alias("kind"), T.tokens(F.col("source")).alias("source"), T.tokens(F.col("target")).alias("target"))
-    return to_xliff(segment.numbered(rows), src, trg)
+def _parts(memory: DataFrame, name: str, rows: int) -> DataFrame:
+    """Pairs that have both sides with their place, and the file that each goes to: at most ``rows`` pairs a file, in id
+    order, so that a large memory is many files and no task holds more than one of them."""
+    placed = ranked(memory.where("source <> '' and target <> ''"), F.floor(F.col("id") / 100_000), ["id"], "_place")
+    part = F.floor((F.col("_place") - 1) / rows).cast("int")
+    return placed.withColumn("file_id", F.when(part == 0, F.lit(name)).otherwise(F.concat(F.lit(f"{name}-"), (part + 1).cast("string"))))
 
 
-def memory_to_tmx(memory: DataFrame, src: str, trg: str, created: str, name: str = "memory") -> DataFrame:
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id")
-        return pd.DataFrame({"file_id": [name], "content": [new_tmx(list(zip(rows.source, rows.target)), src, trg, created)]})
+def memory_to_xliff(memory: DataFrame, src: str, trg: str, name: str = "memory", rows: int = 200_000) -> DataFrame:
+    """Files of the pairs that have both sides, in id order, at most ``rows`` pairs each (``name``, ``name-2``, ...)."""
+    pairs = _parts(memory, name, rows)
+    pairs = pairs.select("file_id", F.col("id").alias("unit_ord"), F.col("id").cast("string").alias("unit_id"), F.lit(0).alias("seg_ord"), F.lit("segment").alias("kind"), T.tokens(F.col("source")).alias("source"), T.tokens(F.col("target")).alias("target"))
+    return to_xliff(segment.numbered(pairs), src, trg)
+
+
+def memory_to_tmx(memory: DataFrame, src: str, trg: str, created: str, name: str = "memory", rows: int = 200_000) -> DataFrame:
+    """TMX files of the pairs that have both sides, in id order, at most ``rows`` pairs each."""
+
+    def run(pairs: pd.DataFrame) -> pd.DataFrame:
+        pairs = pairs.sort_values("id")
+        return pd.DataFrame({"file_id": [pairs.file_id.iloc[0]], "content": [new_tmx(list(zip(pairs.source, pairs.target)), src, trg, created)]})
 
-    return memory.where("source <> '' and target <> ''").groupBy(F.lit(name)).applyInPandas(run, "file_id string, content binary")
+    return _parts(memory, name, rows).select("file_id", "id", "source", "target").groupBy("file_id").applyInPandas(run, "file_id string, content binary")

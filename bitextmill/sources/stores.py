@@ -72,6 +72,20 @@ def read_memories(files: DataFrame, src: str | None = None, trg: str | None = No
     return rows.select("file_id", "src_lang", "trg_lang", "version", "r.*")
 
 
+def write_memories(rows: DataFrame, src: str, trg: str, version: str = "0.16.0") -> DataFrame:
+    """(file_id, content): a memory file for each file_id of ``rows`` (file_id and the columns of a memory).
+
+    A file is one SQLite database, so its rows meet in one task; a memory that outgrows that is kept as a table.
+    """
+
+    def run(found: pd.DataFrame) -> pd.DataFrame:
+        found = found.sort_values("id").astype(object).where(found.notna(), None)
+        listed = [(int(r.id), r.source, r.target, r.state, r.time, r.submitted_by) for r in found.itertuples()]
+        return pd.DataFrame({"file_id": [found.file_id.iloc[0]], "content": [memory_bytes(listed, src, trg, version)]})
+
+    return rows.select("file_id", "id", "source", "target", "state", "time", "submitted_by").groupBy("file_id").applyInPandas(run, "file_id string, content binary")
+
+
 # checker models
 
 
@@ -92,6 +106,35 @@ def read_model(spark: SparkSession, content: bytes) -> tuple[DataFrame, DataFram
     return spark.createDataFrame([(x,) for x in letters], "letter string"), spark.createDataFrame(rows, "word string, count long")
 
 
+def read_models(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(file_id, letter) and (file_id, word, count) of checker model files (file_id, content)."""
+
+    @F.pandas_udf("struct<letters:array<string>,words:array<struct<word:string,count:long>>>")
+    def run(content: pd.Series) -> pd.DataFrame:
+        out = []
+        for c in content:
+            with zipfile.ZipFile(io.BytesIO(bytes(c))) as z:
+                letters = sorted(set(z.read("letters.txt").decode("utf-8")) - {"\n"})
+                out.append((letters, [{"word": w, "count": int(n)} for w, n in csv.reader(io.StringIO(z.read("word_counter.csv").decode("utf-8")))]))
+        return pd.DataFrame(out, columns=["letters", "words"])
+
+    opened = files.withColumn("m", run("content"))
+    return opened.select("file_id", F.explode("m.letters").alias("letter")), opened.select("file_id", F.explode("m.words").alias("w")).select("file_id", "w.*")
+
+
+def write_models(letters: DataFrame, words: DataFrame) -> DataFrame:
+    """(file_id, content) of checker models from (file_id, letter) and (file_id, word, count). Letters are few; a model's
+    words are one member of one file, so they meet in one task."""
+    by = letters.groupBy("file_id").agg(F.collect_set("letter").alias("letters"))
+    listed = words.groupBy("file_id").agg(F.collect_list(F.struct("word", "count")).alias("words"))
+
+    @F.pandas_udf("binary")
+    def run(letters: pd.Series, words: pd.Series) -> pd.Series:
+        return pd.Series([model_bytes(list(a), [(w["word"], int(w["count"])) for w in ws] if ws is not None else []) for a, ws in zip(letters, words)])
+
+    return by.join(listed, "file_id", "left").select("file_id", run("letters", "words").alias("content"))
+
+
 # packages
 
 
@@ -150,6 +193,32 @@ def read_package(content: bytes, targets_only: bool = False) -> tuple[dict, dict
         return manifest, {n: z.read(n) for n in names}
 
 
+def write_packages(members: DataFrame, manifests: DataFrame) -> DataFrame:
+    """(package_id, content) from (package_id, member, content) and (package_id, manifest as JSON), one package a row."""
+    listed = members.groupBy("package_id").agg(F.collect_list(F.struct("member", "content")).alias("members"))
+
+    @F.pandas_udf("binary")
+    def run(manifest: pd.Series, members: pd.Series) -> pd.Series:
+        return pd.Series([package_bytes(json.loads(m), {x["member"]: bytes(x["content"]) for x in sorted(xs, key=lambda x: x["member"])} if xs is not None else {}) for m, xs in zip(manifest, members)])
+
+    return manifests.join(listed, "package_id", "left").select("package_id", run("manifest", "members").alias("content"))
+
+
+def read_packages(packages: DataFrame, targets_only: bool = False) -> DataFrame:
+    """(package_id, manifest as JSON, member, content), a row for each member; unsafe packages are an error."""
+
+    @F.pandas_udf("struct<manifest:string,members:array<struct<member:string,content:binary>>>")
+    def run(content: pd.Series) -> pd.DataFrame:
+        out = []
+        for c in content:
+            manifest, members = read_package(bytes(c), targets_only)
+            out.append((json.dumps(manifest, ensure_ascii=False), [{"member": n, "content": b} for n, b in members.items()]))
+        return pd.DataFrame(out, columns=["manifest", "members"])
+
+    rows = packages.withColumn("_p", run("content")).select("package_id", F.col("_p.manifest").alias("manifest"), F.explode("_p.members").alias("m"))
+    return rows.select("package_id", "manifest", "m.*")
+
+
 # quality report
 
 REPORT_COLUMNS = ("segment_id", "source", "translation", "edited", "issues")
@@ -161,3 +230,16 @@ def report_html(title: str, rows: list[dict], made: str) -> str:
     head = "".join(f"<th>{c.replace('_', ' ')}</th>" for c in REPORT_COLUMNS)
     body = "\n".join("<tr>" + "".join(f"<td>{cell(r.get(c))}</td>" for c in REPORT_COLUMNS) + "</tr>" for r in rows)
     return f"<!DOCTYPE html>\n<html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1><p>{html.escape(made)}</p><table><tr>{head}</tr>\n{body}</table></body></html>"
+
+
+def report_pages(rows: DataFrame, made: str) -> DataFrame:
+    """(file_id, content): a page for each file of ``review.issue_report`` rows, in the order of the segments' numbers."""
+
+    def run(found: pd.DataFrame) -> pd.DataFrame:
+        number = found.segment_id.map(lambda x: (0, int(x), x) if str(x).isdigit() else (1, 0, str(x)))
+        found = found.assign(_n=number).sort_values("_n")
+        name = found.file_id.iloc[0]
+        listed = [{c: list(v) if c == "issues" and v is not None else v for c, v in zip(REPORT_COLUMNS, r)} for r in found[list(REPORT_COLUMNS)].itertuples(index=False)]
+        return pd.DataFrame({"file_id": [name], "content": [report_html(name, listed, made)]})
+
+    return rows.groupBy("file_id").applyInPandas(run, "file_id string, content string")
