@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions import tokens as T
 from ..functions.ranking import ranked
-from ..functions.similarity import diff_spans
+from ..functions.similarity import diff_spans, ratio
 from ..functions.text import both_sides, strip_tags, words
-from .fuzzy import fuzzy_join
+from .fuzzy import fuzzy_join, shared_characters, signature
 
 COLUMNS = ["id", "source", "target", "state", "time", "submitted_by"]
 
@@ -31,13 +31,16 @@ def upsert(memory: DataFrame, batch: DataFrame, order: list[str], bucket: Column
     """Next version: rows of the batch's sources go (if ``overwrite``), then the whole batch is added.
 
     Repeated sources inside a batch all stay. New ids continue above ``high_water`` in the batch's ``order``; ``bucket``
-    rises with it (see ``ranked``). Pass the persisted mark so that deleted ids are not used again.
+    rises with it (see ``ranked``). Pass the persisted mark so that deleted ids are not used again; without it, the
+    greatest id is joined as one row when the plan runs.
     """
     batch = _entries(batch)
-    if high_water is None:
-        high_water = memory.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     kept = memory.join(batch.select("source"), "source", "left_anti") if overwrite else memory
-    added = ranked(batch, bucket, order, "_id").withColumn("id", F.col("_id") + F.lit(high_water))
+    added = ranked(batch, bucket, order, "_id")
+    if high_water is None:
+        added = added.crossJoin(F.broadcast(memory.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_mark")))).withColumn("id", F.col("_id") + F.col("_mark"))
+    else:
+        added = added.withColumn("id", F.col("_id") + F.lit(high_water))
     return kept.select(*COLUMNS).unionByName(added.select(*COLUMNS))
 
 
@@ -102,16 +105,26 @@ def _terms(memory: DataFrame, fold: bool) -> DataFrame:
 def lookup_terms(queries: DataFrame, termbase: DataFrame, least: float = 0.7, case_sensitive: bool = False) -> DataFrame:
     """Terms in queries (query_id, entry): per term word the best ratio to a query word, weighted by word length.
 
-    Words, not texts, are compared, each distinct pair once; pairs without a common letter add nothing and are not made.
+    A weighted mean reaches ``least`` only if some word does, so terms and queries meet by words of that ratio; only then
+    are the terms' other words compared with the query's, each distinct pair of words once. A term of one word is scored
+    by the first step alone.
     """
     text = strip_tags(F.col("entry"))
     asked = queries.select("query_id", F.explode(F.array_distinct(words(text if case_sensitive else F.lower(text)))).alias("query_word"))
     terms = _terms(termbase, not case_sensitive)
     # the term's word is the second sequence
-    scored = fuzzy_join(terms.select("term_word").distinct(), asked.select("query_word").distinct(), "term_word", "query_word", 0.02)
-    best = asked.join(scored, "query_word").groupBy("query_id", "term_word").agg(F.max("ratio").alias("best"))
+    close = fuzzy_join(terms.select("term_word").distinct(), asked.select("query_word").distinct(), "term_word", "query_word", min(max(least, 0.02), 0.999))
+    near = asked.join(close, "query_word").groupBy("query_id", "term_word").agg(F.max("ratio").alias("best"))
+    met = near.join(terms.select("id", "term_word").distinct(), "term_word").select("query_id", "id").distinct()
+    wanted = met.join(terms, "id").join(near, ["query_id", "term_word"], "left")
+    far = wanted.where("best is null").select("query_id", "term_word").distinct()
+    pairs = far.join(asked, "query_id").select("term_word", "query_word").distinct()
+    likely = pairs.where(shared_characters(signature(F.col("term_word")), signature(F.col("query_word"))) > 0)
+    scored = likely.withColumn("ratio", ratio(F.col("query_word"), F.col("term_word")))
+    rest = far.join(asked, "query_id").join(scored, ["term_word", "query_word"]).groupBy("query_id", "term_word").agg(F.max("ratio").alias("rest"))
     size = F.length("term_word")
-    total = terms.join(best, "term_word").groupBy("query_id", "id").agg((F.sum(size * F.col("best")) / F.sum(size)).alias("score"))
+    each = wanted.join(rest, ["query_id", "term_word"], "left").withColumn("best", F.coalesce("best", "rest", F.lit(0.0)))
+    total = each.groupBy("query_id", "id").agg((F.sum(size * F.col("best")) / F.sum(size)).alias("score"))
     return total.where(F.col("score") >= least).join(termbase, "id").select("query_id", "score", "source", "target", "state", "time", "submitted_by").orderBy("query_id", F.desc("score"), F.asc_nulls_last("source"), F.asc_nulls_last("target"))
 
 

@@ -164,11 +164,21 @@ def segmented(units: DataFrame, segmentation: bool = True) -> DataFrame:
     return numbered(rows)
 
 
+PART = 4096  #: units that are numbered together
+
+
 def numbered(rows: DataFrame) -> DataFrame:
     """segment_id 1..n per file over its units in order; ignorables have none."""
-    order = Window.partitionBy("file_id").orderBy("unit_ord", "seg_ord")
-    number = F.sum(F.when(F.col("kind") == "segment", 1).otherwise(0)).over(order)
-    return rows.withColumn("segment_id", F.when(F.col("kind") == "segment", number.cast("string")))
+    # in parts of some thousand units, so that a file of many rows is more than one task
+    segment_ = F.when(F.col("kind") == "segment", 1).otherwise(0)
+    rows = rows.withColumn("_part", F.floor(F.col("unit_ord") / PART))
+    sizes = rows.groupBy("file_id", "_part").agg(F.sum(segment_).alias("_n"))
+    before = Window.partitionBy("file_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("file_id", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.sum(segment_).over(Window.partitionBy("file_id", "_part").orderBy("unit_ord", "seg_ord"))
+    rows = rows.withColumn("_place", inside).join(sizes, ["file_id", "_part"])
+    number = (F.col("_before") + F.col("_place")).cast("long").cast("string")
+    return rows.withColumn("segment_id", F.when(F.col("kind") == "segment", number)).drop("_part", "_place", "_before")
 
 
 def text_parts(text: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Every registered query against its DuckDB SQL on the smallest tables; the package works without the llm folder."""
+"""Every registered query against its DuckDB SQL on the smallest tables."""
 
 import os
 import subprocess
