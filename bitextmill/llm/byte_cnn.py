@@ -9,7 +9,8 @@ Training reads a bounded sample of at most ``rows`` labelled documents (by hash
 evenly spaced over the whole text. Scoring reads every byte.
 
 Nulls: a text that is null or holds no letter is ``und`` with score 0. With no labelled rows all are ``und``; rows whose
-lang is null are never learned from. Repeated rows repeat; empty tables give no rows; other columns are ignored.
+lang is null are never learned from. Repeated rows repeat; empty tables give no rows; other columns are ignored. Very long texts
+are read whole, in blocks of windows. Ties between languages go to the first by name.
 """
 
 from __future__ import annotations
@@ -111,7 +112,7 @@ def train(rows: list[tuple[bytes, str]], steps: int = 700, batch: int = 64, rate
 def training_windows(docs: DataFrame, modulus: int, held_out: int, rows: int, windows: int) -> list[tuple[bytes, str]]:
     """A bounded sample of windows: rows x windows x WINDOW bytes at most reach the driver."""
     learn = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (remainder("doc_id", modulus) != held_out))
-    ids = learn.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    ids = learn.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).distinct()
 
     def run(batches):
         for batch in slices(batches):
@@ -123,7 +124,8 @@ def training_windows(docs: DataFrame, modulus: int, held_out: int, rows: int, wi
                     langs.append(lang)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(langs, pa.string())], ["window", "lang"])
 
-    sample = learn.join(F.broadcast(ids), "doc_id", "left_semi").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    # one text an id, so that an id on many rows adds one
+    sample = learn.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))).alias("_one")).select("_one.*")
     return sorted((bytes(r[0]), r[1]) for r in sample.mapInArrow(lean(run), "window binary, lang string").collect())
 
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import contextlib
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -25,9 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where the session names none."""
+    """The folder that driver and executors share. Where the session names none, a folder of our own, which only a
+    session of a single machine can have; on a cluster that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='bitextmill-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -48,15 +52,32 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 _STAGED: list[str] = []
 
 
-def clean(spark: SparkSession) -> int:
-    """Delete the tables that this process has staged; call it when the results that read them are written."""
+def mark() -> int:
+    """How many tables this process has staged and not deleted."""
+    return len(_STAGED)
+
+
+def clean(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
+    """Delete tables that this process has staged, but the first ``since`` and the last ``keep``; call it when the results
+    that read them are written. Returns how many."""
     jvm, gone = spark.sparkContext._jvm, 0
-    while _STAGED:
-        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+    doomed = _STAGED[since : len(_STAGED) - keep]
+    del _STAGED[since : len(_STAGED) - keep]
+    for path in map(jvm.org.apache.hadoop.fs.Path, doomed):
         gone += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
     return gone
 
 
+@contextlib.contextmanager
+def shared(spark: SparkSession, value):
+    """A broadcast of ``value`` for jobs that run inside the block; its copies go when the block ends."""
+    given = spark.sparkContext.broadcast(value)
+    try:
+        yield given
+    finally:
+        given.unpersist()
+
+
 def remainder(column: str | Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus`` (null ids: null)."""
     c = F.col(column) if isinstance(column, str) else column
@@ -81,7 +102,7 @@ def ranked(df: DataFrame, parts: list[str], order: list[str], bucket: Column, na
 
 def bucket_count(rows: int, per_bucket: int = 20_000) -> int:
     """Buckets for ``ranked``: they grow with the input, so one bucket stays the work of one task."""
-    return int(min(4096, max(8, -(-rows // per_bucket))))
+    return int(max(8, -(-rows // per_bucket)))
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 256, chars: int = 1_500_000) -> Iterator[pa.RecordBatch]:
@@ -121,15 +142,18 @@ def lean(run):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, rows: int) -> DataFrame:
-    """A bounded sample of labelled training rows: (doc_id, text, label), at most ``rows`` labelled ids.
+    """A bounded sample of labelled training rows: (doc_id, text, label), one row for each of at most ``rows`` labelled ids.
 
-    Ids are ordered by a hash, so the sample is the same for any partitioning. Held-out ids never enter.
+    Ids are ordered by a hash, so the sample is the same for any partitioning. Held-out ids never enter. Of rows that
+    repeat an id the least text counts, of its labels the least.
     """
     ids = (
         labels.select(F.col("doc_id"), F.col(label).cast("int").alias("label"))
         .where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & (remainder("doc_id", modulus) != held_out))
-        .dropDuplicates(["doc_id"])
+        .groupBy("doc_id")
+        .agg(F.min("label").alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(rows)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # the limit bounds what is broadcast
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")  # the limit bounds what is broadcast
+    return texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))

@@ -10,7 +10,8 @@ bounded sample: at most ``rows`` labelled documents and ``lines`` consecutive li
 Scoring reads every line of every text.
 
 Nulls: a null or empty text is one empty line and scores by it. Lines without words carry weight one. Repeated rows
-repeat; an empty table gives no rows; without any labelled row every score is one half. Other columns are ignored.
+repeat; an empty table gives no rows; without any labelled row every score is one half. Other columns are ignored. Very
+long texts are read whole, all their lines as one chain. Ties: a score of one half is good.
 """
 
 from __future__ import annotations

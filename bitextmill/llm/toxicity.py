@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import labelled_sample, lean, remainder, slices
 
-SAMPLE_ROWS, MOST_FEATURES, LONGEST = 4000, 600, 48
+SAMPLE_ROWS, LONGEST = 4000, 48
 #: Letters of the character model: fixed values. 0 stands for everything else.
 LETTERS = "abcdefghijklmnopqrstuvwxyzäöüßéèêëàâáçñíìîïóòôúùûœæ"
 SYMBOL = {c: i + 1 for i, c in enumerate(LETTERS)}
@@ -207,7 +207,7 @@ def select_and_fit(docs: list[tuple[np.ndarray, int]]) -> tuple[dict[int, float]
     odds = np.log((yes + 0.5) / (n1 + 1)) - np.log((no + 0.5) / (n0 + 1))
     z = odds / np.sqrt(1 / (yes + 0.5) + 1 / (no + 0.5))
     chosen = np.flatnonzero((z > 3.2) & (yes >= 4) & (odds > 1.5))
-    chosen = chosen[np.argsort(-z[chosen], kind="stable")][:MOST_FEATURES]
+    chosen = chosen[np.argsort(-z[chosen], kind="stable")]
     if not len(chosen):
         return {}, float(np.log(n1 / n0))
     column = np.full(len(ids), -1)
