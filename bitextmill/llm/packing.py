@@ -6,11 +6,13 @@ plan is made on the histogram of lengths (at most ``capacity`` rows, whatever th
 equal bins as the counts allow. Pieces are then dealt into the planned places by their rank within their length.
 
 Nulls: a null text counts as empty (one end id). Empty tables give no rows. Repeated rows are packed as often as they
-occur. Columns other than doc_id and text are ignored, whatever their names.
+occur. Columns other than doc_id and text are ignored, whatever their names. Very long texts are cut into pieces of a
+whole sequence; the first takes the rest. Ties: pieces of one length take places in the order of a hash of id and piece.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
 
 import numpy as np
@@ -33,12 +35,25 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def _in_merge_order(file: dict) -> bool:
+    """Whether a tokenizer file is byte-level BPE without other steps, in which a piece's id tells when it is merged."""
+    model, split = file["model"], file.get("pre_tokenizer") or {}
+    if model.get("type") != "BPE" or file.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+        return False
+    if any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        return False
+    pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
+    made = [model["vocab"].get("".join(p), -1) for p in pairs]
+    single = [i for t, i in model["vocab"].items() if len(t) == 1]
+    return made == sorted(made) and (not made or max(single) < made[0])
+
+
 class Encoder:
     """Ids of whole texts by a byte-level tokenizer file.
 
-    The vocabulary and its merge ranks (ids are in merge order) are read from the file and run by the faster of the two
-    libraries that know this kind; texts that hold a special token's string, and files that are not byte-level BPE in
-    merge order, go through ``tokenizers`` itself. Both give the same ids.
+    Where the file is plain byte-level BPE whose ids are in merge order, its vocabulary is read as merge ranks and run by
+    the faster of the two libraries that know this kind; texts that hold a special token's string, and all texts of any
+    other file, go through ``tokenizers`` itself. Both give the same ids.
     """
 
     def __init__(self, path: str, end_id: int = 0):
@@ -47,15 +62,21 @@ class Encoder:
 
         self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        byte = _byte_of()
-        ranks = {bytes(map(byte.__getitem__, t)): i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t not in self.special}
-        self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.fast = None
+        if _in_merge_order(json.loads(self.tokenizer.to_str())):
+            byte = _byte_of()
+            ranks = {bytes(map(byte.__getitem__, t)): i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t not in self.special}
+            self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def ordinary(self, text: str) -> list[int]:
+        """Ids of a text, special tokens read as text where the fast way knows none."""
+        return self.fast.encode_ordinary(text) if self.fast else self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def encode(self, text: str | None) -> np.ndarray:
         """uint32 ids, the end id last."""
         if not text:
             return np.array([self.end_id], np.uint32)
-        if any(s in text for s in self.special):
+        if not self.fast or any(s in text for s in self.special):
             ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
         else:
             ids = self.fast.encode_to_numpy(text, disallowed_special=())
