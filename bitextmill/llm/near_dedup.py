@@ -3,19 +3,25 @@
 1. Each whole text becomes its set of distinct five-word shingles. Documents with equal sets form a class, so a group of
    copies is one row from here on. The class's SetSketch holds REGISTERS values floor(1 - log_b(min)) of exponentially
    distributed hash minima, truncated to 16 bits; registers of a union are the maxima of the registers.
-2. Registers are banded. Classes that agree on a band share a bucket; buckets of one class are dropped. A large bucket
-   is cut into blocks of about BLOCK classes, and blocks are compared with each other, so no bucket is one task. The
-   full sets of the classes that are left come again from the texts, which a fixed-size bitmap of their ids selects.
-3. In a pair of blocks the Jaccard similarity of two sketches is estimated by maximum likelihood from the registers
-   that are greater, equal and less, given the set sizes. A pair is taken in the first band that its two share. Pairs
-   whose estimate is within a margin of the threshold are verified on full sets, likeliest first, unless verified links
-   of the block connect them already; verified links leave the task, candidates never do. A component is thus missed
-   only if a linked pair shares no band (2e-7 at the threshold) or is estimated over four standard deviations too low;
-   no bucket, partner or candidate is capped.
-4. Components come from contracting the verified links, and every document gets its class's component.
+2. Registers are banded. Classes that agree on a band share a bucket; buckets of one class are dropped, and of buckets
+   of the same classes all but that of the first band, as no pair is taken in the others. A large bucket is cut into
+   blocks of about BLOCK classes and BLOCK_BYTES bytes of sets, so no bucket is one task. The full sets of the classes
+   that are left come again from the texts, which a bitmap of their ids selects; its size follows their number, and
+   beyond MOST_BITS a join takes its place.
+3. In a block the Jaccard similarity of two sketches is estimated by maximum likelihood from the registers that are
+   greater, equal and less, given the set sizes. A pair is taken in the first band that its two share. Pairs whose
+   estimate is within a margin of the threshold are verified on full sets, likeliest first, unless verified links of the
+   block connect them already; verified links leave the task, candidates never do.
+4. Blocks of a large bucket are compared within themselves and with a few representatives of the bucket first. What that
+   leaves apart is cut into blocks anew, by component, and blocks that hold different components are compared with each
+   other; a group of near copies, which is one component by then, is not. A component is thus missed only if a linked
+   pair shares no band (2e-7 at the threshold) or is estimated over four standard deviations too low; no bucket, partner
+   or candidate is capped.
+5. Components come from contracting the verified links, and every document gets its class's component.
 
 Nulls: a null or wordless text has an empty set and is linked with nothing. Null ids are never a component's smallest id
-unless it has no other. Repeated rows are copies. Empty tables give no rows; other columns are ignored.
+unless it has no other. Repeated rows are copies. Empty tables give no rows; other columns are ignored. Very long texts
+are read whole; a set has 8 bytes a shingle. Ties: the threshold itself links.
 """
 
 from __future__ import annotations
@@ -34,10 +40,12 @@ BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
 #: SetSketch parameters: base, rate, largest register value.
 BASE, RATE, TOP = 1.001, 20.0, 65_535
-BLOCK = 384
+BLOCK, BLOCK_BYTES = 384, 32 << 20
+REPRESENTATIVES = 8  #: of a large bucket
 #: Estimates this far under the threshold are still verified (over four standard deviations at 0.85).
 MARGIN = 0.13
-BITMAP_BITS = 1 << 26
+#: Bits of a bitmap for each id, if they can be had; its least and largest size (32 MB).
+BITS, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 28
 
 
 def _multipliers(n: int) -> np.ndarray:
@@ -163,83 +171,188 @@ def _buckets(classes: DataFrame) -> DataFrame:
             key = np.tile(np.arange(BANDS, dtype=np.uint64), (size, 1))
             for k in range(ROWS):
                 key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + bands[:, :, k].astype(np.uint64))
-            at = np.repeat(np.arange(size), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64).ravel()), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), size)), batch.column(0).take(pa.array(at))], ["key", "band", "id"])
+            at = pa.array(np.repeat(np.arange(size), BANDS))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64).ravel()), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), size)), batch.column(0).take(at), batch.column(2).take(at)], ["key", "band", "id", "n"])
+
+    rows = classes.select("id", "sketch", "n").mapInArrow(lean(run), "key long, band int, id binary, n long")
+    # buckets of the same classes: two hashes of 64 bits over all of them
+    counts = rows.groupBy("key", "band").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("_sum"), F.bit_xor(F.xxhash64("id")).alias("_a"), F.bit_xor(F.xxhash64("id", F.lit(7))).alias("_b")).where("size > 1")
+    first = counts.groupBy("size", "_sum", "_a", "_b").agg(F.min(F.struct("band", "key")).alias("_at")).select("_at.key", "_at.band", "size", "_sum")
+    blocks = F.greatest(F.ceil(F.col("size") / F.lit(BLOCK)), F.ceil(8 * F.col("_sum") / F.lit(BLOCK_BYTES))).cast("int")
+    return rows.join(first, ["key", "band"]).select("key", "band", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), "id")
+
+
+def _bitmap(ids: DataFrame, column: str) -> tuple[np.ndarray, int] | None:
+    """Bits of the hashed ids, and how many bits there are; None if there are too many ids for one."""
+    n = ids.count()
+    if n * BITS > 4 * MOST_BITS:
+        return None
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (n * BITS).bit_length()))
+    maps = ids.select(_bit(column, bits)).groupBy(F.bitmap_bucket_number("bit").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    out = np.zeros(bits // 8 + 4096, np.uint8)
+    for k, found in maps.toLocalIterator():
+        # buckets count positive values from 1 and have 0 in the first bucket's first place
+        out[(k - 1) * 4096 : k * 4096] |= np.frombuffer(found, np.uint8)
+    return out, bits
 
-    rows = classes.select("id", "sketch").mapInArrow(lean(run), "key long, band int, id binary")
-    counts = rows.groupBy("key", "band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    return rows.join(counts, ["key", "band"]).select("key", "band", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), "id")
 
+def _bit(column: str, bits: int) -> Column:
+    return (F.pmod(F.xxhash64(column), F.lit(bits - 1)) + 1).alias("bit")
 
-def _bit(column: str) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(BITMAP_BITS)).alias("bit")
 
+def _parted(docs: DataFrame, ids: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``docs`` whose doc_id may be among the ``column`` of ``ids``, and the rest, where it surely is not; with the
+    columns of ``docs``. Rows are told apart by a bitmap, which shuffles nothing, or by a join if there are too many ids."""
+    found = _bitmap(ids, column)
+    if found is None:
+        wanted = ids.select(F.col(column).alias("_wanted")).distinct()
+        same = docs["doc_id"].eqNullSafe(F.col("_wanted"))
+        return docs.join(wanted, same, "left_semi"), docs.join(wanted, same, "left_anti")
+    shared = docs.sparkSession.sparkContext.broadcast(found[0])
+    columns = docs.columns
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("doc"), _bit("doc_id", found[1]))
+    schema = f"doc {whole.schema['doc'].dataType.simpleString()}"
 
-def _bitmap(ids: DataFrame, column: str) -> np.ndarray:
-    """Bits of the hashed ids: a fixed size, 8 MB, whatever their number."""
-    bits = ids.select(_bit(column))
-    maps = bits.groupBy(F.bitmap_bucket_number("bit").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
-    out = np.zeros(BITMAP_BITS // 8 + 4096, np.uint8)
-    for k, found in maps.toLocalIterator():
-        out[(k - 1) * 4096 : k * 4096] = np.frombuffer(found, np.uint8)
-    return out
+    def part(wanted: bool) -> DataFrame:
+        def run(batches):
+            bitmap = shared.value
+            for batch in batches:
+                at = batch.column(1).to_numpy(zero_copy_only=False) - 1
+                held = (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(held == wanted))], ["doc"])
 
+        return whole.mapInArrow(lean(run), schema).select("doc.*")
 
-def _held(bitmap: np.ndarray, bit: np.ndarray) -> np.ndarray:
-    """Whether each bit is set. Spark's buckets count positive values from 1 and have 0 in the first bucket's first place."""
-    at = np.where(bit > 0, bit - 1, 0)
-    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+    return part(True), part(False)
 
 
 def _sets(docs: DataFrame, members: DataFrame) -> DataFrame:
     """(id, elements): full sets of the classes ``members`` (id, first), made again from the texts."""
-    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(members, "first"))
 
     def run(batches):
-        bitmap, hasher = shared.value, WordHasher()
+        hasher = WordHasher()
         for batch in slices(batches):
-            hit = np.flatnonzero(_held(bitmap, batch.column(0).to_numpy(zero_copy_only=False)))
-            sets = [shingle_set(hasher.of(batch.column(1)[int(i)].as_py())) for i in hit]
-            sets = [s for s in sets if len(s)]
+            sets = [s for t in batch.column(0) if len(s := shingle_set(hasher.of(t.as_py())))]
             yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "elements"])
 
-    found = docs.select(_bit("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "id binary, elements binary")
+    texts = _parted(docs.select("doc_id", F.col("text").cast("string").alias("text")), members, "first")[0]
+    found = texts.select("text").mapInArrow(lean(run), "id binary, elements binary")
     # rows that repeat an id and text give the set again
     return found.join(members.select("id"), "id", "left_semi").groupBy("id").agg(F.first("elements").alias("elements"))
 
 
-def _links(buckets: DataFrame, members: DataFrame, per_cent: int) -> DataFrame:
-    """Verified links (a, b). ``members``: id, sketch, elements."""
-    member = F.struct("id", "sketch", "elements")
-    blocks = buckets.join(members, "id").groupBy("key", "band", "blocks", "block").agg(F.collect_list(member).alias("members"))
-    # block i meets blocks i and above: a row for each pair of blocks, both ends carrying their members
-    ends = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    ends = ends.select("key", "band", "blocks", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "members")
-    own = blocks.where("blocks = 1").select("band", F.lit(True).alias("own"), F.array("members").alias("members"))
-    pairs = ends.where("blocks > 1").groupBy("key", "band", "lo", "hi").agg(F.sort_array(F.collect_list(F.struct("block", "members"))).alias("sides"))
-    pairs = pairs.where((F.size("sides") == 2) | (F.col("lo") == F.col("hi"))).select("band", (F.col("lo") == F.col("hi")).alias("own"), "sides.members")
+def _compared(work: DataFrame, per_cent: int) -> DataFrame:
+    """Verified links (a, b) of rows (band, sides): one block, which is compared within itself, or two."""
 
     def run(batches):
         for batch in batches:
             links: list[tuple[bytes, bytes]] = []
             for r in range(batch.num_rows):
-                sides = [{k: [m[k] for m in side] for k in ("id", "sketch", "elements")} for side in batch.column(2)[r].as_py()]
-                links += compared(sides[0], None if batch.column(1)[r].as_py() else sides[1], batch.column(0)[r].as_py(), per_cent)
+                sides = [{k: [m[k] for m in side] for k in ("id", "sketch", "elements")} for side in batch.column(1)[r].as_py()]
+                links += compared(sides[0], sides[1] if len(sides) > 1 else None, batch.column(0)[r].as_py(), per_cent)
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in links], pa.binary()) for k in (0, 1)], ["a", "b"])
 
-    return own.unionByName(pairs).mapInArrow(lean(run), "a binary, b binary")
+    return work.select("band", "sides").mapInArrow(lean(run), "a binary, b binary")
+
+
+def _gathered(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """(key, band, block, members): at most about BLOCK classes and BLOCK_BYTES bytes of sets a row."""
+    return rows.select("key", "band", "block", "id").join(members, "id").groupBy("key", "band", "block").agg(F.collect_list(F.struct("id", "sketch", "elements")).alias("members"))
+
+
+def _first_links(buckets: DataFrame, members: DataFrame, per_cent: int) -> DataFrame:
+    """Links inside blocks, and between the blocks of a large bucket and its representatives."""
+    large = buckets.where("blocks > 1")
+    chosen = large.groupBy("key", "band", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(REPRESENTATIVES)).alias("_k")).agg(F.min(F.struct(F.xxhash64("id", F.lit(2)).alias("h"), "id", "block")).alias("r"), F.first("blocks").alias("blocks"))
+    sent = chosen.select("key", "band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("r.id").alias("id"), F.col("r.block").alias("_own")).where("block <> _own").drop("_own")
+    rows = buckets.select("key", "band", "block", "id").unionByName(sent)
+    return _compared(_gathered(rows, members).select("band", F.array("members").alias("sides")), per_cent)
+
+
+def _further_links(buckets: DataFrame, members: DataFrame, labels: DataFrame, per_cent: int) -> DataFrame:
+    """Links between what ``labels`` leave apart in large buckets. Components of many classes have blocks of their own,
+    the others share some; a pair of blocks of one component is not compared."""
+    bucket = ["key", "band"]
+    rows = buckets.where("blocks > 1").select(*bucket, "blocks", "id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    parts = rows.groupBy(*bucket, "blocks", "label").agg(F.count(F.lit(1)).alias("_m"))
+    small = F.col("_m") * 4 < BLOCK
+    sums = parts.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_parts"), F.sum("_m").alias("_size"), F.sum(F.when(small, F.col("_m")).otherwise(0)).alias("_small"))
+    parts = parts.join(sums.where("_parts > 1"), bucket)
+    # blocks in proportion to those of the bucket, which bytes may have made more than the classes do
+    share = lambda m: F.greatest(F.lit(1), F.ceil(F.col("blocks") * m / F.col("_size"))).cast("int")
+    parts = parts.select(*bucket, "label", F.when(~small, F.col("label")).otherwise(F.lit(b"")).alias("own"), F.when(small, share(F.col("_small"))).otherwise(share(F.col("_m"))).alias("_n"))
+    rows = rows.select(*bucket, "id", "label").join(parts, [*bucket, "label"])
+    number = F.pmod(F.when(F.col("own") == F.lit(b""), F.xxhash64("label")).otherwise(F.xxhash64("id")), F.col("_n")).cast("int")
+    rows = rows.select(*bucket, "id", F.struct("own", number.alias("number")).alias("block"))
+    names = rows.select(*bucket, "block").distinct()
+    other = names.select(*bucket, F.col("block").alias("other"))
+    pairs = names.join(other, bucket).where((F.col("block") <= F.col("other")) & ((F.col("block.own") == F.lit(b"")) | (F.col("block.own") != F.col("other.own"))))
+    blocks = _gathered(rows, members)
+    both = pairs.join(blocks, [*bucket, "block"]).withColumnRenamed("members", "_a").join(blocks.withColumnRenamed("block", "other"), [*bucket, "other"])
+    same = F.col("block") == F.col("other")
+    return _compared(both.select("band", F.when(same, F.array("members")).otherwise(F.array("_a", "members")).alias("sides")), per_cent)
+
+
+def _linked(docs: DataFrame, classes: DataFrame, per_cent: int) -> DataFrame:
+    """(id, label) of the classes that are linked with others."""
+    buckets = staged(_buckets(classes), "buckets")
+    inside = classes.join(buckets.select("id").distinct(), "id", "left_semi").select("id", "first", "sketch")
+    members = staged(inside.select("id", "sketch").join(_sets(docs, inside), "id"), "members")
+    labels = components(staged(_first_links(buckets, members, per_cent), "links"))
+    if buckets.where("blocks > 1").isEmpty():
+        return labels
+    more = staged(_further_links(buckets, members, labels, per_cent), "links")
+    if more.isEmpty():
+        return labels
+    # links between components join them
+    to = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"_{c}"))
+    ends = [F.coalesce(f"_{c}", c).alias(c) for c in ("a", "b")]
+    joined = components(more.join(to("a"), "a", "left").join(to("b"), "b", "left").select(*ends))
+    all_ = labels.unionByName(joined.select("id", F.col("id").alias("label")).join(labels.select("id"), "id", "left_anti"))
+    above = joined.select(F.col("id").alias("label"), F.col("label").alias("_up"))
+    return staged(all_.join(above, "label", "left").select("id", F.coalesce("_up", "label").alias("label")), "components")
+
+
+def _stars(batches):
+    """The edges of some batches as edges from the least node of each of their components, a few batches at a time."""
+    parent: dict = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    def flushed(schema):
+        pairs = [(root(x), x) for x in list(parent)]
+        pairs = [(r, x) for r, x in pairs if r != x]
+        parent.clear()
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], schema.field(k).type) for k in (0, 1)], ["a", "b"])
+
+    schema = None
+    for batch in batches:
+        schema = batch.schema
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            x, y = root(a), root(b)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+        if len(parent) > 500_000:
+            yield flushed(schema)
+    if schema is not None:
+        yield flushed(schema)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, label) of every end of ``edges`` (a, b): the least id of its component. Rounds of contraction.
 
     Each round every node points at its least neighbour, pointers are followed twice, and edges inside a node vanish.
+    Before, each task replaces the edges it has by a star for each of their components, which needs no shuffle.
     """
     labels = None
     edges = edges.where("a <> b")
     while True:
-        edges = staged(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+        edges = edges.mapInArrow(lean(_stars), edges.schema)
+        edges = staged(edges.distinct(), "edges")
         if edges.isEmpty():
             break
         ways = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -261,12 +374,8 @@ def components(edges: DataFrame) -> DataFrame:
 def link(docs: DataFrame, per_cent: int = 85) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (its least reachable doc_id), kept."""
     rows = staged(sketched(docs), "sketches")
-    classes = staged(rows.where("n > 0").groupBy("id").agg(F.min("doc_id").alias("first"), F.first("sketch").alias("sketch")), "classes")
-    buckets = staged(_buckets(classes), "buckets")
-    inside = classes.join(buckets.select("id").distinct(), "id", "left_semi")
-    members = inside.select("id", "sketch").join(_sets(docs, inside), "id")
-    labels = components(staged(_links(buckets, members, per_cent), "links"))
-    return _with_components(rows, classes, labels)
+    classes = staged(rows.where("n > 0").groupBy("id").agg(F.min("doc_id").alias("first"), F.first("sketch").alias("sketch"), F.first("n").alias("n")), "classes")
+    return _with_components(rows, classes, _linked(docs, classes, per_cent))
 
 
 def _with_components(rows: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
@@ -283,22 +392,9 @@ def drop_near_duplicates(docs: DataFrame, per_cent: int = 85) -> DataFrame:
     found = staged(link(docs, per_cent), "linked")
     gone = found.where("not kept").select("doc_id").distinct()
     again = found.where("kept and n_shingles > 0 and doc_id is not null").groupBy("doc_id", "component_id").count().where("count > 1").select("doc_id")
-    # a bitmap of the ids in question parts the rows that surely stay from the few that a join decides: no text of the
-    # others is shuffled
-    asked = gone.unionByName(again)
-    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(asked, "doc_id"))
+    # rows that surely stay are parted from the few that a join decides: no text of theirs is shuffled
+    asked, sure = _parted(docs, gone.unionByName(again), "doc_id")
     columns = docs.columns
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("doc"), _bit("doc_id"))
-    schema = f"doc {whole.schema['doc'].dataType.simpleString()}"
-
-    def part(wanted: bool) -> DataFrame:
-        def run(batches):
-            for batch in batches:
-                mask = _held(shared.value, batch.column(1).to_numpy(zero_copy_only=False)) == wanted
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(mask))], ["doc"])
-
-        return whole.mapInArrow(lean(run), schema).select("doc.*")
-
-    decided = part(True).join(gone, "doc_id", "left_anti").select(*columns)
+    decided = asked.join(gone, "doc_id", "left_anti").select(*columns)
     once = decided.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*columns)
-    return part(False).unionByName(decided.join(again, "doc_id", "left_anti").select(*columns)).unionByName(once)
+    return sure.unionByName(decided.join(again, "doc_id", "left_anti").select(*columns)).unionByName(once)
