@@ -2,15 +2,17 @@
 
 Base rules reject very short and very repetitive texts. For the others, statistics of the whole text are transformed to
 roughly normal scales, and location and scatter are estimated per (language, source) by concentration steps: start from
-the per-group medians and scaled median deviations, then keep the share ``SUPPORT`` of rows nearest by Mahalanobis
-distance and re-estimate from those. A step is two aggregations over all rows: a histogram of distances, which gives
-each group's threshold, and the sums of the rows inside it. Both combine before the shuffle, so a hot source costs no
-more than another and no group is collected. Every group has its own estimates, drawn towards those of its language,
-and a language's towards those of all rows: a group of n rows weighs n^2 / (n^2 + OWN^2) in the pooled location and
-scatter. So a few rows, which tell little of themselves, are judged by their language, and no verdict turns on a limit.
+the per-group medians and scaled deviations, and from means and variances, then keep the share ``SUPPORT`` of rows nearest by Mahalanobis
+distance and re-estimate from those; of the two starts the one that ends with the least determinant counts. A step is one aggregation over all rows, for
+the groups of all three levels at once: the sums of each bin of distances, of which the nearest bins are added up. It
+combines before the shuffle, so a hot source costs no more than another and no group is collected. Every group has its
+own estimates, drawn towards those of its language, and a language's towards those of all rows: a group of n rows weighs
+n^2 / (n^2 + OWN^2) in the pooled location and scatter. So a few rows, which tell little of themselves, are judged by
+their language, and no verdict turns on a limit.
 
 Nulls: a null text has no words; null lang or source form groups of their own. Texts without words fail the base rule.
-Empty tables give no rows, repeated rows repeat, other columns are ignored.
+Empty tables give no rows, repeated rows repeat, other columns are ignored. Very long texts are read whole, one at a
+time. Ties: rows of one bin of distances are all nearer or all farther; equal rows have equal verdicts.
 """
 
 from __future__ import annotations
@@ -26,6 +28,10 @@ from .common import lean, slices, staged
 
 #: Share of rows that the estimates are made from, and rows at which a group weighs as much as the wider group.
 SUPPORT, OWN = 0.75, 60
+#: Concentration steps; each lowers the determinant, by little after the third.
+STEPS, STARTS = 3, 2
+#: Groups whose estimates are sent to all tasks; tasks that share a group beyond that.
+MOST_SENT, SALT = 20_000, 64
 #: Squared distances are cut into bins of this many per natural-log unit, from exp(LOW) up.
 GRAIN, LOW, BINS = 12, -6.0, 320
 #: Rejected beyond this chance of a normal row.
@@ -157,12 +163,6 @@ def _levels(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"k2": F.concat_ws("\u0001", text("lang"), text("source")), "k1": text("lang")})
 
 
-def _moments(rows: DataFrame, key: str) -> DataFrame:
-    sums = [F.sum(f).alias(f"s{i}") for i, f in enumerate(FEATURES)]
-    cross = [F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"x{i}{j}") for i in range(P) for j in range(i, P)]
-    return rows.groupBy(key).agg(F.first("up").alias("up"), F.count(F.lit(1)).alias("n"), *sums, *cross)
-
-
 def pooled(n: int, mean: np.ndarray, cov: np.ndarray, wide_mean: np.ndarray, wide_cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Location and scatter of a group of ``n`` rows mixed with those of the wider group."""
     w = n * n / (n * n + OWN * OWN)
@@ -170,97 +170,130 @@ def pooled(n: int, mean: np.ndarray, cov: np.ndarray, wide_mean: np.ndarray, wid
     return wide_mean + w * apart, w * cov + (1 - w) * wide_cov + w * (1 - w) * np.outer(apart, apart)
 
 
-def _params(moments: DataFrame, key: str, factor: float, wide: DataFrame | None) -> DataFrame:
-    """(key, params, shape): mean and inverse of the scaled, ridged scatter; mean and scatter. By small-matrix algebra per
-    group, pooled with the row of ``wide`` (up, wide) that the group belongs to.
+def _long(rows: DataFrame) -> DataFrame:
+    """(key, start, up, features): each row once for each level's group and start; ``up`` is the key of the wider group."""
+    level = lambda key, up: F.struct(key.alias("key"), up.alias("up"))
+    all_, lang = F.lit("all"), F.concat(F.lit("l"), F.col("k1"))
+    groups = F.array(level(all_, F.lit("")), level(lang, all_), level(F.concat(F.lit("s"), F.col("k2")), lang))
+    return rows.where("not base_failed").select(F.explode(groups).alias("g"), *FEATURES).select("g.*", F.explode(F.array(*map(F.lit, range(STARTS)))).alias("start"), *FEATURES)
+
+
+def _start(rows: DataFrame) -> DataFrame:
+    """Diagonal estimates: by medians and scaled deviations (mergeable quantile sketches), and by means and variances."""
+    first = F.col("start") == 0
+    quantiles = [F.percentile_approx(F.when(first, F.col(f)), [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i, f in enumerate(FEATURES)]
+    moments = [F.avg(f).alias(f"m{i}") for i, f in enumerate(FEATURES)] + [F.var_pop(f).alias(f"v{i}") for i, f in enumerate(FEATURES)]
+    found = rows.groupBy("key", "start").agg(*quantiles, *moments)
+    middle = [F.when(first, F.col(f"q{i}")[1]).otherwise(F.col(f"m{i}")) for i in range(P)]
+    spread = [F.when(first, F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2)).otherwise(F.col(f"v{i}")) for i in range(P)]
+    inverse = [1 / (spread[i] + float(RIDGE[i, i])) if i == j else F.lit(0.0) for i in range(P) for j in range(P)]
+    return found.select("key", "start", F.array(*middle, *inverse).alias("params"))
+
+
+def with_params(rows: DataFrame, params: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` with their group's ``params``. A small table goes to all tasks; a larger one is joined by key and salt, so
+    that a group of a third of all rows is spread over tasks."""
+    if params.count() <= MOST_SENT:  # rows of some 200 bytes
+        return rows.join(F.broadcast(params), keys, how)
+    salted = params.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(*FEATURES), F.lit(SALT)).cast("int")).join(salted, [*keys, "_salt"], how).drop("_salt")
+
 
-    One row a group; done in Python per group row, never over documents.
+_MOMENTS = [f"s{i}" for i in range(P)] + [f"x{i}{j}" for i in range(P) for j in range(i, P)]
+
+
+def _nearest(rows: DataFrame, params: DataFrame, factor: float) -> DataFrame:
+    """(key, start, up, n, shape): rows, and mean and scaled scatter of each group's ``SUPPORT`` share of nearest rows."""
+    bin_ = F.least(F.greatest(F.floor((F.log(F.col("_d") + 1e-9) - LOW) * GRAIN), F.lit(0)), F.lit(BINS)).cast("int")
+    near = with_params(rows, params, ["key", "start"]).withColumn("_d", _distance("params")).withColumn("bin", bin_)
+    sums = [F.sum(f).alias(f"s{i}") for i, f in enumerate(FEATURES)] + [F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"x{i}{j}") for i in range(P) for j in range(i, P)]
+    bins = near.groupBy("key", "start", "up", "bin").agg(F.count(F.lit(1)).alias("n"), *sums)
+    # at most BINS + 1 entries a group
+    groups = bins.groupBy("key", "start", "up").agg(F.sort_array(F.collect_list(F.struct("bin", "n", *_MOMENTS))).alias("bins"))
+
+    def run(batches):
+        for batch in batches:
+            sizes, shapes = [], []
+            for bins in batch.column(3).to_pylist():
+                at = np.array([[b["n"], *(b[m] for m in _MOMENTS)] for b in bins])
+                inside = int(np.searchsorted(np.cumsum(at[:, 0]), math.ceil(at[:, 0].sum() * SUPPORT))) + 1
+                n, *found = at[:inside].sum(0)
+                mean, cross = np.array(found[:P]) / n, np.zeros((P, P))
+                cross[np.triu_indices(P)] = found[P:]
+                cov = factor * ((cross + np.triu(cross, 1).T) / n - np.outer(mean, mean))
+                sizes.append(int(n))
+                shapes.append([*map(float, mean), *map(float, cov.ravel())])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(sizes, pa.int64()), pa.array(shapes, pa.list_(pa.float64()))], ["key", "start", "up", "n", "shape"])
+
+    return groups.mapInArrow(lean(run), "key string, start int, up string, n long, shape array<double>")
+
+
+def _params(found: DataFrame) -> DataFrame:
+    """(key, start, params): mean and inverse of the ridged scatter, pooled with the language's and that with all rows'.
+
+    One row a group and start: the wider groups' rows are joined to it.
     """
-    moments = moments.withColumn("wide", F.lit(None).cast("array<double>")) if wide is None else moments.join(wide, "up", "left")
+    wider = lambda name: found.select("start", F.col("key").alias(f"{name}_key"), F.col("up").alias(f"{name}_up"), F.struct("n", "shape").alias(name))
+    joined = found.withColumn("a_key", F.col("up")).join(wider("a"), ["start", "a_key"], "left")
+    joined = joined.withColumn("b_key", F.col("a_up")).join(wider("b"), ["start", "b_key"], "left")
+    chain = joined.select("key", "start", F.struct("n", "shape").alias("own"), "a", "b")
 
     def run(batches):
+        split = lambda g: (g["n"], np.array(g["shape"][:P]), np.array(g["shape"][P:]).reshape(P, P))
         for batch in batches:
-            keys, params, shapes = [], [], []
-            for r in batch.to_pylist():
-                mean = np.array([r[f"s{i}"] for i in range(P)]) / r["n"]
-                cov = factor * (np.array([[r[f"x{min(i, j)}{max(i, j)}"] for j in range(P)] for i in range(P)]) / r["n"] - np.outer(mean, mean))
-                if r["wide"] is not None:
-                    mean, cov = pooled(r["n"], mean, cov, np.array(r["wide"][:P]), np.array(r["wide"][P:]).reshape(P, P))
-                keys.append(r[key])
+            params = []
+            for row in batch.to_pylist():
+                groups = [split(g) for g in (row["b"], row["a"], row["own"]) if g]  # widest first
+                _, mean, cov = groups[0]
+                for n, own_mean, own_cov in groups[1:]:
+                    mean, cov = pooled(n, own_mean, own_cov, mean, cov)
                 params.append(Estimates(mean, cov).flat())
-                shapes.append([*map(float, mean), *map(float, cov.ravel())])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(params, pa.list_(pa.float64())), pa.array(shapes, pa.list_(pa.float64()))], [key, "params", "shape"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(params, pa.list_(pa.float64()))], ["key", "start", "params"])
 
-    return moments.mapInArrow(lean(run), f"{key} string, params array<double>, shape array<double>")
+    return chain.mapInArrow(lean(run), "key string, start int, params array<double>")
 
 
-def _start(rows: DataFrame, key: str) -> DataFrame:
-    """Medians and scaled deviations (mergeable quantile sketches), as diagonal estimates."""
-    quantiles = [F.percentile_approx(f, [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i, f in enumerate(FEATURES)]
-    found = rows.groupBy(key).agg(*quantiles)
-    zero = F.lit(0.0)
-    inverse = [1 / (F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) + float(RIDGE[i, i])) if i == j else zero for i in range(P) for j in range(P)]
-    return found.select(key, F.array(*(F.col(f"q{i}")[1] for i in range(P)), *inverse).alias("params"))
+def _least(found: DataFrame) -> DataFrame:
+    """Of each group, the start whose scatter has the least determinant."""
 
+    def run(batches):
+        for batch in batches:
+            scatter = [np.array(s[P:]).reshape(P, P) + RIDGE for s in batch.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([float(np.linalg.slogdet(c)[1]) for c in scatter], pa.float64())], [*batch.schema.names, "det"])
 
-def _nearest(rows: DataFrame, key: str, params: DataFrame) -> DataFrame:
-    """The rows within their group's ``SUPPORT`` quantile of distance."""
-    bin_ = F.least(F.greatest(F.floor((F.log(F.col("_d") + 1e-9) - LOW) * GRAIN), F.lit(0)), F.lit(BINS)).cast("int")
-    near = rows.join(params, key).withColumn("_d", _distance("params")).withColumn("_bin", bin_)
-    bins = near.groupBy(key, "_bin").agg(F.count(F.lit(1)).alias("_n"))
-    limits = bins.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_bin", "_n"))).alias("_h"), F.sum("_n").alias("_all"))
-    # the first bin at which the running count reaches the share; at most BINS entries a group
-    walk = F.aggregate(
-        "_h",
-        F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).alias("bin")),
-        lambda a, x: F.struct((a["n"] + x["_n"]).alias("n"), F.when((a["bin"] < 0) & (a["n"] + x["_n"] >= F.ceil(F.col("_all") * SUPPORT)), x["_bin"]).otherwise(a["bin"]).alias("bin")),
-        lambda a: a["bin"],
-    )
-    return near.join(limits.select(key, walk.alias("_limit")), key).where("_bin <= _limit").select(key, "up", *FEATURES)
-
-
-def estimates(rows: DataFrame, key: str, wide: DataFrame | None, steps: int = 2) -> DataFrame:
-    """Minimum-covariance-determinant estimates per ``key``, drawn towards ``wide``: (key, params, shape).
-
-    ``rows``: key, the wider group ``up`` and the features.
-    """
-    params = staged(_start(rows, key), "mcd")
-    factor = _consistency(SUPPORT)
-    for _ in range(steps):
-        params = staged(_params(_moments(_nearest(rows, key, params.select(key, "params")), key), key, factor, wide), "mcd")
-    return params
-
-
-def _all_estimates(rows: DataFrame, steps: int) -> dict[str, DataFrame]:
-    good = rows.where("not base_failed").withColumns({"k0": F.lit("all"), "none": F.lit("")})
-    out, wide = {}, None
-    for key, up in (("k0", "none"), ("k1", "k0"), ("k2", "k1")):  # widest first
-        found = estimates(good.select(key, F.col(up).alias("up"), *FEATURES), key, wide, steps)
-        out[key] = found.select(key, "params")
-        wide = found.select(F.col(key).alias("up"), F.col("shape").alias("wide"))
-    return out
-
-
-def _verdicts(rows: DataFrame, found: dict[str, DataFrame]) -> DataFrame:
-    out = rows.withColumn("k0", F.lit("all"))
-    for k, params in found.items():
-        out = out.join(params.withColumnRenamed("params", f"p_{k}"), k, "left")
-    out = out.withColumn("_p", F.coalesce("p_k2", "p_k1", "p_k0")).withColumn("distance", _distance("_p"))
+    rows = found.mapInArrow(lean(run), "key string, start int, up string, n long, shape array<double>, det double")
+    best = rows.groupBy("key").agg(F.min_by(F.struct("up", "n", "shape"), F.struct("det", "start")).alias("g"))
+    return best.select("key", F.lit(0).alias("start"), "g.*")
+
+
+def estimates(rows: DataFrame, steps: int) -> DataFrame:
+    """Minimum-covariance-determinant estimates of all groups of all levels: (key, params)."""
+    long, factor = _long(rows), _consistency(SUPPORT)
+    params = staged(_start(long), "mcd")
+    for k in range(steps):
+        found = staged(_nearest(long, params, factor), "mcd")
+        params = staged(_params(found if k + 1 < steps else _least(found)), "mcd")
+    return params.drop("start")
+
+
+def _verdicts(rows: DataFrame, params: DataFrame) -> DataFrame:
+    """Distance by the estimates of the row's group; groups without any row that passes the base rules keep nothing."""
+    out = with_params(rows.withColumn("key", F.concat(F.lit("s"), F.col("k2"))), params, ["key"], "left").withColumn("distance", _distance("params"))
     inlier = F.coalesce(F.col("distance") <= chi2_quantile(P, TAIL), F.lit(True))
     return out.withColumn("kept", ~F.col("base_failed") & inlier)
 
 
-def judged(docs: DataFrame, steps: int = 2) -> DataFrame:
+def judged(docs: DataFrame, steps: int = STEPS) -> DataFrame:
     """One row a document: the statistics, base_failed, the squared distance and kept."""
     rows = staged(with_stats(docs, ["doc_id"]), "stats")
-    return _verdicts(rows, _all_estimates(rows, steps)).select("doc.doc_id", *_COLUMNS[:5], "base_failed", "distance", "kept")
+    return _verdicts(rows, estimates(rows, steps)).select("doc.doc_id", *_COLUMNS[:5], "base_failed", "distance", "kept")
 
 
-def filter_documents(docs: DataFrame, steps: int = 2) -> DataFrame:
+def filter_documents(docs: DataFrame, steps: int = STEPS) -> DataFrame:
     """``docs`` without the rejected documents, with all its columns.
 
     Statistics are made twice, once for the estimates and once beside the whole rows: that costs CPU time but shuffles
     and writes no text. The verdict joins one row a group of documents.
     """
-    found = _all_estimates(staged(with_stats(docs, ["doc_id"]), "stats"), steps)
+    found = estimates(staged(with_stats(docs, ["doc_id"]), "stats"), steps)
     return _verdicts(with_stats(docs, docs.columns), found).where("kept").select("doc.*")
