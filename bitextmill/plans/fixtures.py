@@ -61,3 +61,28 @@ def sql_memory(name: str, part: int) -> str:
 
 SQL_WORDS = "list_filter(regexp_split_to_array({0}, '\\s+'), lambda w: w <> '')"
 SQL_QA_WORDS = "list_filter(regexp_split_to_array(regexp_replace({0}, '[^\\p{{L}}\\p{{N}}\\s''-]', '', 'g'), '\\s+'), lambda w: length(w) > 1 AND regexp_full_match(w, '[\\p{{L}}''-]+'))"
+
+
+def sql_ratios(pairs: str) -> str:
+    """CTEs that end in ``ratios`` (a, b, ratio), for ``pairs``: a query of distinct texts a and b. Both must not hold chr(1).
+
+    The longest common stretch splits both texts; what is left and right of it is split again. In texts b of 200 characters
+    and more, characters of over one in a hundred cannot begin a stretch, only prolong one. To be put after WITH RECURSIVE.
+    """
+    frequent = "list_filter(list_distinct(string_split(b, '')), lambda x: length(b) >= 200 AND length(b) - length(replace(b, x, '')) > length(b) // 100 + 1)"
+    longest = """coalesce(list_max(flatten(list_transform(range(1, length(x) + 1), lambda i: list_transform(list_filter(range(1, length(x) - i + 2), lambda n: strpos(z, substr(x, i, n)) > 0),
+lambda n: {'n': n, 'i': -i, 'j': -strpos(z, substr(x, i, n))})))), {'n': 0, 'i': -1, 'j': -1})"""
+    before = "coalesce(list_min(list_filter(range(1, least(i, j)), lambda k: substr(x, i - k, 1) <> substr(y, j - k, 1))), least(i, j)) - 1"
+    room = "least(length(x) - i - n + 1, length(y) - j - n + 1)"
+    after = f"coalesce(list_min(list_filter(range(0, {room}), lambda k: substr(x, i + n + k, 1) <> substr(y, j + n + k, 1))), {room})"
+    return f"""asked AS ({pairs}), part AS (SELECT a, b, a AS x, b AS y, translate(b, array_to_string({frequent}, ''), repeat(chr(1), len({frequent}))) AS z, CAST(0 AS BIGINT) AS m FROM asked UNION ALL
+SELECT a, b, unnest([substr(x, 1, i - l - 1), substr(x, i + n + r, 100000), '']), unnest([substr(y, 1, j - l - 1), substr(y, j + n + r, 100000), '']), unnest([substr(z, 1, j - l - 1), substr(z, j + n + r, 100000), '']), unnest([0, 0, n + l + r])
+FROM (SELECT *, {before} AS l, {after} AS r FROM (SELECT a, b, x, y, z, best.n AS n, -best.i AS i, -best.j AS j FROM (SELECT a, b, x, y, z, {longest} AS best FROM part WHERE x <> '' AND y <> ''))) WHERE n + r > 0),
+ratios AS (SELECT a, b, CASE WHEN a = '' AND b = '' THEN 1.0 ELSE 2.0 * sum(m) / (length(a) + length(b)) END AS ratio FROM part GROUP BY a, b)"""
+
+
+def sql_could_reach(a: str, b: str, least: float) -> str:
+    """Whether the counts of letters and digits let a ratio of ``least`` be."""
+    shared = f"list_sum(list_transform(string_split('abcdefghijklmnopqrstuvwxyz0123456789 ', ''), lambda c: least(length({a}) - length(replace({a}, c, '')), length({b}) - length(replace({b}, c, '')))))"
+    rest = "length(regexp_replace({0}, '[a-z0-9 ]', '', 'g'))"
+    return f"2 * ({shared} + least({rest.format(a)}, {rest.format(b)})) >= {least} * (length({a}) + length({b}))"

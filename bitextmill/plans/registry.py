@@ -12,7 +12,7 @@ from ..functions.similarity import diff_spans
 from ..operators import analyze, fuzzy, memory, qa, review, segment
 from . import fixtures as D
 from . import formats
-from .fixtures import SQL_LINES, SQL_PAIRS, SQL_QA_WORDS, SQL_WORDS, sql_memory
+from .fixtures import SQL_LINES, SQL_PAIRS, SQL_QA_WORDS, SQL_WORDS, sql_could_reach, sql_memory, sql_ratios
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -44,7 +44,18 @@ def leverage_exact_report(spark, sf_dir):
     return analyze.exact_report(D.project(spark, sf_dir), D.memory_lines(spark, sf_dir))
 
 
-@query("leverage_report")
+_SQL_ITEMS = "items AS (SELECT item_id, i - 1 AS pos, parts[i] AS entry FROM (SELECT item_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT item_id, string_split(text, chr(10)) AS parts FROM benchmark)) WHERE trim(parts[i], ' ') <> '')"
+_SQL_CANDIDATES = f"SELECT DISTINCT c.entry AS a, f.entry AS b FROM fresh f, (SELECT entry, NULL AS item_id, NULL AS pos FROM items WHERE item_id % 2 = 0 UNION ALL SELECT entry, item_id, pos FROM first) c WHERE (c.item_id IS NULL OR (c.item_id, c.pos) < (f.item_id, f.pos)) AND {sql_could_reach('c.entry', 'f.entry', 0.5)}"
+
+
+@query(
+    "leverage_report",
+    f"""WITH RECURSIVE {_SQL_ITEMS}, occ AS (SELECT *, row_number() OVER (PARTITION BY entry ORDER BY item_id, pos) AS rn, len({SQL_WORDS.format('entry')}) AS words FROM items WHERE item_id % 2 = 1),
+first AS (SELECT * FROM occ WHERE rn = 1), fresh AS (SELECT * FROM first WHERE entry NOT IN (SELECT entry FROM items WHERE item_id % 2 = 0)), {sql_ratios(_SQL_CANDIDATES)},
+best AS (SELECT b, max(ratio) AS ratio FROM ratios GROUP BY b),
+c AS (SELECT words, CASE WHEN rn > 1 THEN 'Repetitions' WHEN entry IN (SELECT entry FROM items WHERE item_id % 2 = 0) THEN '100%' WHEN ratio >= 0.95 THEN '95%-99%' WHEN ratio >= 0.85 THEN '85%-94%' WHEN ratio >= 0.75 THEN '75%-84%' WHEN ratio >= 0.5 THEN '50%-74%' ELSE 'New' END AS band FROM occ LEFT JOIN best ON entry = b)
+SELECT 'benchmark' AS file, """ + ", ".join(f"CAST(coalesce(sum(words) FILTER (band = '{b}'), 0) AS BIGINT) AS \"{b}\"" for b in analyze.COLUMNS) + """, CAST(sum(words) AS BIGINT) AS "Total" FROM c HAVING count(*) > 0""",
+)
 def leverage_report(spark, sf_dir):
     """The full report of the lines of odd benchmark items, with the lines of even items as the memory."""
     items = D.table(spark, sf_dir, "benchmark").select(F.lit("benchmark").alias("file"), F.posexplode(F.split("text", "\n")).alias("pos", "entry"), "item_id").where(F.trim("entry") != "")
@@ -134,26 +145,49 @@ def tm_fuzzy_lookup(spark, sf_dir):
     return memory.lookup_segments(queries, tm, 0.9)
 
 
+@query(
+    "tm_fuzzy_hits",
+    f"""WITH RECURSIVE {_SQL_ITEMS}, {SQL_LINES}, tm AS (SELECT min(doc_id * 100000 + pos) AS id, entry AS source FROM lines GROUP BY entry), q AS (SELECT item_id * 1000 + pos AS query_id, entry FROM items),
+{sql_ratios("SELECT DISTINCT source AS a, entry AS b FROM tm, q WHERE 2 * least(length(source), length(entry)) >= 0.9 * (length(source) + length(entry)) AND " + sql_could_reach('source', 'entry', 0.9))}
+SELECT query_id, id, round(ratio, 9) AS ratio, source FROM ratios JOIN tm ON a = source JOIN q ON b = entry WHERE ratio >= 0.9""",
+)
+def tm_fuzzy_hits(spark, sf_dir):
+    """The hits of ``tm_fuzzy_lookup`` without the differences, which SQL cannot tell."""
+    return tm_fuzzy_lookup(spark, sf_dir).select("query_id", "id", F.round("ratio", 9).alias("ratio"), "source")
+
+
 @query("tm_diff_spans")
 def tm_diff_spans(spark, sf_dir):
     parts = D.table(spark, sf_dir, "part")
     return parts.select("p_partkey", diff_spans(F.col("p_type"), F.col("p_name")).alias("diff"))
 
 
-@query("fuzzy_part_names")
+@query(
+    "fuzzy_part_names",
+    f"""WITH RECURSIVE names AS (SELECT DISTINCT p_name AS p FROM part), {sql_ratios("SELECT x.p AS a, y.p AS b FROM names x, names y WHERE x.p <> y.p AND " + sql_could_reach('x.p', 'y.p', 0.85))}
+SELECT b AS q, a AS c, round(ratio, 9) AS ratio FROM ratios WHERE ratio >= 0.85""",
+)
 def fuzzy_part_names(spark, sf_dir):
     """Pairs of different part names with a similarity of 0.85."""
     names = D.table(spark, sf_dir, "part").select("p_name").distinct()
     queries, candidates = names.select(F.col("p_name").alias("q")), names.select(F.col("p_name").alias("c"))
-    return fuzzy.fuzzy_join(queries, candidates, "q", "c", 0.85, earlier=F.col("q") != F.col("c"))
+    return fuzzy.fuzzy_join(queries, candidates, "q", "c", 0.85, earlier=F.col("q") != F.col("c")).withColumn("ratio", F.round("ratio", 9))
 
 
-@query("term_lookup")
+@query(
+    "term_lookup",
+    f"""WITH RECURSIVE names AS (SELECT DISTINCT p_name AS source FROM part), tw AS (SELECT source, unnest({SQL_WORDS.format('lower(source)')}) AS word FROM names),
+asked_words AS (SELECT DISTINCT item_id AS query_id, unnest({SQL_WORDS.format("lower(regexp_replace(text, '<[^<>]+>', ' ', 'g'))")}) AS word FROM benchmark),
+{sql_ratios("SELECT DISTINCT q.word AS a, t.word AS b FROM asked_words q, tw t")},
+best AS (SELECT query_id, b AS word, max(ratio) AS best FROM asked_words JOIN ratios ON a = word GROUP BY query_id, b),
+s AS (SELECT query_id, source, sum(length(word) * best) / sum(length(word)) AS score FROM tw JOIN best USING (word) GROUP BY query_id, source)
+SELECT query_id, round(score, 9) AS score, source, '> ' || source AS target, 'approved' AS state, CAST(NULL AS VARCHAR) AS time, 'tb' AS submitted_by FROM s WHERE score >= 0.5""",
+)
 def term_lookup(spark, sf_dir):
     queries = D.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("entry"))
     parts = D.table(spark, sf_dir, "part")
     terms = parts.select(F.col("p_name").alias("source")).distinct().select(F.xxhash64("source").alias("id"), "source", F.concat(F.lit("> "), "source").alias("target"), F.lit("approved").alias("state"), F.lit(None).cast("string").alias("time"), F.lit("tb").alias("submitted_by"))
-    return memory.lookup_terms(queries, terms, 0.5)
+    return memory.lookup_terms(queries, terms, 0.5).withColumn("score", F.round("score", 9))
 
 
 @query(
