@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import byte_cnn, decontamination, line_crf, lm_scoring, near_dedup, packing, pii, quality_rules, sharding, toxicity
 from .common import table
@@ -58,6 +59,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op1_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op1 that SQL can tell: counts and the base score, rounded."""
+    base = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens"]
+    return op1_lm_scoring(spark, sf_dir).select(*base, F.round("base_score", 6).alias("base_score"))
+
+
+def op7_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op7 that SQL can tell: all but the verdict of the estimates."""
+    return op7_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def op9_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op9 that SQL can tell: the counts of base spans."""
+    return op9_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_decontamination": op2_decontamination,
@@ -69,6 +86,43 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_pii": op9_pii,
     "op10_toxicity": op10_toxicity,
+    "op1_base": op1_base,
+    "op7_base": op7_base,
+    "op9_base": op9_base,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = "regexp_extract_all(coalesce({0}, ''), '[^\\x20\\x09-\\x0D]+')"
+#: crc32 of an id as text, bit by bit.
+_CRC = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
+lambda c, b: list_reduce(list_prepend(xor(c, b), [CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+_DIGITS = "regexp_replace(x, '[^0-9]', '', 'g')"
+_LUHN = f"""length({_DIGITS}) BETWEEN 13 AND 19 AND list_sum(list_transform(string_split(reverse({_DIGITS}), ''),
+lambda ch, i: CASE WHEN i % 2 = 1 THEN CAST(ch AS INTEGER) ELSE 2 * CAST(ch AS INTEGER) - CASE WHEN CAST(ch AS INTEGER) > 4 THEN 9 ELSE 0 END END)) % 10 = 0"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_base": f"""WITH d AS (SELECT doc_id, {_CRC} % 5 = 1 AS held_out, list_append({_WORDS.format(_LOWER)}, '') AS words FROM documents),
+w AS (SELECT doc_id, held_out, unnest(words) AS word FROM d), c AS (SELECT word, count(*) AS c FROM w WHERE NOT held_out GROUP BY word), s AS (SELECT sum(c) AS n, count(*) AS v FROM c)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, CAST(any_value(n) AS BIGINT) AS train_tokens, round(sum(log10((coalesce(c, 0) + 0.5) / (n + 0.5 * (v + 1)))), 6) AS base_score
+FROM w LEFT JOIN c USING (word), s GROUP BY doc_id, held_out""",
+    # all pairs of texts that share a shingle, and the smallest id that links reach
+    "op4_near_dedup": f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS words FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, greatest(len(words) - 4, 1) + 1), lambda i: array_to_string(words[i:i + 4], ' ')))) AS sh FROM w WHERE len(words) > 0),
+g AS (SELECT min(doc_id) AS rep, sh FROM s GROUP BY sh), e AS (SELECT rep, len(sh) AS n, unnest(sh) AS x FROM g),
+p AS (SELECT a.rep AS a, b.rep AS b FROM e a JOIN e b ON a.x = b.x AND a.rep <> b.rep GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+r AS (SELECT rep AS id, rep AS top FROM g UNION SELECT p.b, r.top FROM r JOIN p ON p.a = r.id), l AS (SELECT id, min(top) AS top FROM r GROUP BY id),
+m AS (SELECT s.doc_id, l.top AS component_id FROM s JOIN g ON s.sh = g.sh JOIN l ON l.id = g.rep)
+SELECT w.doc_id, CAST(coalesce(len(s.sh), 0) AS BIGINT) AS n_shingles, coalesce(m.component_id, w.doc_id) AS component_id, coalesce(m.component_id, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN s ON w.doc_id = s.doc_id LEFT JOIN m ON w.doc_id = m.doc_id""",
+    "op7_base": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS.format('text')} AS words FROM documents),
+t AS (SELECT doc_id, unnest(range(1, len(words) - 1)) AS i, words FROM d WHERE len(words) > 2), k AS (SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS x FROM t),
+q AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS n FROM k), rep AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM q, (SELECT unnest([0, 1, 2]) AS j) WHERE n > 1 GROUP BY doc_id),
+ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d), dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM ln WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines,
+coalesce(rep.n, 0) AS n_repeat_words, len(words) < 50 OR 100 * coalesce(rep.n, 0) > 50 * len(words) AS base_failed FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN dup USING (doc_id)""",
+    "op9_base": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+')) AS BIGINT) AS n_email,
+CAST(len(list_filter(regexp_extract_all(text, '[0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)'), lambda x: len(list_filter(string_split(x, '.'), lambda p: TRY_CAST(p AS DOUBLE) > 255)) = 0)) AS BIGINT) AS n_ip,
+CAST(len(list_filter(regexp_extract_all(text, '[0-9]([\\x20-]?[0-9])+'), lambda x: {_LUHN})) AS BIGINT) AS n_card,
+CAST(len(list_filter(regexp_extract_all(text, '\\+[0-9][\\x20().0-9-]+[0-9]'), lambda x: length({_DIGITS}) BETWEEN 9 AND 15)) AS BIGINT) AS n_phone FROM d""",
+}
