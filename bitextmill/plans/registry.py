@@ -192,13 +192,13 @@ def term_lookup(spark, sf_dir):
 
 @query(
     "term_exact_hits",
-    f"""WITH terms AS (SELECT item_id AS id, list_distinct({SQL_WORDS.format("lower(split_part(text, '.', 1))")}) AS words FROM benchmark), each AS (SELECT id, len(words) AS need, unnest(words) AS word FROM terms WHERE len(words) > 0),
+    f"""WITH terms AS (SELECT item_id AS id, list_distinct({SQL_WORDS.format("lower(text)")}) AS words FROM benchmark), each AS (SELECT id, len(words) AS need, unnest(words) AS word FROM terms WHERE len(words) > 0),
 asked AS (SELECT DISTINCT doc_id AS query_id, unnest({SQL_WORDS.format("lower(regexp_replace(text, '<[^<>]+>', ' ', 'g'))")}) AS word FROM documents)
 SELECT query_id, id FROM asked JOIN each USING (word) GROUP BY query_id, id, need HAVING count(*) = need""",
 )
 def term_exact_hits(spark, sf_dir):
     queries = D.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("entry"))
-    terms = D.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.split("text", r"\.")[0].alias("source"))
+    terms = D.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("source"))
     return memory.exact_terms(queries, terms)
 
 
@@ -245,10 +245,10 @@ def segment_numbers(spark, sf_dir):
     return segment.numbered(rows).select("doc_id", F.col("unit_ord").alias("pos"), "segment_id")
 
 
-@query("peel_whitespace", "SELECT conv_id, turn, regexp_extract('  ' || text || ' ', '^(\\s*)', 1) AS head, regexp_replace(regexp_replace('  ' || text || ' ', '^\\s+', ''), '\\s+$', '') AS body FROM conversations")
+@query("peel_whitespace", "SELECT conv_id, turn, regexp_extract('  ' || text || ' ', '^(\\s*)', 1) AS head, regexp_replace(regexp_replace('  ' || text || ' ', '^\\s+', ''), '\\s+$', '') AS body, CASE WHEN regexp_matches(text, '\\S') THEN regexp_extract(text || ' ', '(\\s*)$', 1) ELSE '' END AS tail FROM conversations")
 def peel_whitespace(spark, sf_dir):
     turns = D.table(spark, sf_dir, "conversations").withColumn("p", segment.text_parts(F.concat(F.lit("  "), "text", F.lit(" "))))
-    return turns.select("conv_id", "turn", "p.head", "p.body")
+    return turns.select("conv_id", "turn", "p.head", "p.body", "p.tail")
 
 
 @query("txt_units", "SELECT doc_id, CAST(i AS INTEGER) AS unit_ord, parts[i] || CASE WHEN i < len(parts) THEN chr(10) ELSE '' END AS source, CASE WHEN trim(parts[i], ' ') = '' THEN 'ignorable' ELSE 'segment' END AS kind FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)) WHERE i < len(parts) OR parts[i] <> ''")
@@ -358,19 +358,24 @@ def qa_unknown_words(spark, sf_dir):
 _SQL_SIGNS = "(length(b) - length(replace(b, '''', ''))) <= (length(a) - length(replace(a, '''', ''))) AND (length(b) - length(replace(b, '-', ''))) <= (length(a) - length(replace(a, '-', '')))"
 
 
+#: One character put in, left out, changed or swapped with the next. DuckDB's own distances count bytes.
+_SQL_DROPPED = "len(list_filter(range(1, length({0}) + 1), lambda i: substr({0}, 1, i - 1) || substr({0}, i + 1) = {1})) > 0"
+_SQL_APART = "list_filter(range(1, length(a) + 1), lambda i: substr(a, i, 1) <> substr(word, i, 1))"
+_SQL_ONE_EDIT = f"""CASE WHEN length(a) = length(word) + 1 THEN {_SQL_DROPPED.format('a', 'word')} WHEN length(a) + 1 = length(word) THEN {_SQL_DROPPED.format('word', 'a')}
+ELSE len({_SQL_APART}) <= 1 OR (len({_SQL_APART}) = 2 AND {_SQL_APART}[2] = {_SQL_APART}[1] + 1 AND substr(a, {_SQL_APART}[1], 1) = substr(word, {_SQL_APART}[2], 1) AND substr(a, {_SQL_APART}[2], 1) = substr(word, {_SQL_APART}[1], 1)) END"""
+
+
 @query(
     "qa_corrections",
     f"""WITH {SQL_PAIRS}, {_SQL_UNKNOWN}, u AS (SELECT DISTINCT a FROM (SELECT unnest({SQL_QA_WORDS.format('source')}) AS a FROM pairs) WHERE a NOT IN (SELECT word FROM bm)),
-c AS (SELECT a, word AS b, count FROM u JOIN bmc ON regexp_full_match(a, '[A-Za-z''-]+') AND regexp_full_match(word, '[A-Za-z''-]+') AND abs(length(a) - length(word)) <= 1 AND damerau_levenshtein(a, word) <= 1),
+c AS (SELECT a, word AS b, count FROM u JOIN bmc ON abs(length(a) - length(word)) <= 1 AND damerau_levenshtein(a, word) <= 6 AND {_SQL_ONE_EDIT}),
 r AS (SELECT a AS word, b AS candidate, round(count / (SELECT sum(count) FROM bmc), 12) AS share, row_number() OVER (PARTITION BY a ORDER BY count DESC, b) AS place FROM c WHERE {_SQL_SIGNS})
 SELECT word, CAST(place AS BIGINT) AS place, candidate, share FROM r WHERE place <= 5""",
 )
 def qa_corrections(spark, sf_dir):
     model = qa.word_model(D.table(spark, sf_dir, "benchmark"))
     unknown = qa.unknown_words(D.pairs(spark, sf_dir), model, ["segment_id"], "source")
-    # words of ASCII letters, as DuckDB measures distances in bytes
-    plain = F.col("candidate").rlike("^[A-Za-z'-]+$")
-    found = qa.candidates(unknown.where(F.col("word").rlike("^[A-Za-z'-]+$")), model).where(plain)
+    found = qa.candidates(unknown, model)
     return qa.ranked_corrections(found).withColumn("share", F.round("share", 12))
 
 
