@@ -21,7 +21,20 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows and bytes of the batches that Python workers are sent, so that long texts are few at a time.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1024, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
+def bounded(spark: SparkSession) -> None:
+    """Lower the session's limits of Arrow batches to ``BATCH`` where they are higher."""
+    for name, most in BATCH.items():
+        now = re.match(r"-?\d+", spark.conf.get(name, None) or "0")
+        if now is None or not 0 < int(now[0]) <= most:
+            spark.conf.set(name, str(most))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -43,6 +56,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     A lost executor costs only the tasks it ran: later stages read the written files.
     """
     spark = df.sparkSession
+    bounded(spark)
     path = f"{shared_dir(spark)}/bitextmill/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _STAGED.append(path)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, slices, staged
+from .common import bounded, lean, staged
 
 #: Share of rows that the estimates are made from, and rows at which a group weighs as much as the wider group.
 SUPPORT, OWN = 0.75, 60
@@ -89,13 +89,17 @@ def text_stats(text: str | None) -> tuple[int, ...]:
 
 def with_stats(docs: DataFrame, keep: list[str]) -> DataFrame:
     """A struct ``doc`` of the columns ``keep``, lang and source as text, and the statistics of the whole text."""
+    bounded(docs.sparkSession)
     text = lambda c: F.col(c).cast("string").alias(c)
     source = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("doc"), text("lang"), text("source"), text("text"))
+    if "text" in keep and docs.schema["text"].dataType.simpleString() == "string":
+        source = source.drop("text")  # it is in ``doc`` already
     schema = f"doc {source.schema['doc'].dataType.simpleString()}, lang string, source string, {STATS}"
 
     def run(batches):
-        for batch in slices(batches):
-            rows = [text_stats(t) for t in batch.column(3).to_pylist()]
+        for batch in batches:
+            texts = batch.column(3) if batch.num_columns > 3 else batch.column(0).field("text")
+            rows = [text_stats(t.as_py()) for t in texts]
             columns = [pa.array(c, pa.int64()) for c in zip(*rows)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *columns], ["doc", "lang", "source", *_COLUMNS])
 
