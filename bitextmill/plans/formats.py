@@ -227,6 +227,24 @@ def sdlxliff_read(spark, sf_dir):
     return rows.select("file_id", "segment_id", *_text("source", "target"), "state", "locked")
 
 
+@query(
+    "bilingual_guard",
+    """SELECT CAST(conv_id AS VARCHAR) || '-' || k || '.' || suffix AS file_id, refused FROM (SELECT DISTINCT conv_id FROM conversations),
+(VALUES ('v1', 'xliff', NULL), ('v1', 'sdlxliff', 'the content is not that of a sdlxliff file'), ('sdl', 'sdlxliff', NULL), ('sdl', 'kxliff', 'the content is not that of a kxliff file'), ('v2', 'xliff', NULL), ('v2', 'kxliff', 'the content is not that of a kxliff file'), ('note', 'kxliff', NULL)) AS n(k, suffix, refused)""",
+)
+def bilingual_guard(spark, sf_dir):
+    """Files under suffixes that fit their content and under others."""
+    plain = _xliff(spark, sf_dir)
+    noted = bilingual.changed(plain, _remarks(spark, sf_dir, "issue", "resolve_issue")).select("file_id", "content")
+    named = lambda files, k, suffix: files.select(F.concat("file_id", F.lit(f"-{k}.{suffix}")).alias("file_id"), "content")
+    v1, sdl = _xliff1(spark, sf_dir), _sdl(spark, sf_dir)
+    each = [named(v1, "v1", "xliff"), named(v1, "v1", "sdlxliff"), named(sdl, "sdl", "sdlxliff"), named(sdl, "sdl", "kxliff"), named(plain, "v2", "xliff"), named(plain, "v2", "kxliff"), named(noted, "note", "kxliff")]
+    files = each[0]
+    for more in each[1:]:
+        files = files.unionByName(more)
+    return bilingual.guarded(bilingual.opened(files)).select("file_id", "refused")
+
+
 @query("sdlxliff_saved", f"WITH {_SQL_TURNS} SELECT file_id, id AS segment_id, CASE WHEN CAST(id AS INTEGER) % 2 = 0 THEN 'U ' ELSE 'S ' END || text AS target, CASE WHEN CAST(id AS INTEGER) % 2 = 0 THEN 'translated' ELSE 'draft' END AS state, CAST(id AS INTEGER) % 2 = 1 AS locked FROM t")
 def sdlxliff_saved(spark, sf_dir):
     """Updates by the rules of the dialect, written to the files: locked segments stay as they are."""

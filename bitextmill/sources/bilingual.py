@@ -203,6 +203,17 @@ def opened(files: DataFrame) -> DataFrame:
     return files.withColumn("f", run("content"))
 
 
+def guarded(opened_files: DataFrame) -> DataFrame:
+    """``opened_files`` with the column ``refused``: why a file cannot be what its suffix says, or null. Annotated and SDL files have
+    suffixes of their own; an annotated file without annotations declares their name space. Others may be any dialect."""
+    suffix, kind = F.lower(F.regexp_extract("file_id", r"\.([^./]+)$", 1)), F.col("f.format")
+    head = F.substring(F.decode(F.substring("content", 1, 4096), "ISO-8859-1"), 1, 4096)
+    declared = F.regexp_extract(head, r"(<xliff[^>]*>)", 1).rlike(r"xmlns:[A-Za-z]")
+    fits = F.when(suffix == "kxliff", (kind == "kxliff") | ((kind == "xliff2") & declared)).when(suffix == "sdlxliff", kind == "sdlxliff").otherwise(F.lit(True))
+    wrong = F.when(~F.coalesce(fits, F.lit(False)), F.concat(F.lit("the content is not that of a "), suffix, F.lit(" file")))
+    return opened_files.withColumn("refused", F.coalesce(F.col("f.error"), wrong))
+
+
 def segments_of(opened_files: DataFrame) -> DataFrame:
     """Rows of ``SEGMENTS``: states and locks decoded by dialect."""
     rows = opened_files.select("file_id", F.col("f.format").alias("_format"), F.explode("f.segments").alias("s")).select("file_id", "_format", "s.*")
