@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_cnn, decontamination, line_crf, lm_scoring, near_dedup, packing, pii, quality_rules, sharding, toxicity
+from . import byte_cnn, decontamination, divergence, line_crf, lm_scoring, near_dedup, packing, pii, prefix_trie, quality_rules, sharding, token_files, toxicity
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -59,6 +59,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op1_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op1 that SQL can tell: counts and the base score, rounded."""
     base = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens"]
@@ -86,6 +98,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_pii": op9_pii,
     "op10_toxicity": op10_toxicity,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_token_files": op13_token_files,
     "op1_base": op1_base,
     "op7_base": op7_base,
     "op9_base": op9_base,
@@ -94,8 +109,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all(coalesce({0}, ''), '[^\\x20\\x09-\\x0D]+')"
 #: crc32 of an id as text, bit by bit.
-_CRC = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
+_CRC_OF = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
 lambda c, b: list_reduce(list_prepend(xor(c, b), [CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+_CRC = _CRC_OF.format("doc_id")
+_TERMS = "regexp_extract_all(" + _LOWER.replace("text", "coalesce(text, '')") + ", '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
 _DIGITS = "regexp_replace(x, '[^0-9]', '', 'g')"
 _LUHN = f"""length({_DIGITS}) BETWEEN 13 AND 19 AND list_sum(list_transform(string_split(reverse({_DIGITS}), ''),
 lambda ch, i: CASE WHEN i % 2 = 1 THEN CAST(ch AS INTEGER) ELSE 2 * CAST(ch AS INTEGER) - CASE WHEN CAST(ch AS INTEGER) > 4 THEN 9 ELSE 0 END END)) % 10 = 0"""
@@ -125,4 +142,26 @@ SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]
 CAST(len(list_filter(regexp_extract_all(text, '[0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)'), lambda x: len(list_filter(string_split(x, '.'), lambda p: TRY_CAST(p AS DOUBLE) > 255)) = 0)) AS BIGINT) AS n_ip,
 CAST(len(list_filter(regexp_extract_all(text, '[0-9]([\\x20-]?[0-9])+'), lambda x: {_LUHN})) AS BIGINT) AS n_card,
 CAST(len(list_filter(regexp_extract_all(text, '\\+[0-9][\\x20().0-9-]+[0-9]'), lambda x: length({_DIGITS}) BETWEEN 9 AND 15)) AS BIGINT) AS n_phone FROM d""",
+    # every node by its whole list of turns, and every subtree by the nodes that begin with its list
+    "op11_prefix_trie": f"""WITH t AS (SELECT conv_id, concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')) AS x, CAST(length(coalesce(text, '')) AS BIGINT) AS n, turn FROM conversations WHERE conv_id IS NOT NULL),
+p AS (SELECT conv_id, x, n, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(x)) AS p FROM t),
+c AS (SELECT conv_id, CASE WHEN conv_id % 100 = 0 THEN 0 ELSE h END AS h FROM (SELECT conv_id, {_CRC_OF.format("conv_id")} % 6 AS h FROM (SELECT DISTINCT conv_id FROM p))),
+r AS (SELECT c.conv_id, 0 AS own, p.p, p.x, p.n FROM c JOIN p ON p.conv_id = c.conv_id - c.conv_id % 100 AND p.p <= c.h UNION ALL SELECT c.conv_id, 1, p.p, p.x, p.n FROM c JOIN p ON p.conv_id = c.conv_id AND p.p > c.h),
+s AS (SELECT c.conv_id, list(x ORDER BY own, p) FILTER (WHERE x IS NOT NULL) AS xs, list(n ORDER BY own, p) FILTER (WHERE x IS NOT NULL) AS ns FROM c LEFT JOIN r USING (conv_id) GROUP BY c.conv_id),
+m AS (SELECT conv_id, unnest(range(0, coalesce(len(xs), 0) + 1)) AS d, coalesce(xs, []) AS xs, ns FROM s),
+k AS (SELECT xs[1:d] AS path, d, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * coalesce(any_value(ns[d]), 0) AS saved, max(len(xs)) = d AS leaf, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE len(xs) = d), '')) AS ends FROM m GROUP BY xs[1:d], d),
+u AS (SELECT path[1:a] AS path, count(*) FILTER (WHERE a = d - 1) AS n_children, count(*) FILTER (WHERE leaf) AS n_leaves, sum(saved) AS saved FROM (SELECT path, d, saved, leaf, unnest(range(0, d + 1)) AS a FROM k) GROUP BY path[1:a])
+SELECT k.conv_id, k.d AS depth, CASE WHEN k.d > 0 THEN o.conv_id END AS parent_conv_id, k.n_convs, u.n_children, u.n_leaves, CAST(u.saved AS BIGINT) AS saved_tokens, k.ends AS ends_sha256
+FROM k JOIN u USING (path) LEFT JOIN k o ON o.path = k.path[1:k.d - 1] AND o.d = k.d - 1""",
+    # every group with every kept term, absent ones too
+    "op12_source_divergence": f"""WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_TERMS} AS words FROM documents), w AS (SELECT doc, lang, source, unnest(words) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS total FROM w GROUP BY lang, term HAVING count(DISTINCT doc) >= 10), v AS (SELECT lang, count(*) AS v, sum(total) AS m FROM kept GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS cnt FROM w SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term), g AS (SELECT DISTINCT lang, source FROM d),
+n AS (SELECT g.lang, g.source, coalesce(sum(cnt), 0) AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY g.lang, g.source),
+s AS (SELECT n.lang, n.source, kept.term, coalesce(cnt, 0) AS cnt, CAST(1 + CAST(1000000000 AS HUGEINT) * (coalesce(cnt, 0) + 2) // (n + 2 * v) AS BIGINT) AS p, CAST(1 + CAST(1000000000 AS HUGEINT) * (total + 2) // (m + 2 * v) AS BIGINT) AS q
+FROM n JOIN v USING (lang) JOIN kept USING (lang) LEFT JOIN c ON c.lang = n.lang AND c.source = n.source AND c.term = kept.term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM s a JOIN s b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+o AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM s WHERE cnt > 0 AND p > q),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank FROM o) SELECT lang, source, part, item, value, rank FROM k WHERE part = 'pair' OR rank <= 10""",
 }
