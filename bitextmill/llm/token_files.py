@@ -3,7 +3,8 @@
 Documents are put in ascending order of id over as many partitions as their texts need; each task encodes whole texts, ends
 each with an id of its own and cuts the run of ids into sequences of ``length``. A file is one Arrow stream
 
-    ids   fixed-size list of uint32     mask   fixed-size list of uint8 (1: an id, 0: padding behind the last one)
+    ids   fixed-size list of uint16, or of uint32 where the vocabulary needs it
+    mask  fixed-size list of bits (1: an id, 0: padding behind the last one)
 
 in record batches of ``rows`` sequences. Full batches take the same number of bytes, so sequence i of a mapped file is found
 by arithmetic and read without a copy (``sequence``). Beside it lies the table of its documents, a stream too: doc_id, where
@@ -21,6 +22,9 @@ whole and span as many sequences as they need. Other columns are ignored, whatev
 from __future__ import annotations
 
 import contextlib
+import json
+import os
+import re
 import uuid
 import zlib
 
@@ -36,42 +40,38 @@ from .common import bounded, lean, shared_dir, slices, staged
 MANIFEST = "part int, file int, path string, n_docs long, n_ids long"
 DOCUMENTS = "part int, file int, doc_id long, at long, n_tokens long, ids_crc32 long"
 FILE_IDS = 1 << 24  #: ids after which a task begins another file
-HELD = 300_000  #: distinct words whose ids a task remembers
+HELD = 600_000  #: distinct words whose ids a task remembers
 WORD = 64  #: bytes of the longest word that is remembered
 
 
-class Words(dict):
-    """Ids of words as bytes, encoded when first met; at most ``HELD`` are remembered."""
+#: Places between a letter of ASCII and a mark that is no apostrophe: no word of such a file goes over one.
+PARTS = re.compile(rb"(?<=[a-z])(?=[!-&(-/:-@\[-`{-~])").sub
 
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self.encode(word.decode())
-        if len(word) <= WORD:
-            if len(self) >= HELD:
-                self.clear()
-            self[word] = ids
-        return ids
+#: Letters of ASCII in lower case, and those of U+00C0 to U+00FF.
+LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
 
 
 class Encoder:
-    """Little-endian uint32 ids of whole texts by a tokenizer file, the end id last.
+    """Ids of whole texts by a tokenizer file, the end id last, in the narrowest unsigned type that holds its vocabulary.
 
-    Where the file drops white space and takes the words between one by one, a text is encoded word by word, each distinct
-    word once; other files and texts that hold a special token's string are encoded whole. Both give the same ids.
+    Where the file drops white space and takes the words between one by one, each distinct word is encoded once and texts are
+    put together from their words; other files and texts that hold a special token's string are encoded whole. Both give the
+    same ids.
     """
 
     def __init__(self, path: str, end_id: int = 2):
-        import json
-
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.end = np.array([end_id], "<u4").tobytes()
+        self.type = id_type(path)
+        self.end = np.array([end_id], self.type).tobytes()
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words = Words(self.whole) if self._by_word(json.loads(self.tokenizer.to_str())) else None
+        file = json.loads(self.tokenizer.to_str())
+        self.by_word, suffix, vocabulary = self._by_word(file), file["model"].get("end_of_word_suffix"), self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # ids that end a word
+        self.last[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
+        self.words: dict[bytes, bytes] = {}
 
     @staticmethod
     def _by_word(file: dict) -> bool:
@@ -94,33 +94,70 @@ class Encoder:
             and not file["model"].get("dropout")
         )
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def encode(self, text: bytes) -> bytes:
-        if self.words is None or any(s in text for s in self.special):
-            return self.whole(text.decode()) + self.end
-        return b"".join(map(self.words.__getitem__, text.split())) + self.end
+    def whole(self, texts: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+        return [np.array(x.ids, self.type).tobytes() for x in found]
+
+    def together(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words that are letters only, encoded as one text and parted behind the ids that end a word."""
+        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, self.type)
+        ends = (np.flatnonzero(self.last[ids]) + 1) * ids.itemsize
+        if len(ends) != len(words):
+            return self.whole(words)
+        joined = ids.tobytes()
+        return [joined[i:j] for i, j in zip([0, *ends.tolist()], ends.tolist())]
+
+    def learn(self, unseen: set[bytes]) -> None:
+        plain = [w for w in unseen if LETTERS(w)] if self.last.any() else []
+        for words, ids in ((plain, self.together), (list(unseen.difference(plain)), self.whole)):
+            for i in range(0, len(words), 4096):
+                part = words[i : i + 4096]
+                self.words.update(zip(part, ids(part)))
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each text of a batch; words that the batch does not hold go when too many are remembered."""
+        split = [PARTS(rb" ", t.lower()).split() if self.by_word and not any(s in t for s in self.special) else None for t in texts]
+        found = [ws and list(map(self.words.get, ws)) for ws in split]
+        gaps = [(ws, ids, [i for i, x in enumerate(ids) if x is None]) for ws, ids in zip(split, found) if ws and None in ids]
+        unseen = {ws[i] for ws, _, at in gaps for i in at}
+        if len(self.words) + len(unseen) > HELD:
+            here = set().union(*filter(None, split))
+            self.words = {w: self.words[w] for w in here & self.words.keys()}
+        self.learn(unseen)
+        for ws, ids, at in gaps:
+            for i in at:
+                ids[i] = self.words[ws[i]]
+        for w in (w for w in unseen if len(w) > WORD):
+            del self.words[w]
+        joined = [self.whole([t])[0] if ids is None else b"".join(ids) for ids, t in zip(found, texts)]
+        return [np.frombuffer(x + self.end, self.type) for x in joined]
+
+
+def id_type(path: str) -> str:
+    from tokenizers import Tokenizer
+
+    return "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "<u4"
 
 
-def _schema(length: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))])
+def _batch(ids: np.ndarray, mask: np.ndarray, length: int) -> pa.RecordBatch:
+    lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), length) for x in (ids, mask)]
+    return pa.RecordBatch.from_arrays(lists, schema=_schema(ids.dtype, length))
 
 
-def _batch(ids: np.ndarray, mask: np.ndarray, length: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(ids), length), pa.FixedSizeListArray.from_arrays(pa.array(mask), length)], schema=_schema(length))
+def _schema(kind: np.dtype | str, length: int) -> pa.Schema:
+    return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(np.dtype(kind)), length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
 class Writer:
     """One stream of sequences and the stream of its documents; holds one batch at most."""
 
-    def __init__(self, folder: str, name: str, length: int, rows: int):
+    def __init__(self, folder: str, name: str, kind: str, length: int, rows: int):
         store, path = fs.FileSystem.from_uri(folder)
         store.create_dir(path, recursive=True)
-        self.length, self.room = length, rows * length
+        self.kind, self.length, self.room = kind, length, rows * length
         self.path, self.n_ids, self.n_docs = f"{folder}/{name}.arrows", 0, 0
         self.files = [store.open_output_stream(f"{path}/{name}.arrows"), store.open_output_stream(f"{path}/{name}.documents.arrows")]
-        self.ids = pa.ipc.new_stream(self.files[0], _schema(length))
+        self.ids = pa.ipc.new_stream(self.files[0], _schema(kind, length))
         self.index = pa.ipc.new_stream(self.files[1], pa.schema([("doc_id", pa.int64()), ("at", pa.int64()), ("n_tokens", pa.int64())]))
         self.buffer, self.held, self.docs = [], 0, ([], [], [])
 
@@ -133,7 +170,7 @@ class Writer:
         while self.held + len(ids) >= self.room:
             now, ids = ids[: self.room - self.held], ids[self.room - self.held :]
             full = np.concatenate([*self.buffer, now])
-            self.ids.write_batch(_batch(full, np.ones(self.room, np.uint8), self.length))
+            self.ids.write_batch(_batch(full, np.ones(self.room, bool), self.length))
             self.buffer, self.held = [], 0
         if len(ids):
             self.buffer.append(ids)
@@ -146,8 +183,8 @@ class Writer:
     def close(self) -> None:
         if self.held:
             n = -(-self.held // self.length) * self.length
-            ids, mask = np.zeros(n, np.uint32), np.zeros(n, np.uint8)
-            ids[: self.held], mask[: self.held] = np.concatenate(self.buffer), 1
+            ids, mask = np.zeros(n, self.kind), np.zeros(n, bool)
+            ids[: self.held], mask[: self.held] = np.concatenate(self.buffer), True
             self.ids.write_batch(_batch(ids, mask, self.length))
         if self.docs[0]:
             self._documents()
@@ -175,10 +212,10 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, length: int = 2048,
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((part, pa.int32()), (file, pa.int32()), (writer.path, pa.string()), (writer.n_docs, pa.int64()), (writer.n_ids, pa.int64()))], ["part", "file", "path", "n_docs", "n_ids"])
 
         for batch in slices(batches):
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist())):
                 if writer is None:
-                    writer = Writer(folder, f"{part:06d}-{file:04d}-{attempt}", length, rows)
-                writer.add(doc_id, np.frombuffer(encoder.encode(text.as_py()), np.uint32))
+                    writer = Writer(folder, f"{part:06d}-{file:04d}-{attempt}", encoder.type, length, rows)
+                writer.add(doc_id, ids)
                 if writer.n_ids >= file_ids:
                     yield done()
                     writer, file = None, file + 1
@@ -200,7 +237,7 @@ def documents(path: str):
     """(doc_id, at, ids) of each document of a file, in order; ids are views of the file where one batch holds them."""
     with opened(path) as source, opened(path.removesuffix(".arrows") + ".documents.arrows") as index:
         stream = pa.ipc.open_stream(source)
-        here, base = np.zeros(0, np.uint32), 0  # the batch at hand and the place of its first id
+        here, base = np.zeros(0, np.uint16), 0  # the batch at hand and the place of its first id
         for batch in pa.ipc.open_stream(index):
             for doc_id, at, n in zip(*(c.to_pylist() for c in batch.columns)):
                 parts, need = [], n
@@ -208,15 +245,14 @@ def documents(path: str):
                     if at + n - need >= base + len(here):
                         base += len(here)
                         now = stream.read_next_batch()
-                        mask = now.column("mask").flatten().to_numpy()
-                        here = now.column("ids").flatten().to_numpy()[: int(mask.sum())]
+                        here = now.column("ids").flatten().to_numpy()[: now.column("mask").flatten().true_count]
                     first = at + n - need - base
                     parts.append(here[first : first + need])
                     need -= len(parts[-1])
                 yield doc_id, at, parts
 
 
-def sequence(path: str, i: int) -> tuple[np.ndarray, np.ndarray]:
+def sequence(path: str, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
     """Ids and mask of sequence ``i`` of a file on this machine, read in place: all full batches are of one size."""
     source = pa.memory_map(fs.FileSystem.from_uri(path)[1])
     schema = pa.ipc.read_schema(source)
@@ -227,7 +263,8 @@ def sequence(path: str, i: int) -> tuple[np.ndarray, np.ndarray]:
     batch = pa.ipc.read_record_batch(pa.ipc.read_message(source), schema)
     if i % rows >= batch.num_rows:
         raise IndexError(i)
-    return tuple(batch.column(c).slice(i % rows, 1).flatten().to_numpy() for c in ("ids", "mask"))
+    ids, mask = (batch.column(c).slice(i % rows, 1).flatten() for c in ("ids", "mask"))
+    return ids.to_numpy(), mask
 
 
 def read(manifest: DataFrame) -> DataFrame:
@@ -247,7 +284,7 @@ def read(manifest: DataFrame) -> DataFrame:
                 for doc_id, at, parts in documents(path):
                     crc = 0
                     for x in parts:
-                        crc = zlib.crc32(x, crc)
+                        crc = zlib.crc32(x.astype("<u4"), crc)
                     for c, v in zip(found, (doc_id, at, sum(map(len, parts)), crc)):
                         c.append(v)
                     if len(found[0]) >= 10_000:
