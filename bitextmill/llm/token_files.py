@@ -38,7 +38,8 @@ from pyspark.sql import functions as F
 from .common import bounded, lean, shared_dir, slices, staged
 
 MANIFEST = "part int, file int, path string, n_docs long, n_ids long"
-DOCUMENTS = "part int, file int, doc_id long, at long, n_tokens long, ids_crc32 long"
+COLUMNS = ["doc_id", "start", "n_tokens", "ids_crc32"]
+MOST_TASKS = 10_000  #: tasks that read files; each reads as many as it must
 FILE_IDS = 1 << 24  #: ids after which a task begins another file
 HELD = 600_000  #: distinct words whose ids a task remembers
 WORD = 64  #: bytes of the longest word that is remembered
@@ -270,32 +271,25 @@ def sequence(path: str, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
 def read(manifest: DataFrame) -> DataFrame:
     """One row a document, from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
     before = Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
-    starts = manifest.select("part", "file", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
+    files = manifest.select("path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
 
     def run(batches):
         for batch in batches:
-            for part, file, path in zip(*(batch.column(c).to_pylist() for c in ("part", "file", "path"))):
+            for path, base in zip(*(batch.column(c).to_pylist() for c in ("path", "base"))):
                 found: list[list] = [[], [], [], []]
-
-                def rows():
-                    n = len(found[0])
-                    return pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array([file] * n, pa.int32()), *(pa.array(c, pa.int64()) for c in found)], ["part", "file", "doc_id", "at", "n_tokens", "ids_crc32"])
-
                 for doc_id, at, parts in documents(path):
                     crc = 0
                     for x in parts:
                         crc = zlib.crc32(x.astype("<u4"), crc)
-                    for c, v in zip(found, (doc_id, at, sum(map(len, parts)), crc)):
+                    for c, v in zip(found, (doc_id, base + at, sum(map(len, parts)), crc)):
                         c.append(v)
                     if len(found[0]) >= 10_000:
-                        yield rows()
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], COLUMNS)
                         found = [[], [], [], []]
-                if found[0]:
-                    yield rows()
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], COLUMNS)
 
-    spread = manifest.repartition("part", "file")
-    rows = spread.mapInArrow(lean(run), DOCUMENTS)
-    return rows.join(starts, ["part", "file"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    tasks = max(1, min(manifest.count(), MOST_TASKS))
+    return files.repartition(tasks, "path").mapInArrow(lean(run), ", ".join(f"{c} long" for c in COLUMNS))
 
 
 def new_folder(spark: SparkSession) -> str:
