@@ -22,6 +22,7 @@ whole and span as many sequences as they need. Other columns are ignored, whatev
 from __future__ import annotations
 
 import contextlib
+import functools
 import json
 import os
 import re
@@ -134,6 +135,12 @@ class Encoder:
         return [np.frombuffer(x + self.end, self.type) for x in joined]
 
 
+@functools.lru_cache(maxsize=1)
+def encoder_of(path: str, end_id: int) -> Encoder:
+    """The encoder of a worker process, which keeps what it has learnt from task to task."""
+    return Encoder(path, end_id)
+
+
 def id_type(path: str) -> str:
     from tokenizers import Tokenizer
 
@@ -205,7 +212,7 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, length: int = 2048,
     ordered = ordered.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "text")
 
     def run(batches):
-        encoder, part, attempt = Encoder(tokenizer_path, end_id), TaskContext.get().partitionId(), uuid.uuid4().hex
+        encoder, part, attempt = encoder_of(tokenizer_path, end_id), TaskContext.get().partitionId(), uuid.uuid4().hex
         writer, file = None, 0
 
         def done():
