@@ -88,7 +88,8 @@ def from_segments(segments: DataFrame) -> DataFrame:
 
 def lookup_segments(queries: DataFrame, memory: DataFrame, least: float = 0.5, autojunk: bool = True) -> DataFrame:
     """Fuzzy hits of ``queries`` (query_id, entry): ratio, character differences, both sides, in memory order by id."""
-    hits = fuzzy_join(queries.select("query_id", "entry"), memory, "entry", "source", least, autojunk)
+    hits = fuzzy_join(queries.select("query_id", "entry"), memory.select("id", "source"), "entry", "source", least, autojunk)
+    hits = hits.join(memory.drop("source"), "id")
     return hits.select("query_id", "id", "ratio", diff_spans(F.col("source"), F.col("entry")).alias("diff"), "source", "target", "state", "time", "submitted_by")
 
 

@@ -135,14 +135,24 @@ def tm_latest_per_source(spark, sf_dir):
     return D.lines(spark, sf_dir).groupBy(F.col("entry").alias("source")).agg(F.max(_line_id()).alias("id"), F.max_by(F.concat(F.lit("> "), "entry"), _line_id()).alias("target"))
 
 
-@query("tm_fuzzy_lookup")
-def tm_fuzzy_lookup(spark, sf_dir):
-    """Every benchmark item's lines against a memory of all document lines."""
+@query("leverage_documents")
+def leverage_documents(spark, sf_dir):
+    """The full report of the lines of odd documents, one file a source, with the lines of even documents as the memory."""
+    return analyze.report(D.project(spark, sf_dir), D.memory_lines(spark, sf_dir))
+
+
+def _line_hits(spark, sf_dir, least):
     items = D.table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", "\n")).alias("pos", "entry")).where(F.trim("entry") != "")
     queries = items.select((F.col("item_id") * 1000 + F.col("pos")).alias("query_id"), "entry")
     tm = D.lines(spark, sf_dir).groupBy(F.col("entry").alias("source")).agg(F.min(_line_id()).alias("id"))
     tm = tm.select("id", "source", F.concat(F.lit("> "), "source").alias("target"), F.lit("translated").alias("state"), F.lit(None).cast("string").alias("time"), F.lit("tm").alias("submitted_by"))
-    return memory.lookup_segments(queries, tm, 0.9)
+    return memory.lookup_segments(queries, tm, least)
+
+
+@query("tm_fuzzy_lookup")
+def tm_fuzzy_lookup(spark, sf_dir):
+    """Every benchmark item's lines against a memory of all document lines, at the default threshold."""
+    return _line_hits(spark, sf_dir, 0.5)
 
 
 @query(
@@ -152,8 +162,8 @@ def tm_fuzzy_lookup(spark, sf_dir):
 SELECT query_id, id, round(ratio, 9) AS ratio, source FROM ratios JOIN tm ON a = source JOIN q ON b = entry WHERE ratio >= 0.9""",
 )
 def tm_fuzzy_hits(spark, sf_dir):
-    """The hits of ``tm_fuzzy_lookup`` without the differences, which SQL cannot tell."""
-    return tm_fuzzy_lookup(spark, sf_dir).select("query_id", "id", F.round("ratio", 9).alias("ratio"), "source")
+    """The hits at a threshold of 0.9 without the differences, which SQL cannot tell."""
+    return _line_hits(spark, sf_dir, 0.9).select("query_id", "id", F.round("ratio", 9).alias("ratio"), "source")
 
 
 @query("tm_diff_spans")
@@ -171,7 +181,7 @@ def fuzzy_part_names(spark, sf_dir):
     """Pairs of different part names with a similarity of 0.85."""
     names = D.table(spark, sf_dir, "part").select("p_name").distinct()
     queries, candidates = names.select(F.col("p_name").alias("q")), names.select(F.col("p_name").alias("c"))
-    return fuzzy.fuzzy_join(queries, candidates, "q", "c", 0.85, earlier=F.col("q") != F.col("c")).withColumn("ratio", F.round("ratio", 9))
+    return fuzzy.fuzzy_join(queries, candidates, "q", "c", 0.85).where("q <> c").withColumn("ratio", F.round("ratio", 9))
 
 
 @query(
