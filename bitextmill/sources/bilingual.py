@@ -382,14 +382,28 @@ class Container:
         self.space = self.root.tag[: self.root.tag.index("}") + 1] if self.root.tag.startswith("{") else ""
         self.notes_space = _annotated(self.root)
         self.units = {id(c): unit for unit in _iter(self.root, "unit") for c in unit}
+        self.by_id: dict[str | None, ET.Element] = {}
+        self.notes: dict[tuple, ET.Element] = {}
+        self.issues: dict[tuple, ET.Element] = {}
+        for unit in _iter(self.root, "unit"):
+            self.by_id.setdefault(unit.get("id"), unit)
+        for kind, known in (("note", self.notes), ("locQualityIssue", self.issues)):
+            for x in _iter(self.root, kind):
+                known.setdefault((x.get("segment"), x.get("id")), x)
+        self.segments: dict[tuple, list[ET.Element]] = {}  # in file order, in any unit and in units of an id
+        for unit in _iter(self.root, "unit"):
+            for c in unit:
+                if local(c) == "segment":
+                    for key in {(None, c.get("id")), (unit.get("id"), c.get("id"))}:
+                        self.segments.setdefault(key, []).append(c)
+        self.parts: dict[tuple, ET.Element] = {}
+        self.histories: dict[int, dict] = {}  # by history, then segment
 
     def segment(self, id_: str | None, unit_id: str | None = None) -> ET.Element:
-        for unit in _iter(self.root, "unit"):
-            if unit_id is None or unit.get("id") == unit_id:
-                for c in unit:
-                    if local(c) == "segment" and c.get("id") == id_:
-                        return c
-        raise ValueError(f"segment {id_} does not exist")
+        found = self.segments.get((unit_id, id_))
+        if not found:
+            raise ValueError(f"segment {id_} does not exist")
+        return found[0]
 
     def _locked(self, segment: ET.Element) -> bool:
         return "locked" in segment.get("subState", "")
@@ -398,6 +412,12 @@ class Container:
         found = _find(parent, name)
         return found if found is not None else ET.SubElement(parent, f"{space}{name}")
 
+    def _part(self, unit: ET.Element, name: str, space: str) -> ET.Element:
+        """A child that a unit has once and keeps."""
+        if (id(unit), name) not in self.parts:
+            self.parts[id(unit), name] = self._child(unit, name, space)
+        return self.parts[id(unit), name]
+
     def update(self, c: dict) -> None:
         segment = self.segment(c["segment_id"], c["unit_id"])
         if self._locked(segment):
@@ -416,10 +436,15 @@ class Container:
         target = _find(segment, "target")
         if target is None or (not len(target) and not target.text):
             return
-        history = self._child(self.units[id(segment)], "history", self.notes_space)
-        versions = next((s for s in history if s.get("id") == segment.get("id")), None)
+        history = self._part(self.units[id(segment)], "history", self.notes_space)
+        if id(history) not in self.histories:
+            known = self.histories[id(history)] = {}
+            for s in history:
+                known.setdefault(s.get("id"), s)
+        known = self.histories[id(history)]
+        versions = known.get(segment.get("id"))
         if versions is None:
-            versions = ET.SubElement(history, f"{self.notes_space}segment", {"id": segment.get("id")})
+            versions = known[segment.get("id")] = ET.SubElement(history, f"{self.notes_space}segment", {"id": segment.get("id")})
         if len(versions) and tokens_v2(versions[-1]) == tokens_v2(target):
             return
         kept = copy.deepcopy(target)
@@ -439,27 +464,29 @@ class Container:
 
     def comment(self, c: dict) -> None:
         unit = self.units[id(self.segment(c["segment_id"], c["unit_id"]))]
-        notes = self._child(unit, "notes", self.space)
+        notes = self._part(unit, "notes", self.space)
         note = ET.SubElement(notes, f"{self.space}note", {"id": str(len(notes) + 1), "segment": c["segment_id"], "state": "open", "added_at": c["at"] or "", "added_by": c["by"] or ""})
         note.text = c["text"]
+        self.notes.setdefault((note.get("segment"), note.get("id")), note)
 
     def resolve_comment(self, c: dict) -> None:
-        note = next((n for n in _iter(self.root, "note") if n.get("segment") == c["segment_id"] and n.get("id") == c["remark_id"]), None)
+        note = self.notes.get((c["segment_id"], c["remark_id"]))
         if note is None:
             raise ValueError(f"comment {c['remark_id']} does not exist")
         for name, value in (("resolved_at", c["at"]), ("resolved_by", c["by"]), ("state", "resolved")):
             note.set(name, value or "")
 
     def issue(self, c: dict) -> None:
-        unit = next((u for u in _iter(self.root, "unit") if u.get("id") == c["unit_id"]), None) if c["unit_id"] else self.units[id(self.segment(c["segment_id"]))]
+        unit = self.by_id.get(c["unit_id"]) if c["unit_id"] else self.units[id(self.segment(c["segment_id"]))]
         if unit is None:
             raise ValueError(f"unit {c['unit_id']} does not exist")
-        issues = self._child(unit, "locQualityIssues", self.notes_space)
+        issues = self._part(unit, "locQualityIssues", self.notes_space)
         values = {"id": str(len(issues) + 1), "segment": c["segment_id"] or "N/A", "type": c["type"], "comment": c["text"], "severity": c["severity"], "added_at": c["at"], "added_by": c["by"]}
-        ET.SubElement(issues, f"{self.notes_space}locQualityIssue", {k: v or "" for k, v in values.items()})
+        issue = ET.SubElement(issues, f"{self.notes_space}locQualityIssue", {k: v or "" for k, v in values.items()})
+        self.issues.setdefault((issue.get("segment"), issue.get("id")), issue)
 
     def resolve_issue(self, c: dict) -> None:
-        issue = next((i for i in _iter(self.root, "locQualityIssue") if i.get("segment") == (c["segment_id"] or "N/A") and i.get("id") == c["remark_id"]), None)
+        issue = self.issues.get((c["segment_id"] or "N/A", c["remark_id"]))
         if issue is None:
             raise ValueError(f"issue {c['remark_id']} does not exist")
         if issue.get("resolved"):
@@ -492,6 +519,9 @@ class Container:
             _fill(self._child(within[0], side, self.space), tokens, self.space, False)
         for x in within[1:]:
             unit.remove(x)
+            if local(x) == "segment":
+                for key in {(None, x.get("id")), (unit.get("id"), x.get("id"))}:
+                    self.segments[key].remove(x)
 
 
 def apply_changes(content: bytes, changes: list[dict]) -> tuple[bytes, list[dict]]:

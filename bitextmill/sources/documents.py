@@ -103,18 +103,19 @@ def po_entries(text: str) -> list[dict]:
 
 def po_units(text: str) -> list[dict]:
     """The first entry is the header; a plural is a second unit that refers to its entry by ``rid``."""
-    out = []
+    out, given = [], 0
     for n, e in enumerate(po_entries(text)):
         v = e["values"]
         attrs = {"metadata": e["comments"], **{k: x for k, x in v.items() if k not in ("msgid", "msgid_plural")}}
         if n == 0 and not v.get("msgid"):
             out.append({"unit_id": None, "key": "header", "text": v.get("msgstr", ""), "kind": "ignorable", "attrs": attrs})
             continue
-        unit = str(len([u for u in out if u["unit_id"]]) + 1)
+        given += 1
+        unit = str(given)
         out.append({"unit_id": unit, "key": v.get("msgctxt"), "text": v.get("msgid", ""), "kind": "segment", "attrs": attrs})
         if "msgid_plural" in v:
-            plural = str(int(unit) + 1)
-            out.append({"unit_id": plural, "key": v.get("msgctxt"), "text": v["msgid_plural"], "kind": "segment", "attrs": {"rid": unit}})
+            given += 1
+            out.append({"unit_id": str(given), "key": v.get("msgctxt"), "text": v["msgid_plural"], "kind": "segment", "attrs": {"rid": unit}})
     return out
 
 

@@ -1,8 +1,10 @@
 """New bilingual files from documents, and memories as exchange files."""
 
+import time
+
 from pyspark.sql import functions as F
 
-from bitextmill.sources import bilingual, convert
+from bitextmill.sources import bilingual, convert, documents
 
 from .test_sources import docx, files, text
 
@@ -28,3 +30,37 @@ def test_memories_to_exchange_files(spark):
     assert [t.equiv for t in rows[1].source if t.kind == "tag"] == ["<ph-1/>"]
     tmx = bilingual.tmx_units(convert.memory_to_tmx(tm, "en", "de", "20240101T000000Z")).select(F.col("tuv")[0]["text"]).collect()
     assert [r[0] for r in tmx] == ["a", "b &lt; <ph-1/>"]
+
+
+def test_many_changes_of_one_file_take_linear_time():
+    n = 20_000
+    token = {"kind": "text", "text": "x", "role": None, "id": None, "data_ref": None, "equiv": None}
+    for units in (1, n):  # all in one unit, and a unit each
+        rows = [{"unit_id": str(i * units // n), "segment_id": str(i), "kind": "segment", "source": [token], "target": [token | {"text": "old"}]} for i in range(n)]
+        content = bilingual.new_xliff(rows, "en", "de", "a.txt")
+        none = dict.fromkeys(("unit_id", "segment_id", "target", "state", "text", "type", "severity", "remark_id", "segments", "at", "by"))
+        changes = [none | {"ord": i, "op": "update", "segment_id": str(i % n), "target": [token | {"text": f"new {i}"}], "state": "translated", "at": "t", "by": "me"} for i in range(n)]
+        changes += [none | {"ord": n + 2 * i, "op": "comment", "segment_id": str(i), "text": "c"} for i in range(0, n, 4)]
+        began = time.perf_counter()
+        after, refused = bilingual.apply_changes(content, [*changes, none | {"ord": 9 * n, "op": "update", "segment_id": "none"}])
+        assert time.perf_counter() - began < 30 and [r["ord"] for r in refused] == [9 * n]
+        root = bilingual.parse(after)
+        assert sum(e.tag.endswith("}note") for e in root.iter()) == n // 4
+        assert [e.text for e in root.iter() if e.tag.endswith("}target")].count("old") == n  # each in its history
+
+
+def test_merged_segments_give_way_to_later_ones_of_their_id():
+    token = {"kind": "text", "text": "x", "role": None, "id": None, "data_ref": None, "equiv": None}
+    rows = [{"unit_id": u, "segment_id": s, "kind": "segment", "source": [token], "target": [token]} for u, s in (("a", "1"), ("a", "2"), ("b", "2"))]
+    none = dict.fromkeys(("unit_id", "segment_id", "target", "state", "text", "type", "severity", "remark_id", "segments", "at", "by"))
+    changes = [none | {"ord": 1, "op": "merge", "segments": ["1", "2"]}, none | {"ord": 2, "op": "update", "segment_id": "2", "target": [token | {"text": "later"}]}, none | {"ord": 3, "op": "update", "unit_id": "a", "segment_id": "2"}]
+    after, refused = bilingual.apply_changes(bilingual.new_xliff(rows, "en", "de", "a.txt"), changes)
+    assert [r["ord"] for r in refused] == [3] and b"later" in after
+
+
+def test_many_entries_take_linear_time():
+    text = "\n\n".join(f'msgid "entry {i}"\nmsgid_plural "entries {i}"\nmsgstr[0] ""' for i in range(40_000))
+    began = time.perf_counter()
+    units = documents.po_units(text)
+    assert time.perf_counter() - began < 10 and [u["unit_id"] for u in units] == [str(i + 1) for i in range(80_000)]
+    assert units[5]["attrs"] == {"rid": "5"}

@@ -20,7 +20,8 @@ def test_entry_without_the_llm_folders(tmp_path):
         shutil.rmtree(tmp_path / folder, ignore_errors=True)
     (tmp_path / "corpus_pipeline.py").unlink(missing_ok=True)
     code = "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q); assert not any(n.startswith('op') or n == 'pipeline' for n in q); assert 'leverage_report' in q and 'xliff_new' in q"
-    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    path = [p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p and os.path.realpath(p) != os.path.realpath(ROOT)]  # not this repository
+    env = os.environ | {"PYTHONPATH": os.pathsep.join(path)}
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120, env=env)
     assert out.returncode == 0, out.stderr[-800:]
     out = subprocess.run([sys.executable, "-m", "pytest", "tests", "--collect-only", "-q"], cwd=tmp_path, capture_output=True, text=True, timeout=180, env=env)
