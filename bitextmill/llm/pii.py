@@ -46,7 +46,7 @@ WIDE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:\(at\)|\[at\]|\{at\}|(?<=\x20)at(?=\x20))\x20?[A-Za-z0-9-]{1,64}(?:\x20?(?:\(dot\)|\[dot\]|\{dot\}|(?<=\x20)dot(?=\x20)|\.)\x20?[A-Za-z0-9-]{1,24}){1,4}",
     "card": r"(?<![0-9A-Za-z])[0-9]{4}(?<mark>[._/])[0-9]{4}\k<mark>[0-9]{4}\k<mark>[0-9]{1,7}(?![0-9A-Za-z])",
     "phone": r"(?<![0-9A-Za-z+.])(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.\x20])[0-9]{3}[-.\x20][0-9]{4}(?![0-9A-Za-z])",
-    "secret": r"(?<![A-Za-z0-9_])(?i:password|passwd|pwd|token|secret|api[_-]?key)\x20?[=:]\x20?\x22?[A-Za-z0-9+/_-]{8,128}+\x22?",
+    "secret": r"(?<![A-Za-z0-9_])(?i:password|passwd|pwd|token|secret|api[_-]?key)\x20?[=:]\x20?\x22?[A-Za-z0-9+/_.~=-]{8,}(?<!\.)\x22?",
 }
 #: What a text must hold for an address among them to be tried, or else for the others.
 AT_GATE = r"[(\[{\x20]at[)\]}\x20]\x20?[A-Za-z0-9-]{1,64}(?:\x20?[(\[{]dot[)\]}]|\x20dot\x20|\x20?\.\x20?[A-Za-z0-9-])"

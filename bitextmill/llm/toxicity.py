@@ -7,19 +7,21 @@ logistic model of whole words and word beginnings.
 
 The trigram counts cover every training text (never the held-out ones) and are a table of fixed size. The classifier is
 fitted on a bounded sample of ``rows`` labelled documents, by hash of id: features of the restored words whose log-odds
-stand out are selected, then weighted together. Scoring reads every word of every text.
+stand out are selected; then the sample is read again as every text is scored, with selected words of three letters and
+more also inside other words and rows of single letters, and what still stands out is weighted together. So a selected word
+that clean words often hold inside loses its weight. Scoring reads every word of every text.
 
-Decoding is linear in the length, so words and rows of single letters of any length are decoded whole. Words longer than
-LONGEST characters may be several run together, so words inside them count as well, as they do in rows of single letters.
+Decoding is linear in the length, so words and rows of single letters of any length are decoded whole.
 A single character repeated holds no word and stays as it is.
 Nulls: null and empty texts have no features and score by the bias alone. Without labelled rows every score is the
-prior, zero. Repeated rows repeat, empty tables give no rows, other columns are ignored.
+prior, zero. Ties: of sample rows that repeat an id the least text counts; a score of the threshold is toxic. Repeated rows repeat, empty tables give no rows, other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections.abc import Collection
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +29,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, lean, remainder, slices
+from .common import labelled_sample, lean, remainder, slices, staged
 
-SAMPLE_ROWS, LONGEST = 4000, 48
+SAMPLE_ROWS = 4000
 #: Letters of the character model: fixed values. 0 stands for everything else.
 LETTERS = "abcdefghijklmnopqrstuvwxyzäöüßéèêëàâáçñíìîïóòôúùûœæ"
 SYMBOL = {c: i + 1 for i, c in enumerate(LETTERS)}
@@ -138,24 +140,29 @@ def restored(word: str, model: CharacterModel) -> tuple[str, ...]:
     return tuple(dict.fromkeys(x for x in out if x))
 
 
+def whole(word: str) -> int:
+    """A hash of a word; its last byte is the word's length, or 0 for words that are not looked for inside others."""
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) & ~0xFF | (len(word) if 3 <= len(word) < 256 else 0)
+
+
 def features(word: str) -> list[int]:
     """Hashes of a restored word and of its beginnings."""
-    return [xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")), *(xxhash.xxh3_64_intdigest(f"{n}^{word[:n]}".encode("utf-8", "surrogatepass")) for n in BEGINNINGS if len(word) > n)]
+    return [whole(word), *(xxhash.xxh3_64_intdigest(f"{n}^{word[:n]}".encode("utf-8", "surrogatepass")) & ~0xFF for n in BEGINNINGS if len(word) > n)]
 
 
 class Reader:
-    """Features of whole texts, with a bounded memory of words seen. ``weights``: None keeps every feature."""
+    """Features of whole texts, with a bounded memory of words seen. ``weights``: the features that count, words among them
+    also inside longer words; None keeps every feature of whole words."""
 
-    def __init__(self, model: CharacterModel, weights: dict[int, float] | None = None):
-        self.model, self.weights = model, weights
+    def __init__(self, model: CharacterModel, weights: Collection[int] | None = None):
+        self.model, self.weights = model, None if weights is None else frozenset(weights)
+        self.lengths = sorted({f & 0xFF for f in self.weights or ()} - {0})
         self.known: dict[str, tuple[int, ...]] = {}
 
     def _of(self, word: str) -> tuple[int, ...]:
         read = restored(word, self.model)
         found = {f for r in read for f in features(r)}
-        if len(word) > LONGEST:
-            found.update(*map(self._inside, read))
-        return tuple(found if self.weights is None else found & self.weights.keys())
+        return tuple(found if self.weights is None else (found & self.weights).union(*map(self._inside, read)))
 
     def text(self, text: str | None) -> set[int]:
         if len(self.known) > 400_000:
@@ -183,13 +190,11 @@ class Reader:
     def _spaced(self, run: list[str]) -> set[int]:
         letters = decode("".join(run), self.model)
         out = set(features(letters))
-        return out if self.weights is None else (out | self._inside(letters)) & self.weights.keys()
+        return out if self.weights is None else (out & self.weights) | self._inside(letters)
 
     def _inside(self, letters: str) -> set[int]:
-        """Weighted words of 3 to 16 letters anywhere in a row of letters; when fitting, none."""
-        if self.weights is None:
-            return set()
-        each = (xxhash.xxh3_64_intdigest(letters[i : i + n].encode("utf-8", "surrogatepass")) for i in range(len(letters) - 2) for n in range(3, min(16, len(letters) - i) + 1))
+        """Words that count anywhere in a row of letters."""
+        each = (whole(letters[i : i + n]) for n in self.lengths for i in range(len(letters) - n + 1))
         return {h for h in each if h in self.weights}
 
 
@@ -250,15 +255,23 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
 
     table = share(counts)
 
-    def read(batches):
-        reader = Reader(CharacterModel(table.value))
-        for batch in slices(batches):
-            found = [np.array(sorted(reader.text(t.as_py())), np.uint64).tobytes() for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column(1)], ["features", "label"])
-
     sample = labelled_sample(docs, labels, label, modulus, held_out, rows).select(F.col("text").cast("string").alias("text"), "label")
-    found = sample.mapInArrow(lean(read), "features binary, label int").collect()  # `rows` rows at most
-    weights, bias = select_and_fit([(np.frombuffer(f, np.uint64), y) for f, y in sorted((bytes(r[0]), r[1]) for r in found)])
+    sample = staged(sample, "sample")  # `rows` rows at most
+
+    def fitted(counting) -> tuple[dict[int, float], float]:
+        given = share(counting)
+
+        def read(batches):
+            reader = Reader(CharacterModel(table.value), given.value)
+            for batch in slices(batches):
+                found = [np.array(sorted(reader.text(t.as_py())), np.uint64).tobytes() for t in batch.column(0)]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column(1)], ["features", "label"])
+
+        found = sample.mapInArrow(lean(read), "features binary, label int").collect()
+        return select_and_fit([(np.frombuffer(f, np.uint64), y) for f, y in sorted((bytes(r[0]), r[1]) for r in found)])
+
+    # whole words tell which count; then the same texts are read as all texts will be, with these words inside others
+    weights, bias = fitted(list(fitted(None)[0]))
     model = share((weights, bias))
     kind = docs.schema["doc_id"].dataType.simpleString()
 

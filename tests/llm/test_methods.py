@@ -451,3 +451,41 @@ def test_attention_tells_more_than_fixed_topics(spark, monkeypatch):
     monkeypatch.setattr(lm_scoring.Attention, "__init__", fixed)
     monkeypatch.setattr(lm_scoring.Attention, "NAMES", ("bias", "gates"))
     assert whole > mean() + 0.2
+
+
+@pytest.mark.parametrize("times", [1, 2, 4, 15])
+def test_words_inside_count_at_any_length(times):
+    model = toxicity.CharacterModel(toxicity.trigrams(["you are an idiot stupid loser the of and that this word " * 10]))
+    weighted = toxicity.features("idiot")[0]
+    reader = toxicity.Reader(model, [weighted])
+    assert weighted in reader.text("youareanidiot" * times) and weighted in reader.text("x" + "youarean1d10t" * times)
+    assert weighted in reader.text(("word" * 12)[: 43 - 5 * (times > 1)] + "idiot") and not reader.text("youareagoodone" * times)
+    long = "antidisestablishmentarianism"
+    assert reader.lengths == [5] and toxicity.Reader(model, [toxicity.features(long)[0]]).text(f"pseudo{long}s")
+
+
+def test_fit_and_score_read_the_same_features(spark):
+    texts = [(i, ("the word of badword and this" if i % 2 else "the word of notbadwordy and this") + f" n{i}") for i in range(120)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in texts], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.score(docs, labels).collect()}
+    inside = [got[i] for i in range(0, 120, 2)]  # clean texts hold the word inside another, and the fit has seen that
+    assert max(inside) < 0.9 and max(inside) - min(inside) < 0.2
+
+
+@pytest.mark.parametrize("size", [8, 127, 128, 129, 200, 2000])
+def test_whole_secrets_go(spark, size):
+    rng = np.random.default_rng(size)
+    token = "".join(rng.choice(list("abcXYZ0189+/_-~="), size - 1)) + "z"
+    dotted = token[: size // 2] + "." + token[size // 2 :]
+    rows = [(1, f"so login password: {token} is it", "en", "a"), (2, f"so login api_key={dotted}. And more", "en", "a"), (3, f'login secret="{token}" ok', "en", "a")]
+    found = {r.doc_id: r.spans for r in pii.find(frame(spark, rows)).collect()}
+    ends = {1: (19 + size - 0, token), 2: (0, dotted), 3: (0, token)}
+    for i, text, *_ in rows:
+        at = text.index(ends[i][1])
+        spans = [tuple(map(int, x.split(":")[1:])) for x in found[i].split(",") if x.startswith("secret")]
+        for a, b in spans:
+            assert a < at and b >= at + len(ends[i][1]) and b <= at + len(ends[i][1]) + 1
+    for r in pii.redacted(frame(spark, rows)).collect():
+        if found[r.doc_id]:
+            assert not any(ends[r.doc_id][1][k : k + 8] in r.text for k in range(0, size - 7, 8))
