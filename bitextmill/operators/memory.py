@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import tokens as T
 from ..functions.ranking import ranked
 from ..functions.similarity import diff_spans, ratio
 from ..functions.text import both_sides, strip_tags, words
+from ..schemas import TM_MAIN, TM_METADATA
 from .fuzzy import fuzzy_join, shared_characters, signature
 
 COLUMNS = ["id", "source", "target", "state", "time", "submitted_by"]
@@ -93,6 +94,16 @@ def lookup_segments(queries: DataFrame, memory: DataFrame, least: float = 0.5, a
     return hits.select("query_id", "id", "ratio", diff_spans(F.col("source"), F.col("entry")).alias("diff"), "source", "target", "state", "time", "submitted_by")
 
 
+def lookup_hits(queries: DataFrame, memory: DataFrame, least: float = 0.5, autojunk: bool = True) -> DataFrame:
+    """Fuzzy hits of segments (query_id, tokens) as segments: source and target as tokens with the query's own tags; tags that
+    the query lacks are left out. Hits are numbered by similarity, then id (``rank``)."""
+    asked = queries.select("query_id", "tokens", T.entry(F.col("tokens")).alias("entry"))
+    hits = lookup_segments(asked, memory, least, autojunk).join(asked.select("query_id", "tokens"), "query_id")
+    sides = {c: T.tokens(F.col(c), F.col("tokens"), safe=True) for c in ("source", "target")}
+    best = Window.partitionBy("query_id").orderBy(F.desc("ratio"), "id")
+    return hits.withColumns(sides).drop("tokens").withColumn("rank", F.row_number().over(best))
+
+
 def exact_hits(queries: DataFrame, memory: DataFrame) -> DataFrame:
     return queries.join(memory.select("source").distinct(), queries["entry"] == F.col("source"), "left_semi")
 
@@ -129,6 +140,12 @@ def lookup_terms(queries: DataFrame, termbase: DataFrame, least: float = 0.7, ca
     return total.where(F.col("score") >= least).join(termbase, "id").select("query_id", "score", "source", "target", "state", "time", "submitted_by").orderBy("query_id", F.desc("score"), F.asc_nulls_last("source"), F.asc_nulls_last("target"))
 
 
+def ranked_terms(hits: DataFrame) -> DataFrame:
+    """Hits of ``lookup_terms`` with their place for the query (``rank``): by score, then source and target."""
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("source"), F.asc_nulls_last("target"))
+    return hits.withColumn("rank", F.row_number().over(best))
+
+
 def exact_terms(queries: DataFrame, termbase: DataFrame) -> DataFrame:
     """Terms all of whose words a query holds (score one), by equi-join on words."""
     asked = queries.select("query_id", F.explode(F.array_distinct(words(F.lower(strip_tags(F.col("entry")))))).alias("word"))
@@ -137,6 +154,15 @@ def exact_terms(queries: DataFrame, termbase: DataFrame) -> DataFrame:
     return asked.join(each, "word").groupBy("query_id", "id", "_need").agg(F.count(F.lit(1)).alias("_has")).where("_has = _need").select("query_id", "id")
 
 
+def create(spark: SparkSession, path: str, src: str, trg: str, version: str = "0.16.0") -> None:
+    """An empty memory at ``path``: the tables metadata and main. Where there is one already, nothing is written."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        raise ValueError(f"{path} exists already")
+    spark.createDataFrame([], TM_MAIN).write.mode("errorifexists").parquet(f"{path}/main")
+    spark.createDataFrame([(src, trg, version)], TM_METADATA).write.mode("errorifexists").parquet(f"{path}/metadata")
+
+
 def save_version(memory: DataFrame, root: str) -> str:
     """Write an immutable version under ``root`` and return its path; readers take the path they were given."""
     path = f"{root.rstrip('/')}/version-{uuid.uuid4().hex}"

@@ -10,6 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where the files of a table are fewer, for work that a core does long on a row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file, doc_id, pos, entry): every line that is not blank; the file is the document's source."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("file"), F.posexplode(F.split("text", "\n")).alias("pos", "entry"))

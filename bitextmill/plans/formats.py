@@ -17,9 +17,10 @@ from ..functions import tokens as T
 from ..functions.text import html_escape
 from ..operators import memory, qa, review, segment
 from ..schemas import TOKENS
-from ..sources import bilingual, convert, documents, office, stores
+from ..sources import bilingual, convert, documents, office, stores, tmx
+from ..sources.scratch import shared_path
 from . import fixtures as D
-from .fixtures import SQL_LINES, SQL_QA_WORDS
+from .fixtures import SQL_LINES, SQL_QA_WORDS, sql_could_reach, sql_ratios
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -265,6 +266,14 @@ def tmx_round_trip(spark, sf_dir):
     return memory.from_units(bilingual.tmx_units(made), "en", "de").select("source", "target")
 
 
+@query("tmx_scan", f"WITH {SQL_LINES} SELECT entry AS source, '> ' || entry AS target FROM lines WHERE doc_id % 2 = 0")
+def tmx_scan(spark, sf_dir):
+    """A memory written as TMX files and read back, both unit by unit."""
+    path = shared_path(spark, "tmx")
+    tmx.write(D.memory(spark, sf_dir, 0), path, "en", "de", "20240101T000000Z")
+    return memory.from_units(tmx.units(spark, path), "en", "de").select("source", "target")
+
+
 @query("memory_to_xliff", f"WITH {SQL_LINES} SELECT doc_id * 100000 + pos AS id, entry AS source, '> ' || entry AS target FROM lines WHERE doc_id % 2 = 0")
 def memory_to_xliff(spark, sf_dir):
     rows = D.memory(spark, sf_dir, 0).withColumns({c: html_escape(F.col(c)) for c in ("source", "target")})
@@ -292,7 +301,8 @@ def xliff_import(spark, sf_dir):
 def xliff_import_upsert(spark, sf_dir):
     pairs = memory.from_segments(bilingual.segments_of(bilingual.opened(_xliff(spark, sf_dir))))
     pairs = pairs.withColumns({c: T.html_unescape(F.col(c)) for c in ("source", "target")})
-    return memory.upsert(D.memory(spark, sf_dir, 0), pairs, ["source", "target"], F.lit(0)).select("source", "target")
+    bucket = F.ascii("source").cast("long") * (1 << 21) + F.ascii(F.substring("source", 2, 1))  # by two characters, which rises with the source
+    return memory.upsert(D.memory(spark, sf_dir, 0), pairs, ["source", "target"], bucket).select("source", "target")
 
 
 # documents
@@ -326,7 +336,7 @@ def _packed(kind: str):
 
 
 def _office(spark, sf_dir, kind: str) -> DataFrame:
-    return D.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file_id"), _packed(kind)(F.col("text")).alias("content"))
+    return D.spread(D.table(spark, sf_dir, "documents")).select(F.col("doc_id").cast("string").alias("file_id"), _packed(kind)(F.col("text")).alias("content"))
 
 
 _SQL_PARAGRAPHS = f"WITH p AS (SELECT doc_id, i, parts[i] AS line FROM ({_SQL_SPLIT}) WHERE {{0}}) SELECT CAST(doc_id AS VARCHAR) AS file_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) AS INTEGER) AS unit_ord, {{1}} AS text FROM p"
@@ -398,6 +408,27 @@ def po_rebuilt(spark, sf_dir):
     return rows.select(F.col("path").alias("file_id"), "unit_id", "source", target.alias("target"))
 
 
+def _sql_wrapped(keyword: str, value: str) -> str:
+    fold = f"list_reduce(list_prepend('', regexp_extract_all({value}, '\\s|\\S+')), lambda a, p: a || p || CASE WHEN regexp_full_match(p, '\\s') AND length(string_split(a || p, chr(1))[-1]) >= 80 THEN chr(1) ELSE '' END)"
+    lines = f"string_split({fold}, chr(1))"
+    return f"CASE WHEN len({lines}) = 1 THEN ['{keyword} \"' || {value} || '\"'] ELSE list_concat(['{keyword} \"\"'], list_transform(list_filter({lines}, lambda l: l <> ''), lambda l: '\"' || l || '\"')) END"
+
+
+@query(
+    "po_lines",
+    f"""WITH {_SQL_TURNS}, p AS (SELECT file_id, unit_ord, role, {_SQL_PO} AS x FROM t),
+b AS (SELECT file_id, unit_ord, CASE WHEN role = 'user' THEN flatten([{_sql_wrapped('msgid', 'x')}, {_sql_wrapped('msgid_plural', "('s ' || x)")}, ['msgstr[0] ""'], {_sql_wrapped('msgstr[1]', "('Q ' || x)")}])
+ELSE flatten([['#: ' || id], {_sql_wrapped('msgid', 'x')}, {_sql_wrapped('msgstr', "('P ' || x)")}]) END AS lines FROM (SELECT p.*, t.id FROM p JOIN t USING (file_id, unit_ord))),
+f AS (SELECT file_id, flatten(list(list_prepend('', lines) ORDER BY unit_ord)) AS lines FROM b GROUP BY file_id)
+SELECT file_id, CAST(unnest(range(1, len(lines) + 5)) AS INTEGER) AS line_no, unnest(list_concat(['# head', 'msgid ""', 'msgstr "Content-Type: text\\\\n"'], lines, [''])) AS line FROM f""",
+)
+def po_lines(spark, sf_dir):
+    """The lines of PO files that were read and written again, long values wrapped, in their order."""
+    texts = _po(spark, sf_dir).select(F.col("file_id").alias("path"), F.decode("content", "UTF-8").alias("text"))
+    made = documents.rebuilt_documents(documents.document_units(texts, "po").withColumn("target", F.lit(None).cast("string")), "po")
+    return made.select(F.col("path").alias("file_id"), F.posexplode(F.split("text", "\n")).alias("_at", "line")).select("file_id", (F.col("_at") + 1).alias("line_no"), "line")
+
+
 @query("po_new_file", _SQL_PO_UNITS.format(", target"))
 def po_new_file(spark, sf_dir):
     """New bilingual files of PO files keep the translations that these have."""
@@ -507,6 +538,24 @@ def tags_mapped_back(spark, sf_dir):
     return _tagged(spark, sf_dir).select("p_partkey", T.shown(T.tokens(entry, F.col("tokens"), safe=True)).alias("shown"))
 
 
+@query(
+    "tm_hits_as_segments",
+    f"""WITH RECURSIVE q AS (SELECT p_partkey AS query_id, p_name || '<sc-1/>' || p_type || '<ec-1/><ph-2/>' || p_brand AS entry FROM part),
+tm AS (SELECT min(p_partkey) AS id, p_name || '<sc-1/>' || p_type || '<ec-1/><bx-5/>' AS source FROM part GROUP BY ALL),
+{sql_ratios("SELECT DISTINCT source AS a, entry AS b FROM tm, q WHERE 2 * least(length(source), length(entry)) >= 0.85 * (length(source) + length(entry)) AND " + sql_could_reach('source', 'entry', 0.85))}
+SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY ratio DESC, id) AS INTEGER) AS rank, replace(replace(replace(source, '<bx-5/>', ''), '<sc-1/>', '<sc-7/>'), '<ec-1/>', '<ec-7/>') AS source,
+'> ' || replace(replace(replace(source, '<bx-5/>', ''), '<sc-1/>', '<sc-7/>'), '<ec-1/>', '<ec-7/>') AS target FROM ratios JOIN tm ON a = source JOIN q ON b = entry WHERE ratio >= 0.85""",
+)
+def tm_hits_as_segments(spark, sf_dir):
+    """Fuzzy hits of segments with tags: both sides take the ids of the query's tags."""
+    parts = D.table(spark, sf_dir, "part")
+    entry = F.concat(html_escape(F.col("p_name")), F.lit("<sc-1/>"), html_escape(F.col("p_type")), F.lit("<ec-1/><bx-5/>"))
+    tm = parts.groupBy(entry.alias("source")).agg(F.min("p_partkey").alias("id"))
+    tm = tm.select("id", "source", F.concat(F.lit("&gt; "), "source").alias("target"), *(F.lit(None).cast("string").alias(c) for c in ("state", "time", "submitted_by")))
+    hits = memory.lookup_hits(_tagged(spark, sf_dir).select(F.col("p_partkey").alias("query_id"), "tokens"), tm, 0.85)
+    return hits.select("query_id", "id", "rank", T.shown(F.col("source")).alias("source"), T.shown(F.col("target")).alias("target"))
+
+
 @query("tags_shown", "SELECT p_partkey, p_name || '<sc-7/>' || p_type || '<ec-7/><br/>' || p_brand AS shown FROM part")
 def tags_shown(spark, sf_dir):
     return _tagged(spark, sf_dir).select("p_partkey", T.shown(F.col("tokens")).alias("shown"))

@@ -200,6 +200,12 @@ def term_lookup(spark, sf_dir):
     return memory.lookup_terms(queries, terms, 0.5).withColumn("score", F.round("score", 9))
 
 
+@query("term_lookup_ranks", f"SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source, target) AS INTEGER) AS rank FROM ({ORACLE_SQL['term_lookup']})")
+def term_lookup_ranks(spark, sf_dir):
+    """The same hits with their places: best first, then by source."""
+    return memory.ranked_terms(term_lookup(spark, sf_dir))
+
+
 @query(
     "term_exact_hits",
     f"""WITH terms AS (SELECT item_id AS id, list_distinct({SQL_WORDS.format("lower(text)")}) AS words FROM benchmark), each AS (SELECT id, len(words) AS need, unnest(words) AS word FROM terms WHERE len(words) > 0),

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import po
+
 UNITS = "array<struct<unit_id:string,key:string,text:string,kind:string,attrs:map<string,string>>>"
 
 
@@ -85,7 +87,7 @@ _SPACE = re.compile(r"(\s)")
 
 
 def po_entries(text: str) -> list[dict]:
-    """Entries of a PO file: comment lines and the values by keyword, continuation lines joined."""
+    """Entries of one PO text: comment lines and the values by keyword, continuation lines joined (tables: ``po.entries``)."""
     out = []
     for block in re.split(r"\n[ \t]*\n", text.replace("\r\n", "\n").strip("\n")):
         comments, values, last = [], {}, None
@@ -156,8 +158,8 @@ def rebuilt_po(units: list[dict], targets: dict[str, str]) -> str:
     return "\n\n".join(blocks) + "\n"
 
 
-_PARSERS = {"json": json_units, "po": po_units}
-_WRITERS = {"json": rebuilt_json, "po": rebuilt_po}
+_PARSERS = {"json": json_units}
+_WRITERS = {"json": rebuilt_json}
 
 
 def document_units(docs: DataFrame, kind: str, key: str = "path") -> DataFrame:
@@ -165,6 +167,8 @@ def document_units(docs: DataFrame, kind: str, key: str = "path") -> DataFrame:
 
     A document that cannot be parsed is one row with the cause in ``error``.
     """
+    if kind == "po":
+        return po.units(docs, key)
     parse = _PARSERS[kind]
 
     @F.pandas_udf(f"struct<units:{UNITS},error:string>")
@@ -183,6 +187,8 @@ def document_units(docs: DataFrame, kind: str, key: str = "path") -> DataFrame:
 
 def rebuilt_documents(units: DataFrame, kind: str, key: str = "path") -> DataFrame:
     """(key, text) from units (``document_units`` with a column target), one file a group."""
+    if kind == "po":
+        return po.rebuilt(units, key)
     write = _WRITERS[kind]
     column = units.schema[key].dataType.simpleString()
 

@@ -2,14 +2,15 @@
 
 import io
 import json
+import random
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from bitextmill.functions import tokens as T
-from bitextmill.operators import memory, review, segment
-from bitextmill.sources import bilingual, documents, languages, office, stores
+from bitextmill.operators import analyze, memory, review, segment
+from bitextmill.sources import bilingual, documents, languages, office, stores, tmx
 from bitextmill.streaming import lookup
 
 V2 = b"""<?xml version='1.0'?><xliff xmlns="urn:oasis:names:tc:xliff:document:2.0" version="2.1" srcLang="en" trgLang="de"><file id="1" original="a.txt">
@@ -181,3 +182,63 @@ def test_streams(spark, tmp_path):
     assert sorted((r.entry, r.target) for r in run(lookup.exact_hits(stream(), tm), "append", "hits")) == [("a b", "A B"), ("a b", "A B"), ("c", None)]
     assert [r.words for r in run(lookup.word_counts(stream()), "complete", "counts")] == [5]
     assert sorted(r.entry for r in run(lookup.fresh_entries(stream()), "append", "fresh")) == ["a b", "c"]
+
+
+def test_streamed_bands_equal_the_batch_report(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(rng.choice(["f", "g"]), f"entry {rng.randrange(20)} of {rng.randrange(3)}", i, f"2024-01-01 00:{i // 60:02}:{i % 60:02}") for i in range(300)]
+    frame = spark.createDataFrame(rows, "file string, entry string, ordinal long, ts string").withColumn("ts", F.to_timestamp("ts"))
+    for k in range(3):  # three batches in the order of time
+        frame.where((F.col("ordinal") >= 100 * k) & (F.col("ordinal") < 100 * k + 100)).coalesce(1).write.parquet(str(tmp_path / "in" / f"part{k}"))
+    tm = spark.createDataFrame([(f"entry {i} of 1", "x") for i in range(0, 20, 2)], "source string, target string")
+    stream = spark.readStream.schema("file string, entry string, ordinal long, ts timestamp").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").option("latestFirst", "false").parquet(str(tmp_path / "in"))
+    q = lookup.leverage(stream, tm).writeStream.outputMode("append").format("memory").queryName("bands").option("checkpointLocation", str(tmp_path / "bands")).start()
+    q.processAllAvailable()
+    q.stop()
+    streamed = {(r.file, r.band): r.words for r in spark.table("bands").groupBy("file", "band").agg(F.sum("words").alias("words")).collect()}
+    report = analyze.exact_report(frame.select("file", "entry", "ordinal"), tm.select(F.col("source").alias("entry")))
+    batch = {(r.file, b): r[b] for r in report.where("file <> 'Total'").collect() for b in ("Repetitions", "100%", "New") if r[b]}
+    assert streamed == batch and len(batch) == 6
+
+
+def test_large_exchange_files_are_split(spark, tmp_path):
+    inline = '<tmx version="1.4"><header datatype="xml"/><body>\n<tu creationdate="now"><tuv xml:lang="en"><seg>a &amp; <bpt>b</bpt>c &#228;</seg></tuv><note/><tuv xml:lang="de"><prop>p</prop><seg><ph/>d</seg></tuv><tuv xml:lang="fr"/></tu>\n<tu><tuv lang="en"><seg/></tuv></tu></body></tmx>'
+    (tmp_path / "one.tmx").write_text(inline, encoding="utf-8")
+    plain = [(v["lang"], v["text"], v["full"]) for u in bilingual.tmx_rows(inline.encode()) for v in u["tuv"]]
+    got = tmx.units(spark, str(tmp_path / "one.tmx")).collect()
+    assert [(v.lang, v.text, v.full) for u in sorted(got, key=lambda u: -len(u.tuv)) for v in u.tuv] == plain and {u.created for u in got} == {"now", None}
+    (tmp_path / "bad.tmx").write_text(inline.replace('"xml"', '"html"'), encoding="utf-8")
+    with pytest.raises(Exception, match="data type html is not read"):
+        tmx.units(spark, str(tmp_path / "bad.tmx")).collect()
+    rows = spark.range(60_000).select(F.concat(F.lit("<source> & "), "id").alias("source"), F.concat(F.repeat(F.lit("long "), 20), "id").alias("target")).union(spark.createDataFrame([("", "x"), (None, "y"), ("z", None)], "source string, target string"))
+    tmx.write(rows.coalesce(1), str(tmp_path / "large"), "en", "de", "20240101T000000Z")
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    try:
+        read = tmx.units(spark, str(tmp_path / "large"))
+        assert read.rdd.getNumPartitions() > 5
+        pairs = memory.from_units(read, "en", "de").select("source", "target")
+        assert pairs.count() == 60_000 and pairs.exceptAll(rows).count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+
+
+def test_memories_are_not_created_twice(spark, tmp_path):
+    memory.create(spark, str(tmp_path / "tm"), "en", "de")
+    assert spark.read.parquet(str(tmp_path / "tm" / "main")).columns == memory.COLUMNS and spark.read.parquet(str(tmp_path / "tm" / "metadata")).first().target == "de"
+    with pytest.raises(ValueError, match="exists already"):
+        memory.create(spark, str(tmp_path / "tm"), "en", "fr")
+
+
+def test_po_tables_equal_plain_texts(spark):
+    po = '# head\n# more\nmsgid ""\nmsgstr "Content-Type: x\\n"\n"second"\n\n\n#: file\n  msgctxt "menu"\nmsgid "Open"\nmsgstr ""\n \t\nmsgid "one file"\nmsgid_plural ""\n"many "\n"files"\nmsgstr[0] ""\nmsgstr[1] "x"\nmsgstr[2] "z"\nmsgstr[10] "y"\n\n# only a comment\n\n"lost"\n\nmsgid "' + "word  " * 40 + '"\nmsgstr "' + "x" * 200 + '"\n\nmsgid "last"'
+    texts = [("a", po), ("b", po.replace("\n", "\r\n")), ("c", ""), ("d", None), ("e", 'msgid "no header"\nmsgstr "k"'), ("f", "\n\n" + po + "\n\n")]
+    rows = documents.document_units(spark.createDataFrame(texts, "path string, text string"), "po").orderBy("path", "unit_ord").collect()
+    for path, text in texts:
+        want = documents.po_units(text or "")
+        got = [{"unit_id": r.unit_id, "key": r.unit_key, "text": r.source, "kind": r.kind, "attrs": r.attrs} for r in rows if r.path == path]
+        assert got == want and [r.unit_ord for r in rows if r.path == path] == list(range(1, len(want) + 1))
+    targets = {"1": "Auf", "3": "viele " * 30, "4": ""}
+    given = documents.document_units(spark.createDataFrame(texts, "path string, text string"), "po").withColumn("target", F.element_at(F.create_map(*(F.lit(x) for p in targets.items() for x in p)), F.coalesce("unit_id", F.lit("none"))))
+    made = {r.path: r.text for r in documents.rebuilt_documents(given, "po").collect()}
+    assert made == {path: documents.rebuilt_po(units, {k: v for k, v in targets.items() if v}) for path, text in texts if (units := documents.po_units(text or ""))}
