@@ -489,3 +489,39 @@ def test_whole_secrets_go(spark, size):
     for r in pii.redacted(frame(spark, rows)).collect():
         if found[r.doc_id]:
             assert not any(ends[r.doc_id][1][k : k + 8] in r.text for k in range(0, size - 7, 8))
+
+
+def test_remembered_words_keep_the_probability_of_all(spark):
+    p, counts = np.array([0.3, 0.2, 0.1, 0.15]), [3, 1, 0, 0]  # words of the trie; the rest is the end's and that of rare words
+    rows = [(n, sum(counts), float(p.sum()), math.log10(x)) for n, x in zip(counts, p)]
+    c = [F.col(x) for x in ("again", "others", "room", "p")]
+    got = [10 ** r[0] for r in spark.createDataFrame(rows, "again long, others long, room double, p double").select(lm_scoring.remembering(*c)).collect()]
+    assert sum(got) == pytest.approx(p.sum()) and got[0] > p[0] and got[2] < p[2]
+    none = spark.createDataFrame([(0, 0, 0.75, math.log10(0.3))], "again long, others long, room double, p double").select(lm_scoring.remembering(*c)).first()[0]
+    assert 10**none == pytest.approx(0.3)
+
+
+def test_words_of_the_trie_leave_room_for_the_others(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{min(int(rng.exponential(6)), 40)}" for _ in range(40)) for _ in range(40)]
+    seen = []
+    plain = lm_scoring.Attention.log10
+
+    def kept(self, inputs, scored, f, words):
+        out = plain(self, inputs, scored, f, words)
+        seen.append(out[2])
+        assert ((out[2] > 0) & (out[2] <= 1)).all() and len(out[2]) == (f["before"] >= 0).sum()
+        ends = 10 ** out[0][(f["ids"] == self.end) & (f["before"] >= 0)]
+        at = (f["ids"] == self.end)[f["before"] >= 0]
+        assert (out[2][at] <= 1 - ends + 1e-4).all()  # where the end comes, its own probability is no room for words
+        return out
+
+    counts = lm_scoring.word_counts(spark.createDataFrame([(t, False) for t in texts], "text string, held_out boolean"))
+    learn = frame(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    lexicon, model, *_ = lm_scoring.fit(learn, counts.where(~lm_scoring._is_passage()), queries.tokenizer_path(), 1000, 40, 8)
+    monkeypatch.setattr(lm_scoring.Attention, "log10", kept)
+    t = lexicon.value.tables()
+    _, ks, sizes = lexicon.value.read(texts)
+    f, lengths = lm_scoring.sequences(ks, sizes, t)
+    by_id, _, room = lm_scoring.score_ids(model.value, f, lengths, t)
+    assert len(room) == sizes.sum() and seen and 0.5 < room.mean() < 1
