@@ -23,6 +23,7 @@ import math
 import re
 from collections.abc import Collection
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -152,11 +153,19 @@ def features(word: str) -> list[int]:
 
 class Reader:
     """Features of whole texts, with a bounded memory of words seen. ``weights``: the features that count, words among them
-    also inside longer words; None keeps every feature of whole words."""
+    also inside longer words; None keeps every feature of whole words. ``names``: the words that count, if they are known;
+    then an automaton finds them inside others, else the hash of each part is looked up. Both find the same."""
 
-    def __init__(self, model: CharacterModel, weights: Collection[int] | None = None):
+    def __init__(self, model: CharacterModel, weights: Collection[int] | None = None, names: Collection[str] | None = None):
         self.model, self.weights = model, None if weights is None else frozenset(weights)
         self.lengths = sorted({f & 0xFF for f in self.weights or ()} - {0})
+        self.automaton = None
+        names = [] if names is None or weights is None else [(n, h) for n in names if (h := whole(n)) in self.weights and h & 0xFF]
+        if names:
+            self.automaton = ahocorasick.Automaton()
+            for name, h in names:
+                self.automaton.add_word(name, h)
+            self.automaton.make_automaton()
         self.known: dict[str, tuple[int, ...]] = {}
 
     def _of(self, word: str) -> tuple[int, ...]:
@@ -194,6 +203,8 @@ class Reader:
 
     def _inside(self, letters: str) -> set[int]:
         """Words that count anywhere in a row of letters."""
+        if self.automaton is not None:
+            return {h for _, h in self.automaton.iter(letters)}
         each = (whole(letters[i : i + n]) for n in self.lengths for i in range(len(letters) - n + 1))
         return {h for h in each if h in self.weights}
 
@@ -258,11 +269,11 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
     sample = labelled_sample(docs, labels, label, modulus, held_out, rows).select(F.col("text").cast("string").alias("text"), "label")
     sample = staged(sample, "sample")  # `rows` rows at most
 
-    def fitted(counting) -> tuple[dict[int, float], float]:
-        given = share(counting)
+    def fitted(counting, names) -> tuple[dict[int, float], float]:
+        given = share((counting, names))
 
         def read(batches):
-            reader = Reader(CharacterModel(table.value), given.value)
+            reader = Reader(CharacterModel(table.value), *given.value)
             for batch in slices(batches):
                 found = [np.array(sorted(reader.text(t.as_py())), np.uint64).tobytes() for t in batch.column(0)]
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column(1)], ["features", "label"])
@@ -271,13 +282,24 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
         return select_and_fit([(np.frombuffer(f, np.uint64), y) for f, y in sorted((bytes(r[0]), r[1]) for r in found)])
 
     # whole words tell which count; then the same texts are read as all texts will be, with these words inside others
-    weights, bias = fitted(list(fitted(None)[0]))
-    model = share((weights, bias))
+    chosen = frozenset(fitted(None, None)[0])
+    given = share(chosen)
+
+    def named(batches):
+        model = CharacterModel(table.value)
+        for batch in batches:
+            words = {w for t in batch.column(0).to_pylist() for w in (t or "").lower().split()}
+            found = {r for w in words for r in restored(w, model) if whole(r) in given.value}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["name"])
+
+    names = sorted(r[0] for r in sample.select("text").mapInArrow(lean(named), "name string").distinct().collect())  # at most as many as features
+    weights, bias = fitted(list(chosen), names)
+    model = share((weights, bias, names))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        weights, bias = model.value
-        reader = Reader(CharacterModel(table.value), weights)
+        weights, bias, names = model.value
+        reader = Reader(CharacterModel(table.value), weights, names)
         for batch in slices(batches):
             got = [1 / (1 + math.exp(-max(-30.0, min(30.0, bias + sum(sorted(map(weights.__getitem__, reader.text(t.as_py())))))))) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(got, pa.float64()), pa.array([int(p >= threshold) for p in got], pa.int32())], ["doc_id", "held_out", "score", "predicted"])

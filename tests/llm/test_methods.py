@@ -460,6 +460,9 @@ def test_words_inside_count_at_any_length(times):
     reader = toxicity.Reader(model, [weighted])
     assert weighted in reader.text("youareanidiot" * times) and weighted in reader.text("x" + "youarean1d10t" * times)
     assert weighted in reader.text(("word" * 12)[: 43 - 5 * (times > 1)] + "idiot") and not reader.text("youareagoodone" * times)
+    named = toxicity.Reader(model, [weighted], ["idiot", "fool"])
+    for text in ("youareanidiot" * times, "x" + "youarean1d10t" * times, "i d i o t s are h e r e", "idio t", "idiotidiot"):
+        assert named.text(text) == reader.text(text)
     long = "antidisestablishmentarianism"
     assert reader.lengths == [5] and toxicity.Reader(model, [toxicity.features(long)[0]]).text(f"pseudo{long}s")
 
