@@ -214,9 +214,14 @@ def guarded(opened_files: DataFrame) -> DataFrame:
     return opened_files.withColumn("refused", F.coalesce(F.col("f.error"), wrong))
 
 
+def _each(opened_files: DataFrame, rows: str, name: str, *more) -> DataFrame:
+    """A row of ``f`` each. Nulls are dropped behind the explosion: a filter inferred before it would repeat the reading of the file."""
+    return opened_files.select("file_id", *more, F.explode_outer(rows).alias(name)).where(F.col(name).isNotNull())
+
+
 def segments_of(opened_files: DataFrame) -> DataFrame:
     """Rows of ``SEGMENTS``: states and locks decoded by dialect."""
-    rows = opened_files.select("file_id", F.col("f.format").alias("_format"), F.explode("f.segments").alias("s")).select("file_id", "_format", "s.*")
+    rows = _each(opened_files, "f.segments", "s", F.col("f.format").alias("_format")).select("file_id", "_format", "s.*")
     null = F.lit(None).cast("string")
     v2, sdl = F.col("_format").isin("kxliff", "xliff2"), F.col("_format") == "sdlxliff"
     state = F.when(v2, decoded_state("v2", F.col("state"), F.col("sub_state"))).when(sdl, decoded_state("sdl", F.col("state"), null, F.col("lock"))).otherwise(decoded_state("v1", F.col("state")))
@@ -225,7 +230,7 @@ def segments_of(opened_files: DataFrame) -> DataFrame:
 
 
 def _remarks(opened_files: DataFrame, kind: str) -> DataFrame:
-    rows = opened_files.select("file_id", F.explode("f.remarks").alias("r")).where(F.col("r.kind") == kind)
+    rows = _each(opened_files, "f.remarks", "r").where(F.col("r.kind") == kind)
     return rows.select("file_id", "r.unit_ord", F.col("r.attrs").alias("a"), F.col("r.text").alias("text"))
 
 
@@ -243,7 +248,7 @@ def issues_of(opened_files: DataFrame) -> DataFrame:
 
 def history_of(opened_files: DataFrame) -> DataFrame:
     """Rows of ``HISTORY``: earlier versions of targets, oldest first by ``version_ord``."""
-    return opened_files.select("file_id", F.explode("f.history").alias("h")).select("file_id", "h.*")
+    return _each(opened_files, "f.history", "h").select("file_id", "h.*")
 
 
 def unit_attributes_of(opened_files: DataFrame) -> DataFrame:
