@@ -1,7 +1,6 @@
 """Bilingual XML files: XLIFF 1.2, XLIFF 2 and the annotated v2 dialect, SDLXLIFF and TMX, read into rows and written back.
 
-Files come as whole binaries (one row a file), are parsed once per row on the executors, and become the tables of
-``schemas``. Changes (targets, states, locks, comments, quality issues, merges, history) are written by applying rows to
+Files come as whole binaries (one row a file) and become the tables of ``schemas`` by Spark's own functions (``xliff``). Changes (targets, states, locks, comments, quality issues, merges, history) are written by applying rows to
 the original file, so everything else in it stays.
 """
 
@@ -18,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import decoded_state
 from ..schemas import TOKENS
+from . import xliff
 
 #: Name spaces: fixed values.
 XLIFF2, XLIFF1 = "urn:oasis:names:tc:xliff:document:2.0", "urn:oasis:names:tc:xliff:document:1.2"
@@ -28,10 +28,6 @@ ANNOTATIONS = ("history", "locQualityIssues", "internal-file")
 XML_LANG = "{http://www.w3.org/XML/1998/namespace}lang"
 MOST_BYTES = 256 << 20  #: larger files are refused, not parsed
 
-_SEGMENT = f"struct<unit_ord:int,unit_id:string,seg_ord:int,segment_id:string,kind:string,source:{TOKENS},target:{TOKENS},state:string,sub_state:string,lock:string,modified_on:string,modified_by:string>"
-_VERSION = f"struct<unit_ord:int,segment_id:string,version_ord:int,target:{TOKENS},state:string,modified_on:string,modified_by:string>"
-_REMARK = "struct<unit_ord:int,kind:string,attrs:map<string,string>,text:string>"
-FILE = f"struct<format:string,version:string,src_lang:string,trg_lang:string,original:string,segments:array<{_SEGMENT}>,remarks:array<{_REMARK}>,history:array<{_VERSION}>,internal:string,error:string>"
 
 
 def local(element: ET.Element) -> str:
@@ -164,7 +160,7 @@ def _segments_v1(root: ET.Element, sdl: bool) -> list[dict]:
 
 
 def file_rows(content: bytes) -> dict:
-    """Everything of one file, or the cause why it cannot be read."""
+    """Everything of one file that is held in memory, or the cause why it cannot be read (tables of files: ``opened``)."""
     out = {"format": None, "version": None, "src_lang": None, "trg_lang": None, "original": None, "segments": [], "remarks": [], "history": [], "internal": None, "error": None}
     try:
         root = parse(content)
@@ -194,13 +190,8 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def opened(files: DataFrame) -> DataFrame:
-    """``files`` (file_id, content) with the struct ``f`` of everything in it; each file is parsed once."""
-
-    @F.pandas_udf(FILE)
-    def run(content: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([file_rows(bytes(c)) for c in content])
-
-    return files.withColumn("f", run("content"))
+    """``files`` (file_id, content) with the struct ``f`` of everything in it, read without Python workers."""
+    return xliff.opened(files)
 
 
 def guarded(opened_files: DataFrame) -> DataFrame:
