@@ -152,15 +152,16 @@ def unit_parts(tokens: list[dict], segmentation: bool = True) -> list[tuple[str,
     return out
 
 
-def segmented(units: DataFrame, segmentation: bool = True) -> DataFrame:
-    """units (file_id, unit_ord, unit_id, source tokens) to rows of segments and ignorables, segments numbered per file."""
+def segmented(units: DataFrame, segmentation: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """units (file_id, unit_ord, unit_id, source tokens) to rows of segments and ignorables, segments numbered per file.
+    ``keep``: further columns of the units that their rows have."""
 
     @F.pandas_udf(PARTS)
     def parts(column: pd.Series) -> pd.Series:
         return column.map(lambda ts: [{"kind": k, "tokens": p} for k, p in unit_parts(list(ts) if ts is not None else [], segmentation)])
 
-    rows = units.select("file_id", "unit_ord", "unit_id", F.posexplode(parts("source")).alias("seg_ord", "part"))
-    rows = rows.select("file_id", "unit_ord", "unit_id", "seg_ord", "part.kind", F.col("part.tokens").alias("source"))
+    rows = units.select("file_id", "unit_ord", "unit_id", *keep, F.posexplode(parts("source")).alias("seg_ord", "part"))
+    rows = rows.select("file_id", "unit_ord", "unit_id", *keep, "seg_ord", "part.kind", F.col("part.tokens").alias("source"))
     return numbered(rows)
 
 

@@ -10,9 +10,10 @@ from ..functions import tokens as T
 from ..functions.ranking import ranked
 from ..operators import segment
 from ..schemas import TOKENS
-from .bilingual import new_tmx, new_xliff
+from .bilingual import ANNOTATED, XLIFF2, new_tmx
 from .documents import document_units, text_units
-from .office import PART, office_units
+from .office import PART, office_segments, office_units
+from .xliff import let
 
 DATA = "map<string,string>"
 
@@ -67,29 +68,77 @@ def new_segments(files: DataFrame, kind: str, segmentation: bool | None = None)
     original has become targets.
     """
     split = segmentation if segmentation is not None else kind != "po"
-    given = units(files, kind)
-    rows = segment.segmented(given.select("file_id", "unit_ord", "unit_id", "source"), split)
+    if kind in PART:  # a file is one row, so its segments are numbered where it is read
+        none = lambda t: F.lit(None).cast(t)
+        rows = office_segments(files, kind, split).withColumns({"attrs": none(DATA), "internal": none("string"), "target": none(TOKENS)})
+        return rows if split else rows.withColumn("segment_id", F.when(F.col("kind") == "segment", F.col("unit_id")))
+    rows = segment.segmented(units(files, kind).withColumnRenamed("target", "_target"), split, ("data", "attrs", "internal", "_target"))
     rows = rows if split else rows.withColumn("segment_id", F.when(F.col("kind") == "segment", F.col("unit_id")))
-    more = given.select("file_id", "unit_ord", "data", "attrs", "internal", F.col("target").alias("_target"))
     target = F.when(F.lit(not split) & (F.col("kind") == "segment"), F.col("_target"))
-    return rows.join(more, ["file_id", "unit_ord"]).withColumn("target", target).drop("_target")
+    return rows.withColumn("target", target).drop("_target")
+
+
+def _escaped(text: Column, attribute: bool = False) -> Column:
+    """Text as the standard library's writer puts it into an element, or into an attribute."""
+    more = (('"', "&quot;"), ("\r", "&#13;"), ("\n", "&#10;"), ("\t", "&#09;")) if attribute else ()
+    for plain, named in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), *more):
+        text = F.replace(text, F.lit(plain), F.lit(named))
+    return text
+
+
+def _always(name: str, value: Column) -> Column:
+    return F.concat(F.lit(f' {name}="'), _escaped(value, True), F.lit('"'))
+
+
+def _attribute(name: str, value: Column) -> Column:
+    """An attribute with the space before it; empty without a value."""
+    return F.when(F.coalesce(value, F.lit("")) != "", _always(name, value)).otherwise("")
+
+
+def _element(name: str, body: Column, attributes: Column | None = None) -> Column:
+    head = F.concat(F.lit(f"<{name}"), attributes) if attributes is not None else F.lit(f"<{name}")
+    return let(body, lambda b: F.when(b == "", F.concat(head, F.lit(" />"))).otherwise(F.concat(head, F.lit(">"), b, F.lit(f"</{name}>"))))
+
+
+def _content(tokens: Column) -> Column:
+    """Mixed content of a version-2 side."""
+
+    def shown(t: Column) -> Column:
+        tag = F.concat(F.lit("<"), t["tag"], _attribute("id", t["id"]), _attribute("dataRef", t["data_ref"]), _attribute("equiv", t["equiv"]), F.lit(" />"))
+        wrong = F.raise_error(F.concat(F.lit("tag "), F.coalesce(t["tag"], F.lit("None")), F.lit(" is not allowed here"))).cast("string")
+        return F.when(t["kind"] == "text", F.coalesce(_escaped(t["text"]), F.lit(""))).when(t["tag"].isin("sc", "ec", "ph"), tag).otherwise(wrong)
+
+    return F.array_join(F.transform(F.coalesce(tokens, F.array().cast(TOKENS)), shown), "")
 
 
 def to_xliff(segments: DataFrame, src: str, trg: str) -> DataFrame:
     """(file_id, content): one version-2 file for each file_id; ``target`` tokens, ``data``, ``attrs`` and ``internal`` are
-    optional. A bilingual file is one document, so its rows meet in one task, and nothing else does."""
+    optional. A bilingual file is one document, so its rows meet in one row; each row is written before, by Spark's own
+    functions and byte for byte as ``new_xliff`` writes it."""
     for c, kind in (("target", TOKENS), ("data", DATA), ("attrs", DATA), ("internal", "string")):
         if c not in segments.columns:
             segments = segments.withColumn(c, F.lit(None).cast(kind))
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["unit_ord", "seg_ord"])
-        listed = [{"unit_ord": r.unit_ord, "unit_id": r.unit_id, "segment_id": r.segment_id, "kind": r.kind, "source": list(r.source), "target": list(r.target) if r.target is not None else None, "data": r.data, "attrs": r.attrs} for r in rows.itertuples()]
-        internal = next((x for x in rows.internal if x is not None), None)
-        return pd.DataFrame({"file_id": [rows.file_id.iloc[0]], "content": [new_xliff(listed, src, trg, rows.file_id.iloc[0], internal)]})
-
-    columns = ["file_id", "unit_ord", "unit_id", "seg_ord", "segment_id", "kind", "source", "target", "data", "attrs", "internal"]
-    return segments.select(*columns).groupBy("file_id").applyInPandas(run, "file_id string, content binary")
+    listed = lambda entries, use: F.array_join(F.transform(entries, use), "")
+    attrs = F.coalesce("attrs", F.create_map().cast(DATA))
+    more = listed(F.filter(F.map_entries(attrs), lambda e: e["key"] != "id"), lambda e: F.concat(F.lit(" "), e["key"], F.lit('="'), _escaped(F.coalesce(e["value"], F.lit("")), True), F.lit('"')))
+    datum = lambda e: F.concat(F.lit('<data id="'), _escaped(e["key"], True), F.lit('"'), F.when(F.coalesce(e["value"], F.lit("")) == "", " />").otherwise(F.concat(F.lit(">"), _escaped(e["value"]), F.lit("</data>"))))
+    data = F.when(F.size(F.coalesce("data", F.create_map().cast(DATA))) > 0, F.concat(F.lit("<originalData>"), listed(F.map_entries("data"), datum), F.lit("</originalData>"))).otherwise("")
+    head = F.concat(F.lit("<unit"), _attribute("id", F.coalesce(F.try_element_at(attrs, F.lit("id")), F.col("unit_id"))), more, F.lit(">"), data)
+    target = F.when(F.size(F.coalesce("target", F.array().cast(TOKENS))) > 0, _element("target", _content(F.col("target")))).otherwise("")
+    part = F.concat(F.lit("<"), F.col("kind"), _attribute("id", F.col("segment_id")), F.lit(">"), _element("source", _content(F.col("source"))), target, F.lit("</"), F.col("kind"), F.lit(">"))
+
+    rows = segments.select("file_id", F.struct("unit_ord", "seg_ord", head.alias("head"), part.alias("part")).alias("row"), F.when(F.col("internal").isNotNull(), F.struct("unit_ord", "seg_ord", "internal")).alias("inside"))
+    begins = lambda all_: lambda r, i: F.when(i == 0, F.concat(r["head"], r["part"])).when(F.element_at(all_, i)["unit_ord"].eqNullSafe(r["unit_ord"]), r["part"]).otherwise(F.concat(F.lit("</unit>"), r["head"], r["part"]))
+    units = let(F.array_sort(F.collect_list("row")), lambda all_: F.array_join(F.transform(all_, begins(all_)), ""))
+    files = rows.groupBy("file_id").agg(units.alias("units"), F.min("inside")["internal"].alias("internal"))
+    name_space = F.when(F.col("internal").isNotNull(), F.lit(f' xmlns:note="{ANNOTATED}"')).otherwise("")
+    inside = F.when(F.col("internal").isNotNull(), _element("note:internal-file", _escaped(F.col("internal")), F.lit(' note:rel="self"'))).otherwise("")
+    languages = F.concat(_always("srcLang", F.lit(src)), _always("trgLang", F.lit(trg)))
+    content = F.concat(
+        F.lit(f"<?xml version='1.0' encoding='UTF-8'?>\n<xliff xmlns=\"{XLIFF2}\""), name_space, F.lit(' version="2.1"'), languages, F.lit('><file id="1"'), _always("original", F.col("file_id")), F.lit(">"),
+        inside, F.col("units"), F.lit("</unit></file></xliff>"),
+    )
+    return files.select("file_id", F.encode(content, "UTF-8").alias("content"))
 
 
 def _parts(memory: DataFrame, name: str, rows: int) -> DataFrame:

@@ -97,10 +97,15 @@ def _value(quoted: Column) -> Column:
 
 
 def attribute(mark: Column, name: str) -> Column:
-    """An attribute of the element that ``mark`` begins with, null if it has none of that name."""
+    """An attribute of the element that ``mark`` begins with, null if it has none of that name. Pass long elements' ``_head``."""
     skipped = r"""\A<[^\s/>]+(?:\s+[^\s=]+\s*=\s*(?:"[^"]*"|'[^']*'))*?"""
     pattern = rf"""{skipped}\s+{name}\s*=\s*("[^"]*"|'[^']*')"""
-    return _value(F.try_element_at(F.regexp_extract_all(mark, F.lit(pattern), F.lit(1)), F.lit(1)))
+    return _value(F.nullif(F.regexp_extract(mark, pattern, 1), F.lit("")))
+
+
+def _head(element: Column) -> Column:
+    """The mark that an element begins with."""
+    return F.regexp_extract(element, rf"(?s)\A{_MARK}", 0)
 
 
 def _attributes(element: Column) -> Column:
@@ -186,8 +191,16 @@ def _unit_v2(xml: Column, n: Column) -> Column:
     """Segments of a unit; earlier versions have segments of the same name, which are no part of the text."""
     pattern = rf"(?s)<{_PREFIX}(segment|ignorable)(?=[\s/>]){_INSIDE}(?:/>|>.*?</{_PREFIX}\1\s*>)"
     found = F.regexp_extract_all(F.regexp_replace(xml, _pattern("history"), ""), F.lit(pattern), F.lit(0))
-    a = attribute
-    return F.transform(found, lambda x, s: _row(n + 1, a(xml, "id"), s, a(x, "id"), _name(x), _side_v2(x, "source"), _side_v2(x, "target"), state=a(x, "state"), sub_state=a(x, "subState"), modified_on=a(x, "modified_on"), modified_by=a(x, "modified_by")))
+
+    def rows(id_: Column) -> Column:
+        """The unit's id and each segment's first mark are taken once, so a unit of many segments is not read for each of them."""
+        a = attribute
+        return F.transform(
+            F.transform(found, lambda x: F.struct(x.alias("x"), _head(x).alias("h"))),
+            lambda p, s: _row(n + 1, id_["v"], s, a(p["h"], "id"), _name(p["h"]), _side_v2(p["x"], "source"), _side_v2(p["x"], "target"), state=a(p["h"], "state"), sub_state=a(p["h"], "subState"), modified_on=a(p["h"], "modified_on"), modified_by=a(p["h"], "modified_by")),
+        )
+
+    return let(F.struct(attribute(_head(xml), "id").alias("v")), rows)
 
 
 def _marks(inside: Column) -> Column:
@@ -220,18 +233,18 @@ def _unit_v1(xml: Column, n: Column, sdl: Column) -> Column:
         def marked(m: Column, s: Column) -> Column:
             mid, defined = attribute(m, "mid"), F.when(sdl, _definition(z["xml"], attribute(m, "mid")))
             state = F.when(sdl, attribute(defined, "conf")).otherwise(attribute(found(mid), "state"))
-            return _row(n + 1, attribute(xml, "id"), s, mid, F.lit("segment"), of(z["source"], mid), F.coalesce(of(z["target"], mid), empty), state=state, lock=attribute(defined, "locked"))
+            return _row(n + 1, z["id"], s, mid, F.lit("segment"), of(z["source"], mid), F.coalesce(of(z["target"], mid), empty), state=state, lock=attribute(defined, "locked"))
 
         side = z["source"]
         state = attribute(F.try_element_at(_elements(z["xml"], "target"), F.lit(1)), "state")
-        single = _row(n + 1, attribute(xml, "id"), F.lit(0), F.lit("N/A"), F.lit("segment"), whole(side), whole(z["target"]), state=state)
+        single = _row(n + 1, z["id"], F.lit(0), F.lit("N/A"), F.lit("segment"), whole(side), whole(z["target"]), state=state)
         several = F.transform(z["segments"], marked)
         return F.when(F.size(z["segments"]) > 0, several).otherwise(F.filter(F.array(single), lambda _: ~sdl & side.isNotNull()))
 
     def parts(unit: Column) -> Column:
         none = F.array().cast("array<string>")
         return F.struct(
-            unit.alias("xml"), tokens_v1(F.coalesce(_inside(unit, "seg-source"), _inside(unit, "source"))).alias("source"), tokens_v1(_inside(unit, "target")).alias("target"),
+            unit.alias("xml"), attribute(_head(unit), "id").alias("id"), tokens_v1(F.coalesce(_inside(unit, "seg-source"), _inside(unit, "source"))).alias("source"), tokens_v1(_inside(unit, "target")).alias("target"),
             F.coalesce(_seg_marks(unit), none).alias("segments"), F.coalesce(_marks(_inside(unit, "target")), none).alias("marks"),
         )
 

@@ -2,8 +2,11 @@
 
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
+from bitextmill.functions import tokens as T
+from bitextmill.schemas import TOKENS
 from bitextmill.sources import bilingual, convert, documents
 
 from .test_sources import docx, files, text
@@ -64,3 +67,29 @@ def test_many_entries_take_linear_time():
     units = documents.po_units(text)
     assert time.perf_counter() - began < 10 and [u["unit_id"] for u in units] == [str(i + 1) for i in range(80_000)]
     assert units[5]["attrs"] == {"rid": "5"}
+
+
+def test_files_are_written_as_by_the_xml_writer(spark):
+    """Files written by Spark's functions have the bytes that the standard library's writer gives them."""
+    text, tag = lambda x: T._token(kind="text", text=x), lambda name, **k: T._token(kind="tag", tag=name, **k)
+    hard = "a & b < c > \"d\" 'e'\n\r\té\U0001f600]]>"
+    rows = [
+        {"file_id": "f" + hard, "unit_ord": 2, "unit_id": "u\"2", "seg_ord": 1, "segment_id": None, "kind": "ignorable", "source": [text(hard), text(""), text(None)], "target": [], "data": {"1": "<b a=\"1\"/>\n", "2": ""}, "attrs": {"keys": "x;y\n"}, "internal": None},
+        {"file_id": "f" + hard, "unit_ord": 2, "unit_id": "u\"2", "seg_ord": 0, "segment_id": "1", "kind": "segment", "source": [tag("sc", id="1", data_ref="1", equiv="<b>"), text("x"), tag("ec", id="1", data_ref=""), tag("ph")], "target": [text("y")], "data": {"1": "<b a=\"1\"/>\n", "2": ""}, "attrs": {"keys": "x;y\n"}, "internal": hard},
+        {"file_id": "f" + hard, "unit_ord": 10, "unit_id": None, "seg_ord": 0, "segment_id": "", "kind": "segment", "source": [], "target": [text("")], "data": None, "attrs": {}, "internal": "second"},
+        {"file_id": "g", "unit_ord": 1, "unit_id": "1", "seg_ord": 0, "segment_id": "1", "kind": "segment", "source": [text("")], "target": None, "data": {}, "attrs": None, "internal": None},
+    ]
+    schema = f"file_id string, unit_ord int, unit_id string, seg_ord int, segment_id string, kind string, source {TOKENS}, target {TOKENS}, data map<string,string>, attrs map<string,string>, internal string"
+    made = {r.file_id: bytes(r.content) for r in convert.to_xliff(spark.createDataFrame(rows, schema), "en", "d\"e").collect()}
+    for file in {r["file_id"] for r in rows}:
+        own = sorted((r for r in rows if r["file_id"] == file), key=lambda r: (r["unit_ord"], r["seg_ord"]))
+        assert made[file] == bilingual.new_xliff(own, "en", "d\"e", file, next((r["internal"] for r in own if r["internal"] is not None), None))
+    wrong = spark.createDataFrame([rows[3] | {"source": [tag("bx", id="1")]}], schema)
+    with pytest.raises(Exception, match="tag bx is not allowed here"):
+        convert.to_xliff(wrong, "en", "de").collect()
+
+
+def test_files_are_written_without_python_workers(spark, capsys):
+    rows = spark.range(3).select(F.lit("f").alias("file_id"), F.col("id").cast("int").alias("unit_ord"), F.lit("1").alias("unit_id"), F.lit(0).alias("seg_ord"), F.lit("1").alias("segment_id"), F.lit("segment").alias("kind"), convert.text_tokens(F.lit("x")).alias("source"))
+    convert.to_xliff(rows, "en", "de").explain()
+    assert "Pandas" not in capsys.readouterr().out
