@@ -6,11 +6,12 @@ content. They differ only where a boundary's text occurs earlier in the unit wit
 
 from __future__ import annotations
 
-import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from ..functions import workers
 from ..schemas import TOKENS
 
 #: Patterns of abbreviations and of sentence ends: fixed values. Groups: space before, word, marks, space after.
@@ -141,9 +142,6 @@ def _opens_inside(body: list[dict], at: int) -> bool:
     return t["tag"] == "ec" and bool(starts) and any(o["kind"] == "text" and (o["text"] or "").strip() for o in body[: starts[0]])
 
 
-PARTS = f"array<struct<kind:string,tokens:{TOKENS}>>"
-
-
 def unit_parts(tokens: list[dict], segmentation: bool = True) -> list[tuple[str, list[dict]]]:
     """Segments and ignorables of one unit, in order."""
     out = []
@@ -156,12 +154,14 @@ def segmented(units: DataFrame, segmentation: bool = True, keep: tuple[str, ...]
     """units (file_id, unit_ord, unit_id, source tokens) to rows of segments and ignorables, segments numbered per file.
     ``keep``: further columns of the units that their rows have."""
 
-    @F.pandas_udf(PARTS)
-    def parts(column: pd.Series) -> pd.Series:
-        return column.map(lambda ts: [{"kind": k, "tokens": p} for k, p in unit_parts(list(ts) if ts is not None else [], segmentation)])
+    given = units.select("file_id", "unit_ord", "unit_id", *keep, "source")
+
+    def run(*row):
+        *own, source = row
+        for n, (kind, tokens) in enumerate(unit_parts(source or [], segmentation)):
+            yield *own, n, kind, tokens
 
-    rows = units.select("file_id", "unit_ord", "unit_id", *keep, F.posexplode(parts("source")).alias("seg_ord", "part"))
-    rows = rows.select("file_id", "unit_ord", "unit_id", *keep, "seg_ord", "part.kind", F.col("part.tokens").alias("source"))
+    rows = workers.mapped(given, run, StructType([*given.schema.fields[:-1], *StructType.fromDDL(f"seg_ord int, kind string, source {TOKENS}")]))
     return numbered(rows)
 
 
@@ -177,7 +177,8 @@ def numbered(rows: DataFrame) -> DataFrame:
     before = Window.partitionBy("file_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("file_id", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = F.sum(segment_).over(Window.partitionBy("file_id", "_part").orderBy("unit_ord", "seg_ord"))
-    rows = rows.withColumn("_place", inside).join(sizes, ["file_id", "_part"])
+    # sizes are as many as files, so they are joined where they lie, never sent to all by way of the driver
+    rows = rows.withColumn("_place", inside).join(sizes.hint("shuffle_hash"), ["file_id", "_part"])
     number = (F.col("_before") + F.col("_place")).cast("long").cast("string")
     return rows.withColumn("segment_id", F.when(F.col("kind") == "segment", number)).drop("_part", "_place", "_before")
 

@@ -518,7 +518,7 @@ def _tagged(spark, sf_dir) -> DataFrame:
     null = F.lit(None).cast("string")
     text = lambda c: F.struct(F.lit("text").alias("kind"), null.alias("tag"), null.alias("id"), null.alias("data_ref"), null.alias("equiv"), F.col(c).alias("text"))
     tag = lambda name, id_, ref, equiv=None: F.struct(F.lit("tag").alias("kind"), F.lit(name).alias("tag"), F.lit(id_).alias("id"), F.lit(ref).alias("data_ref"), F.lit(equiv).cast("string").alias("equiv"), null.alias("text"))
-    return D.table(spark, sf_dir, "part").withColumn("tokens", F.array(text("p_name"), tag("sc", "7", "1"), text("p_type"), tag("ec", "7", "1"), tag("ph", "9", "2", "<br/>"), text("p_brand")).cast(TOKENS))
+    return D.spread(D.table(spark, sf_dir, "part")).withColumn("tokens", F.array(text("p_name"), tag("sc", "7", "1"), text("p_type"), tag("ec", "7", "1"), tag("ph", "9", "2", "<br/>"), text("p_brand")).cast(TOKENS))
 
 
 @query("entry_of_tags", f"SELECT p_partkey, {_SQL_ESC.format('p_name')} || '<sc-1/>' || {_SQL_ESC.format('p_type')} || '<ec-1/><ph-2/>' || {_SQL_ESC.format('p_brand')} AS entry FROM part")

@@ -93,3 +93,45 @@ def test_files_are_written_without_python_workers(spark, capsys):
     rows = spark.range(3).select(F.lit("f").alias("file_id"), F.col("id").cast("int").alias("unit_ord"), F.lit("1").alias("unit_id"), F.lit(0).alias("seg_ord"), F.lit("1").alias("segment_id"), F.lit("segment").alias("kind"), convert.text_tokens(F.lit("x")).alias("source"))
     convert.to_xliff(rows, "en", "de").explain()
     assert "Pandas" not in capsys.readouterr().out
+
+
+def test_workers_hold_few_rows(spark):
+    """What a row yields is sent on in small batches, so that a file of many rows is never held whole."""
+    from bitextmill.functions import workers
+
+    rows = workers.mapped(spark.range(1, numPartitions=1), lambda i: ((n,) for n in range(1000)), "n int")
+    sizes = rows.mapInArrow(lambda batches: batches, "n int")
+    assert rows.count() == 1000 and sizes.agg(F.sum("n")).first()[0] == 499_500
+    for name, most in workers.BATCH.items():
+        assert int(spark.conf.get(name).rstrip("b")) <= most
+
+
+def test_numbers_are_not_sent_by_the_driver(spark, capsys):
+    units = spark.range(20).select(F.col("id").cast("string").alias("file_id"), F.lit(1).alias("unit_ord"), F.lit("1").alias("unit_id"), convert.text_tokens(F.lit("It rained. It stopped.")).alias("source"))
+    rows = convert.segment.segmented(units)
+    rows.explain()
+    assert "Broadcast" not in capsys.readouterr().out
+    assert {r.segment_id for r in rows.where("kind = 'segment'").collect()} == {"1", "2"}
+
+
+def test_large_memories_are_several_files(spark):
+    """No file holds more rows than a task should; all come back."""
+    from bitextmill.sources import stores
+
+    tm = spark.range(25).select(F.lit("m").alias("file_id"), "id", F.concat(F.lit("s"), "id").alias("source"), F.lit("t").alias("target"), *(F.lit(None).cast("string").alias(c) for c in ("state", "time", "submitted_by")))
+    made = stores.write_memories(tm, "en", "de", most=10)
+    assert sorted(r.part for r in made.collect()) == [1, 2, 3]
+    assert sorted(r.id for r in stores.read_memories(made).collect()) == list(range(25))
+
+
+def test_models_are_written_as_their_rows_come(spark, capsys):
+    from bitextmill.sources import stores
+
+    letters = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "z")], "file_id string, letter string")
+    words = spark.createDataFrame([("a", "xy", 2), ("a", "yx", 3), ("c", "q", 1)], "file_id string, word string, count long")
+    made = stores.write_models(letters, words)
+    made.explain()
+    assert "collect_list" not in capsys.readouterr().out
+    assert {r.file_id: bytes(r.content) for r in made.collect()}.keys() == {"a", "b"}
+    back = stores.read_models(made)
+    assert sorted(map(tuple, back[0].collect())) == [("a", "x"), ("a", "y"), ("b", "z")] and sorted(map(tuple, back[1].collect())) == [("a", "xy", 2), ("a", "yx", 3)]
