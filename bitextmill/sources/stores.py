@@ -9,49 +9,77 @@ import json
 import sqlite3
 import tempfile
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path, PurePosixPath
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import workers
 from ..schemas import TM_MAIN
 
-MAIN = f"array<struct<{', '.join(c.replace(' ', ':') for c in TM_MAIN.split(', '))}>>".replace(", ", ",")
-STORE = f"struct<src:string,trg:string,version:string,rows:{MAIN}>"
-
 
 def version_of(text: str | None) -> tuple[int, int, int]:
     parts = [int(x) for x in (text or "0.0.1").split("-")[0].split(".")]
     return tuple([*parts, 0, 0, 0][:3])
 
 
-def memory_rows(content: bytes) -> dict:
-    """Languages, version and rows of a memory file; columns that older files lack are null."""
+def memory_lines(content: bytes) -> Iterator[tuple]:
+    """(source language, target language, version, row) of a memory file; columns that older files lack are null. A file without
+    rows gives one null row."""
     with tempfile.TemporaryDirectory() as folder:
         path = Path(folder, "memory")
         path.write_bytes(content)
-        with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as con:
+        con = sqlite3.connect(f"file:{path}?mode=ro", uri=True)
+        try:
             meta = con.execute("SELECT * FROM metadata").fetchone() or (None, None)
             have = [c[1] for c in con.execute("PRAGMA table_info(main)")]
             names = [c for c in ("id", "source", "target", "state", "time", "submitted_by") if c in have]
-            rows = [dict.fromkeys(("id", "source", "target", "state", "time", "submitted_by")) | dict(zip(names, r)) for r in con.execute(f"SELECT {', '.join(names)} FROM main ORDER BY rowid")]
-        con.close()
-    return {"src": meta[0], "trg": meta[1], "version": meta[2] if len(meta) > 2 else "0.0.1", "rows": rows}
+            languages, empty = (meta[0], meta[1], meta[2] if len(meta) > 2 else "0.0.1"), True
+            for r in con.execute(f"SELECT {', '.join(names)} FROM main ORDER BY rowid"):
+                empty = False
+                yield *languages, dict.fromkeys(("id", "source", "target", "state", "time", "submitted_by")) | dict(zip(names, r))
+            if empty:
+                yield *languages, None
+        finally:
+            con.close()
+
+
+def memory_rows(content: bytes) -> dict:
+    """Languages, version and rows of a memory file."""
+    found = list(memory_lines(content))
+    return dict(zip(("src", "trg", "version"), found[0])) | {"rows": [r[3] for r in found if r[3] is not None]}
+
+
+class MemoryFile:
+    """A memory file that is written row by row."""
+
+    def __init__(self, src: str, trg: str, version: str = "0.16.0"):
+        self.folder = tempfile.TemporaryDirectory()
+        self.path, self.n = Path(self.folder.name, "memory"), 0
+        self.con = sqlite3.connect(self.path)
+        self.con.execute("CREATE TABLE metadata (source TEXT, target TEXT, version TEXT)")
+        self.con.execute("INSERT INTO metadata VALUES (?, ?, ?)", (src, trg, version))
+        self.con.execute("CREATE TABLE main (id INTEGER PRIMARY KEY AUTOINCREMENT, source TEXT, target TEXT, state TEXT, time TEXT, submitted_by TEXT)")
+
+    def add(self, rows: list[tuple]) -> None:
+        self.con.executemany("INSERT INTO main VALUES (?, ?, ?, ?, ?, ?)", rows)
+        self.n += len(rows)
+
+    def content(self) -> bytes:
+        self.con.commit()
+        self.con.close()
+        with self.folder:
+            return self.path.read_bytes()
 
 
 def memory_bytes(rows: list[tuple], src: str, trg: str, version: str = "0.16.0") -> bytes:
     """A memory file of rows (id, source, target, state, time, submitted_by)."""
-    with tempfile.TemporaryDirectory() as folder:
-        path = Path(folder, "memory")
-        con = sqlite3.connect(path)
-        with con:
-            con.execute("CREATE TABLE metadata (source TEXT, target TEXT, version TEXT)")
-            con.execute("INSERT INTO metadata VALUES (?, ?, ?)", (src, trg, version))
-            con.execute("CREATE TABLE main (id INTEGER PRIMARY KEY AUTOINCREMENT, source TEXT, target TEXT, state TEXT, time TEXT, submitted_by TEXT)")
-            con.executemany("INSERT INTO main VALUES (?, ?, ?, ?, ?, ?)", rows)
-        con.close()
-        return path.read_bytes()
+    file = MemoryFile(src, trg, version)
+    file.add(rows)
+    return file.content()
 
 
 def read_memories(files: DataFrame, src: str | None = None, trg: str | None = None) -> DataFrame:
@@ -60,30 +88,39 @@ def read_memories(files: DataFrame, src: str | None = None, trg: str | None = No
     If both languages are given, files of another pair are an error.
     """
 
-    @F.pandas_udf(STORE)
-    def run(content: pd.Series) -> pd.DataFrame:
-        rows = [memory_rows(bytes(c)) for c in content]
-        for r in rows:
-            if src and trg and (r["src"], r["trg"]) != (src, trg):
-                raise ValueError(f"the file is for {r['src']} to {r['trg']}")
-        return pd.DataFrame(rows)
+    def run(file_id, content):
+        for a, b, version, row in memory_lines(content):
+            if src and trg and (a, b) != (src, trg):
+                raise ValueError(f"the file is for {a} to {b}")
+            if row is not None:
+                yield file_id, a, b, version, *row.values()
 
-    rows = files.withColumn("m", run("content")).select("file_id", F.col("m.src").alias("src_lang"), F.col("m.trg").alias("trg_lang"), F.col("m.version").alias("version"), F.explode("m.rows").alias("r"))
-    return rows.select("file_id", "src_lang", "trg_lang", "version", "r.*")
+    return workers.mapped(files.select("file_id", "content"), run, f"file_id string, src_lang string, trg_lang string, version string, {TM_MAIN}")
 
 
-def write_memories(rows: DataFrame, src: str, trg: str, version: str = "0.16.0") -> DataFrame:
-    """(file_id, content): a memory file for each file_id of ``rows`` (file_id and the columns of a memory).
+def write_memories(rows: DataFrame, src: str, trg: str, version: str = "0.16.0", most: int = 100_000) -> DataFrame:
+    """(file_id, part, content): memory files for each file_id of ``rows`` (file_id and the columns of a memory).
 
-    A file is one SQLite database, so its rows meet in one task; a memory that outgrows that is kept as a table.
+    A file is one SQLite database of at most ``most`` rows in id order; a larger memory is several files, ``part`` 1, 2, ...
+    Rows go from the sorted partition to the database as they come, so a task holds one file and a batch.
     """
+    bounded = workers.sorted_groups(rows.select("file_id", "id", "source", "target", "state", "time", "submitted_by"), ["id"])
 
-    def run(found: pd.DataFrame) -> pd.DataFrame:
-        found = found.sort_values("id").astype(object).where(found.notna(), None)
-        listed = [(int(r.id), r.source, r.target, r.state, r.time, r.submitted_by) for r in found.itertuples()]
-        return pd.DataFrame({"file_id": [found.file_id.iloc[0]], "content": [memory_bytes(listed, src, trg, version)]})
+    def run(batches):
+        name, part, file = None, 0, None
+        done = lambda: pa.RecordBatch.from_pydict({"file_id": [name], "part": [part], "content": [file.content()]}, pa.schema([("file_id", pa.string()), ("part", pa.int32()), ("content", pa.binary())]))
+        for batch in batches:
+            for found, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if file is not None and (found != name or file.n >= most):
+                    yield done()
+                    part, file = part if found == name else 0, None
+                if file is None:
+                    name, part, file = found, part + 1, MemoryFile(src, trg, version)
+                file.add([tuple(row)])
+        if file is not None:
+            yield done()
 
-    return rows.select("file_id", "id", "source", "target", "state", "time", "submitted_by").groupBy("file_id").applyInPandas(run, "file_id string, content binary")
+    return bounded.mapInArrow(run, "file_id string, part int, content binary")
 
 
 # checker models
@@ -109,30 +146,54 @@ def read_model(spark: SparkSession, content: bytes) -> tuple[DataFrame, DataFram
 def read_models(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(file_id, letter) and (file_id, word, count) of checker model files (file_id, content)."""
 
-    @F.pandas_udf("struct<letters:array<string>,words:array<struct<word:string,count:long>>>")
-    def run(content: pd.Series) -> pd.DataFrame:
-        out = []
-        for c in content:
-            with zipfile.ZipFile(io.BytesIO(bytes(c))) as z:
-                letters = sorted(set(z.read("letters.txt").decode("utf-8")) - {"\n"})
-                out.append((letters, [{"word": w, "count": int(n)} for w, n in csv.reader(io.StringIO(z.read("word_counter.csv").decode("utf-8")))]))
-        return pd.DataFrame(out, columns=["letters", "words"])
+    def letters(file_id, content):
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            for x in sorted(set(z.read("letters.txt").decode("utf-8")) - {"\n"}):
+                yield file_id, x
 
-    opened = files.withColumn("m", run("content"))
-    return opened.select("file_id", F.explode("m.letters").alias("letter")), opened.select("file_id", F.explode("m.words").alias("w")).select("file_id", "w.*")
+    def words(file_id, content):
+        with zipfile.ZipFile(io.BytesIO(content)) as z, z.open("word_counter.csv") as raw:
+            for w, n in csv.reader(io.TextIOWrapper(raw, "utf-8", newline="")):
+                yield file_id, w, int(n)
 
+    given = files.select("file_id", "content")
+    return workers.mapped(given, letters, "file_id string, letter string"), workers.mapped(given, words, "file_id string, word string, count long")
 
-def write_models(letters: DataFrame, words: DataFrame) -> DataFrame:
-    """(file_id, content) of checker models from (file_id, letter) and (file_id, word, count). Letters are few; a model's
-    words are one member of one file, so they meet in one task."""
-    by = letters.groupBy("file_id").agg(F.collect_set("letter").alias("letters"))
-    listed = words.groupBy("file_id").agg(F.collect_list(F.struct("word", "count")).alias("words"))
 
-    @F.pandas_udf("binary")
-    def run(letters: pd.Series, words: pd.Series) -> pd.Series:
-        return pd.Series([model_bytes(list(a), [(w["word"], int(w["count"])) for w in ws] if ws is not None else []) for a, ws in zip(letters, words)])
+def write_models(letters: DataFrame, words: DataFrame) -> DataFrame:
+    """(file_id, content) of checker models from (file_id, letter) and (file_id, word, count); without letters there is no model.
 
-    return by.join(listed, "file_id", "left").select("file_id", run("letters", "words").alias("content"))
+    A model is one file, so its words meet in one task, sorted; they go into the file as they come, none is held.
+    """
+    every = letters.groupBy("file_id").agg(F.array_join(F.array_sort(F.collect_set("letter")), "").alias("letters"))
+    first = every.select("file_id", F.lit(None).cast("long").alias("_less"), F.lit(None).cast("string").alias("word"), "letters")
+    rows = first.unionByName(words.select("file_id", (-F.col("count")).alias("_less"), "word", F.lit(None).cast("string").alias("letters")))
+    given = workers.sorted_groups(rows, ["_less", "word"])
+
+    def run(batches):
+        name, out, archive, member = None, None, None, None
+
+        def done() -> pa.RecordBatch:
+            member.close()
+            archive.close()
+            return pa.RecordBatch.from_pydict({"file_id": [name], "content": [out.getvalue()]}, pa.schema([("file_id", pa.string()), ("content", pa.binary())]))
+
+        for batch in batches:
+            for file_id, less, word, found in zip(*(c.to_pylist() for c in batch.columns)):
+                if less is None:  # the letters, which come first
+                    if out is not None:
+                        yield done()
+                    name, out = file_id, io.BytesIO()
+                    archive = zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED)
+                    archive.writestr("letters.txt", found)
+                    member = io.TextIOWrapper(archive.open("word_counter.csv", "w"), "utf-8", newline="")
+                    table = csv.writer(member)
+                elif out is not None and file_id == name:
+                    table.writerow((word, -less))
+        if out is not None:
+            yield done()
+
+    return given.mapInArrow(run, "file_id string, content binary")
 
 
 # packages
