@@ -17,7 +17,7 @@ from ..functions import tokens as T
 from ..functions.text import html_escape
 from ..operators import memory, qa, review, segment
 from ..schemas import TOKENS
-from ..sources import bilingual, convert, documents, office, stores, tmx
+from ..sources import bilingual, convert, documents, office, po, stores, tmx
 from ..sources.scratch import shared_path
 from . import fixtures as D
 from .fixtures import SQL_LINES, SQL_QA_WORDS, sql_could_reach, sql_ratios
@@ -401,9 +401,7 @@ def po_rebuilt(spark, sf_dir):
     texts = _po(spark, sf_dir).select(F.col("file_id").alias("path"), F.decode("content", "UTF-8").alias("text"))
     units = documents.document_units(texts, "po")
     made = documents.rebuilt_documents(units.withColumn("target", F.when(F.col("unit_id").isNotNull(), F.concat(F.lit("T "), "source"))), "po")
-    again = documents.document_units(made, "po").where("unit_id is not null")
-    first = again.select("path", F.col("unit_id").alias("_rid"), F.col("attrs")["msgstr[1]"].alias("_second"))
-    rows = again.withColumn("_rid", F.col("attrs")["rid"]).join(first, ["path", "_rid"], "left")
+    rows = po.seconds(documents.document_units(made, "po").where("unit_id is not null"), "path")
     target = F.coalesce("_second", F.col("attrs")["msgstr"], F.col("attrs")["msgstr[0]"])
     return rows.select(F.col("path").alias("file_id"), "unit_id", "source", target.alias("target"))
 

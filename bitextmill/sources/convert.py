@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tokens as T
 from ..functions.ranking import ranked
 from ..operators import segment
 from ..schemas import TOKENS
+from . import po
 from .bilingual import ANNOTATED, XLIFF2, new_tmx
 from .documents import document_units, text_units
 from .office import PART, office_segments, office_units
@@ -42,10 +43,10 @@ def units(files: DataFrame, kind: str) -> DataFrame:
         attrs = F.create_map(F.lit("key"), F.coalesce("unit_key", F.lit("")))
     elif kind == "po":
         rows = document_units(texts, kind).where("error is null and source is not null")
-        header = rows.where("unit_key = 'header' and kind = 'ignorable'").select("path", F.col("source").alias("_header"), F.coalesce(F.col("attrs")["metadata"], F.lit("")).alias("_comments"))
-        # plural forms: a unit that refers to another carries the second translation of that one
-        first = rows.select("path", F.col("unit_id").alias("_rid"), F.col("attrs")["msgstr[1]"].alias("_second"))
-        rows = rows.where("unit_key is null or unit_key <> 'header' or kind <> 'ignorable'").withColumn("_rid", F.col("attrs")["rid"]).join(first, ["path", "_rid"], "left").join(header, "path", "left")
+        is_header = F.coalesce((F.col("unit_key") == "header") & (F.col("kind") == "ignorable"), F.lit(False))
+        header = F.when(is_header, F.struct(F.col("source").alias("header"), F.coalesce(F.col("attrs")["metadata"], F.lit("")).alias("comments")))
+        # plural forms: a unit that refers to another carries the second translation of that one, which is the unit before it
+        rows = po.seconds(rows.withColumn("_header", F.max(header).over(Window.partitionBy("path"))).where(~is_header), "path").withColumn("_rid", F.col("attrs")["rid"])
         a = lambda k: F.col("attrs")[k]
         plural = F.col("_rid").isNotNull()
         single = F.when(plural, "msgid_plural").otherwise("msgid")
@@ -54,7 +55,7 @@ def units(files: DataFrame, kind: str) -> DataFrame:
         target = F.when(given != "", text_tokens(given))
         listed = {"keys": F.concat(single, F.lit(";"), form), "metadata": F.coalesce(a("metadata"), F.lit("")), "rid": F.col("_rid"), "msgctxt": a("msgctxt")}
         attrs = F.map_filter(F.create_map(*(x for k, v in listed.items() for x in (F.lit(k), v))), lambda k, v: v.isNotNull())
-        internal = F.when(F.col("_header").isNotNull(), F.concat("_comments", F.lit('\nmsgid ""\nmsgstr "'), "_header", F.lit('"\n')))
+        internal = F.when(F.col("_header").isNotNull(), F.concat("_header.comments", F.lit('\nmsgid ""\nmsgstr "'), "_header.header", F.lit('"\n')))
     else:
         raise ValueError(f"no bilingual file is made from {kind}")
     source = text_tokens(F.col("source")).alias("source")

@@ -1,5 +1,5 @@
 """PO files by Spark's own functions: blank lines part entries, lines without a keyword go on with the last value, long values
-are wrapped by a fold over their words.
+are cut into lines by one pattern.
 
 Nulls: a null text is an empty file; it has no units. Entries without a value or comment are none. Ties cannot be: entries
 keep the order of the file.
@@ -56,20 +56,24 @@ def units(docs: DataFrame, key: str) -> DataFrame:
     return rows.select(key, (F.col("_before") + F.col("_pos") + 1).cast("int").alias("unit_ord"), "u.unit_id", "u.unit_key", "u.source", "u.kind", "u.attrs", F.lit(None).cast("string").alias("error"))
 
 
-def wrapped(keyword: str | Column, value: Column, width: int = 80) -> Column:
-    """Lines of a keyword and its value; values of ``width`` and more are broken behind white space, after an empty one."""
-    keyword = F.lit(keyword) if isinstance(keyword, str) else keyword
-    none = F.struct(F.array().cast("array<string>").alias("lines"), F.lit("").alias("now"))
+def seconds(units: DataFrame, key: str) -> DataFrame:
+    """``units`` with ``_second``: of a unit that refers to the one before it, the second translation of that one."""
+    before = F.lag(F.struct("unit_id", F.col("attrs")["msgstr[1]"].alias("second"))).over(Window.partitionBy(key).orderBy("unit_ord"))
+    rows = units.withColumn("_before", before)
+    return rows.withColumn("_second", F.when(F.col("_before.unit_id") == F.col("attrs")["rid"], F.col("_before.second"))).drop("_before")
 
-    def more(sofar: Column, part: Column) -> Column:
-        now = F.concat(sofar["now"], part)
-        full = (F.length(now) >= width) & part.rlike(r"^\s$")
-        return F.struct(F.when(full, F.concat(sofar["lines"], F.array(now))).otherwise(sofar["lines"]).alias("lines"), F.when(full, F.lit("")).otherwise(now).alias("now"))
 
-    lines = F.aggregate(F.regexp_extract_all(value, F.lit(r"(\s|\S+)"), F.lit(1)), none, more, lambda x: F.concat(x["lines"], F.array(x["now"])))
+def wrapped(keyword: str | Column, value: Column, width: int = 80) -> Column:
+    """Lines of a keyword and its value; values of ``width`` and more are broken behind white space, after an empty one.
+
+    A line is the shortest stretch of ``width`` and more characters that ends in white space, so one pattern cuts the value
+    in linear time."""
+    keyword = F.lit(keyword) if isinstance(keyword, str) else keyword
+    broken = rf"(?s).{{{width - 1},}}?\s"
     single = F.array(F.concat(keyword, F.lit(' "'), value, F.lit('"')))
-    several = F.concat(F.array(F.concat(keyword, F.lit(' ""'))), F.transform(F.filter(lines, lambda x: x != ""), lambda x: F.concat(F.lit('"'), x, F.lit('"'))))
-    return F.when(F.size(lines) == 1, single).otherwise(several)
+    lines = F.transform(F.regexp_extract_all(value, F.lit(rf"{broken}|.+"), F.lit(0)), lambda x: F.concat(F.lit('"'), x, F.lit('"')))
+    several = F.concat(F.array(F.concat(keyword, F.lit(' ""'))), lines)
+    return F.when(F.length(value) < width, single).when(~value.rlike(rf"(?s)\A.{{{width - 1},}}\s"), single).otherwise(several)
 
 
 def rebuilt(units: DataFrame, key: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bitextmill.functions import tokens as T
 from bitextmill.schemas import TOKENS
-from bitextmill.sources import bilingual, convert, documents
+from bitextmill.sources import bilingual, convert, documents, po
 
 from .test_sources import docx, files, text
 
@@ -135,3 +135,25 @@ def test_models_are_written_as_their_rows_come(spark, capsys):
     assert {r.file_id: bytes(r.content) for r in made.collect()}.keys() == {"a", "b"}
     back = stores.read_models(made)
     assert sorted(map(tuple, back[0].collect())) == [("a", "x"), ("a", "y"), ("b", "z")] and sorted(map(tuple, back[1].collect())) == [("a", "xy", 2), ("a", "yx", 3)]
+
+
+def test_po_lines_are_cut_like_the_writer_does(spark):
+    """Values around the width, with white space of every kind at the break, without any, and ending at a break."""
+    values = ["", "a", "a" * 79, "a" * 80, "a" * 79 + " ", "a" * 78 + " b", "a" * 79 + " b", "a" * 90 + " " + "b" * 79 + "\t", "wort " * 60, "x" * 81 + "\n" + "y" * 5, " " * 200, "\U0001f600 " * 90]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, v string").select("i", F.array_join(po.wrapped("msgid", F.col("v")), "\n").alias("x"))
+    assert [r.x for r in df.orderBy("i").collect()] == [documents.po_wrapped("msgid", v) for v in values]
+    assert "aggregate(" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_po_files_are_read_once(spark):
+    """Headers and second translations come from the file's own units, not from joins that read it again."""
+    text = '# c\nmsgid ""\nmsgstr "H"\n\nmsgid "a"\nmsgid_plural "b"\nmsgstr[0] "x"\nmsgstr[1] "y"\n\nmsgid "z"\nmsgid_plural "w"\nmsgstr[0] ""\n\nmsgid "q"\nmsgstr "r"\n'
+    files = spark.createDataFrame([("f", bytearray(text.encode())), ("g", bytearray(b'msgid "only"\nmsgstr ""\n'))], "file_id string, content binary")
+    rows = convert.units(files, "po")
+    assert "Join" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.file_id, r.unit_id): (r.attrs.get("keys"), r.attrs.get("rid"), r.target and r.target[0].text, r.internal) for r in rows.collect()}
+    internal = '# c\nmsgid ""\nmsgstr "H"\n'
+    assert got == {
+        ("f", "1"): ("msgid;msgstr[0]", None, "x", internal), ("f", "2"): ("msgid_plural;msgstr[1]", "1", "y", internal), ("f", "3"): ("msgid;msgstr[0]", None, None, internal),
+        ("f", "4"): ("msgid_plural;msgstr[1]", "3", None, internal), ("f", "5"): ("msgid;msgstr", None, "r", internal), ("g", "1"): ("msgid;msgstr", None, None, None),
+    }
