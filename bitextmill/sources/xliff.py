@@ -115,7 +115,8 @@ def _attributes(element: Column) -> Column:
     pairs = F.arrays_zip(F.regexp_extract_all(head, pattern, F.lit(1)).alias("k"), F.regexp_extract_all(head, pattern, F.lit(2)).alias("v"))
     own = F.filter(pairs, lambda p: ~p["k"].rlike("^xmlns(:|$)"))
     named = F.transform(own, lambda p: F.struct(F.regexp_replace(p["k"], "^[^:]*:", "").alias("k"), _value(p["v"]).alias("v")))
-    return let(named, lambda all_: F.map_from_entries(F.filter(all_, lambda p, i: ~F.exists(F.slice(all_, F.lit(1), i), lambda q: q["k"] == p["k"]))))
+    first = lambda all_: F.filter(all_, lambda p, i: ~F.exists(F.slice(all_, F.lit(1), i), lambda q: q["k"] == p["k"]))
+    return let(named, lambda all_: F.map_from_entries(F.when(F.size(F.array_distinct(F.transform(all_, lambda p: p["k"]))) == F.size(all_), all_).otherwise(first(all_))))
 
 
 def _name(mark: Column) -> Column:
@@ -314,7 +315,7 @@ def _numbered(text: Column) -> Column:
 
 def opened(files: DataFrame) -> DataFrame:
     """``files`` (file_id, content) with the struct ``f`` of everything in it: format, version, languages, segments, remarks,
-    history, the original's text, or the cause why it cannot be read."""
+    history, the original's text, or the cause why it cannot be read; ``_format`` and ``_error`` are its fields once more."""
     text, problem = _text(F.col("content"))
     c, own = (lambda name: F.col("_x_" + name)), files.columns
     put = lambda rows, **more: rows.withColumns({"_x_" + k: v for k, v in more.items()})
@@ -350,11 +351,13 @@ def opened(files: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     units = lambda when, name, use: F.flatten(F.transform(F.when(fine & when, _elements(c("text"), name)).otherwise(none), use))
     lang = lambda new, before: F.when(fine, F.when(c("v2"), attribute(c("root"), new)).otherwise(attribute(c("first"), before)))
+    form = F.when(known, c("kind"))
     f = F.struct(
-        F.when(known, c("kind")).alias("format"), F.when(known, c("version")).alias("version"), lang("srcLang", "source-language").alias("src_lang"), lang("trgLang", "target-language").alias("trg_lang"),
+        form.alias("format"), F.when(known, c("version")).alias("version"), lang("srcLang", "source-language").alias("src_lang"), lang("trgLang", "target-language").alias("trg_lang"),
         F.when(known, attribute(c("first"), "original")).alias("original"),
         F.concat(units(c("v2"), "unit", _unit_v2), units(~c("v2"), "trans-unit", lambda x, n: _unit_v1(x, n, c("sdl")))).alias("segments"),
         units(c("v2"), "unit", _remarks).alias("remarks"), units(c("v2"), "unit", _history).alias("history"),
         F.when(fine & c("v2"), _words(_inside(c("text"), "internal-file"))).alias("internal"), c("error").alias("error"),
     )
-    return rows.select(*own, f.alias("f"))
+    # a struct of which two fields are read is computed whole, so what is read beside others stands on its own, too
+    return rows.select(*own, f.alias("f"), form.alias("_format"), c("error").alias("_error"))

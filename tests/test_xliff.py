@@ -86,3 +86,20 @@ def test_long_texts_and_many_units(spark):
     rows = bilingual.segments_of(xliff.opened(spark.createDataFrame([("f", bytearray(content))], "file_id string, content binary")))
     sizes = rows.select("unit_ord", F.length(F.element_at("source", 1)["text"]).alias("n")).collect()
     assert len(sizes) == 3001 and {r.n for r in sizes} == {350, 3_000_000} and max(r.unit_ord for r in sizes) == 3001
+
+
+def test_only_what_is_selected_is_read(spark):
+    """Two fields of a file at once do not compute all others: the guard folds no tokens, segments need no history and no remarks."""
+    opened = xliff.opened(spark.createDataFrame([("f.xliff", bytearray(b"<xliff/>"))], "file_id string, content binary"))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    guard = plan(bilingual.guarded(opened).select("file_id", "refused"))
+    assert "aggregate(" not in guard and "history" not in guard.replace("history|locQualityIssues", "")
+    segments = plan(bilingual.segments_of(opened))
+    assert "version_ord" not in segments and "originalData" not in segments and "aggregate(" in segments
+
+
+def test_repeated_attributes_keep_the_first(spark):
+    """Attributes that differ in prefix only: the first counts, with and without repeats."""
+    xml = ['<a k="1" b:k="2" c="3"/>', '<a k="1" c="3"/>', "<a/>"]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(xml)], "i int, x string").select("i", xliff._attributes(F.col("x")).alias("a")).orderBy("i").collect()
+    assert [r.a for r in rows] == [{"k": "1", "c": "3"}, {"k": "1", "c": "3"}, {}]
