@@ -87,18 +87,26 @@ def from_segments(segments: DataFrame) -> DataFrame:
     return pair.select(F.col("_e.entry").alias("source"), F.col("_e.other").alias("target"), "state", F.col("modified_on").alias("time"), F.col("modified_by").alias("submitted_by")).where(both_sides(F.col("source"), F.col("target")))
 
 
+def _similar(entries: DataFrame, memory: DataFrame, least: float, autojunk: bool) -> DataFrame:
+    """Rows of the memory that are similar to an entry, with ``entry`` and ``ratio``: however often a text is asked or held, it is
+    compared once. Joins build their tables from pairs: files tell little of the size of what is asked and held."""
+    pairs = fuzzy_join(entries.select("entry").distinct(), memory.select("source").distinct(), "entry", "source", least, autojunk)
+    return memory.join(pairs.hint("shuffle_hash"), "source")
+
+
 def lookup_segments(queries: DataFrame, memory: DataFrame, least: float = 0.5, autojunk: bool = True) -> DataFrame:
     """Fuzzy hits of ``queries`` (query_id, entry): ratio, character differences, both sides, in memory order by id."""
-    hits = fuzzy_join(queries.select("query_id", "entry"), memory.select("id", "source"), "entry", "source", least, autojunk)
-    hits = hits.join(memory.drop("source"), "id")
+    hits = queries.select("query_id", "entry").join(_similar(queries, memory, least, autojunk).hint("shuffle_hash"), "entry")
     return hits.select("query_id", "id", "ratio", diff_spans(F.col("source"), F.col("entry")).alias("diff"), "source", "target", "state", "time", "submitted_by")
 
 
 def lookup_hits(queries: DataFrame, memory: DataFrame, least: float = 0.5, autojunk: bool = True) -> DataFrame:
     """Fuzzy hits of segments (query_id, tokens) as segments: source and target as tokens with the query's own tags; tags that
     the query lacks are left out. Hits are numbered by similarity, then id (``rank``)."""
-    asked = queries.select("query_id", "tokens", T.entry(F.col("tokens")).alias("entry"))
-    hits = lookup_segments(asked, memory, least, autojunk).join(asked.select("query_id", "tokens"), "query_id")
+    # an entry is never null, which Spark does not know of a function in Python and would call it once more for
+    asked = queries.select("query_id", "tokens", F.coalesce(T.entry(F.col("tokens")), F.lit("")).alias("entry"))
+    hits = asked.join(_similar(asked, memory, least, autojunk).hint("shuffle_hash"), "entry")
+    hits = hits.select("query_id", "id", "ratio", diff_spans(F.col("source"), F.col("entry")).alias("diff"), "source", "target", "state", "time", "submitted_by", "tokens")
     sides = {c: T.tokens(F.col(c), F.col("tokens"), safe=True) for c in ("source", "target")}
     best = Window.partitionBy("query_id").orderBy(F.desc("ratio"), "id")
     return hits.withColumns(sides).drop("tokens").withColumn("rank", F.row_number().over(best))

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bitextmill.operators import analyze, fuzzy, memory, qa, review
+from bitextmill.sources.convert import text_tokens
 
 LINES = ["the cat sat on the mat", "the cat sat on a mat", "a dog ran", "the cat sat on the mat", "nothing like it at all", "the dog ran", "abcdefghij klm", "abcdefghij kln"]
 
@@ -85,6 +86,24 @@ def test_lookups(spark):
     assert {r.id for r in memory.exact_terms(queries, terms).collect()} == {1}
 
 
+def test_lookups_compare_each_text_once(spark, monkeypatch):
+    table = tm(spark, [(1, "the cat sat on the hat", "x"), (2, "the cat sat on the hat", "y"), (3, "quite different", "z")])
+    text = spark.createDataFrame([(i, "the cat sat on the mat" if i % 2 else "nothing like it") for i in range(40)], "query_id long, text string")
+    queries = text.select("query_id", text_tokens(F.col("text")).alias("tokens"), F.col("text").alias("entry"))
+    sizes, plain = [], memory.fuzzy_join
+
+    def kept(left, right, *more):
+        sizes.append((left.count(), right.count()))
+        return plain(left, right, *more)
+
+    monkeypatch.setattr(memory, "fuzzy_join", kept)
+    for hits in (memory.lookup_segments(queries, table, 0.75), memory.lookup_hits(queries.drop("entry"), table, 0.75)):
+        assert sorted((r.query_id, r.id) for r in hits.collect()) == [(i, k) for i in range(1, 40, 2) for k in (1, 2)]
+        # what is asked can be far larger than its files tell, so no task may hold it whole
+        assert "Broadcast" not in hits._jdf.queryExecution().executedPlan().toString()
+    assert sizes == [(2, 2), (2, 2)]
+
+
 def edits_of(word, letters):
     cuts = [(word[:i], word[i:]) for i in range(len(word) + 1)]
     return {word} | {a + b[1:] for a, b in cuts if b} | {a + b[1] + b[0] + b[2:] for a, b in cuts if len(b) > 1} | {a + c + b[1:] for a, b in cuts if b for c in letters} | {a + c + b for a, b in cuts for c in letters}
