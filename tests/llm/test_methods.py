@@ -9,6 +9,7 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -528,3 +529,13 @@ def test_words_of_the_trie_leave_room_for_the_others(spark, monkeypatch):
     f, lengths = lm_scoring.sequences(ks, sizes, t)
     by_id, _, room = lm_scoring.score_ids(model.value, f, lengths, t)
     assert len(room) == sizes.sum() and seen and 0.5 < room.mean() < 1
+
+
+def test_words_are_read_once_a_batch():
+    texts = [None, "", " \n", " lead and trail ", "A\x0bb\x0cc\rD\x1ce\x85f g　h", "ÀÉ İI", "and x\x00y and", "and " * 50]
+    plain = [(t or "").encode().lower().split() for t in texts]
+    words, place, sizes = lm_scoring.words_of(pa.array(texts, pa.string()))
+    assert sizes.tolist() == [len(w) for w in plain] and [words[i] for i in place.tolist()] == [x for w in plain for x in w]
+    assert words == list(dict.fromkeys(x for w in plain for x in w))
+    none, place, sizes = lm_scoring.words_of(pa.array([], pa.string()))
+    assert not none and not len(place) and not len(sizes)
