@@ -46,6 +46,17 @@ def test_report_equals_sequential_reading(spark, tm):
     assert analyze.report(segments.where("file = 'a'"), entries).count() == 1  # no grand total of one file
 
 
+def test_report_by_ordinals_of_several_columns(spark):
+    """Places of a text are never null, so neither is a field of the ordinal, but a memory's entries have no ordinal."""
+    docs = spark.createDataFrame([("a", "\n".join(LINES[:4])), ("b", "\n".join(LINES[4:] + ["a dog ran"]))], "file string, text string")
+    segments = docs.select("file", F.posexplode(F.split("text", "\n")).alias("pos", "entry")).select("file", "entry", F.struct("file", "pos").alias("ordinal"))
+    assert not segments.schema["ordinal"].dataType["pos"].nullable
+    entries = ["the cat sat on the hat", "a dog ran"]
+    got = {r["file"]: {c: r[c] for c in [*analyze.COLUMNS, "Total"]} for r in analyze.report(segments, spark.createDataFrame([(t,) for t in entries], "entry string")).collect()}
+    want = sequential([("a", LINES[:4]), ("b", LINES[4:] + ["a dog ran"])], entries)
+    assert {f: got[f] for f in want} == want
+
+
 def test_fuzzy_join_equals_all_pairs(spark):
     queries = spark.createDataFrame([(x,) for x in [*LINES, ""]], "q string").distinct()
     candidates = spark.createDataFrame([(x,) for x in [*LINES, "", "cat"]], "c string").distinct()
