@@ -279,8 +279,11 @@ def txt_units(spark, sf_dir):
 def txt_rebuild(spark, sf_dir):
     from ..sources.documents import rebuilt_text, text_units
 
-    units = text_units(D.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
-    return rebuilt_text(units.withColumn("target", F.lit(None).cast("string")), "doc_id")
+    docs = D.table(spark, sf_dir, "documents").select("doc_id", "text")
+    # each row is a document of its own, whatever its id; null and empty texts have no units
+    rows = docs.select(F.struct(F.monotonically_increasing_id().alias("row"), "doc_id").alias("doc"), "text")
+    units = text_units(rows, "doc", "text").withColumn("target", F.lit(None).cast("string"))
+    return rebuilt_text(units, "doc").select("doc.doc_id", "text").unionByName(docs.where("text is null or text = ''"))
 
 
 @query(

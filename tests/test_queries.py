@@ -38,6 +38,16 @@ def test_query_equals_sql(spark, duck, name):
     assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(names, cursor.fetchall())
 
 
+def test_texts_are_rebuilt_row_by_row(spark, tmp_path):
+    """Ids that repeat, null ids, and texts without units."""
+    made = [(1, "a\nb"), (1, "c\n"), (2, None), (3, ""), (None, "d\n\n e"), (None, "f"), (4, "\n"), (5, " "), (1, "a\nb")]
+    spark.createDataFrame(made, "doc_id long, text string").repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    want = duckdb.sql(registry.ORACLE_SQL["txt_rebuild"].replace("documents", f"'{tmp_path}/documents.parquet/*.parquet'")).fetchall()
+    got = registry.QUERIES["txt_rebuild"](spark, str(tmp_path))
+    assert got.columns == ["doc_id", "text"]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want)) == sorted(map(repr, made))
+
+
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
 def test_other_queries_run(spark, name):
     assert registry.QUERIES[name](spark, DIR).count() >= 0
