@@ -247,6 +247,34 @@ def test_blocks_of_items_find_the_same(spark, docs, bench, monkeypatch):  # noqa
     assert sorted((r.doc_id, r.item_id, r.common_words) for r in decontamination.contaminated(docs, bench).collect()) == want and want
 
 
+@pytest.mark.parametrize("dense", [1 << 24, 64])
+def test_latent_space_rests_on_every_document(spark, monkeypatch, dense):
+    """Sums over the passages of more documents than a sample would hold, repeated and null ids too, against plain ones."""
+    monkeypatch.setattr(decontamination, "DENSE", dense)
+    monkeypatch.setattr(decontamination, "PART", 200)
+    rng, pool = np.random.default_rng(3), [f"w{i}" for i in range(60)]
+    texts = [" ".join(pool[j] for j in (rng.random(rng.integers(0, 90)) ** 2 * 60).astype(int)) for _ in range(2000)] + ["", "none of these"]
+    docs = spark.createDataFrame([(None if i % 7 == 0 else i // 2, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    items = [[decontamination.Item(k, [w.encode() for w in pool[a + k : a + k + 20]]) for k in range(5)] for a in (0, 25)]
+    spaces = [decontamination.Space(i) for i in items]
+    decontamination._frequencies(docs, spaces)
+    moments = decontamination._moments(docs, spaces)
+    for block, space in enumerate(spaces):
+        want, n = np.zeros((space.size, space.size)), 0
+        for t in texts:
+            words = decontamination.words_of(t)
+            for f, v in space.rows(words, np.arange(0, len(words), decontamination.PASSAGE)):
+                want[np.ix_(f, f)] += np.outer(v, v)
+                n += len(f) > 0
+        got = np.zeros(want.size + 200)
+        rows = moments.where(F.col("block") == block).collect()
+        for r in rows:
+            if r.k >= 0:
+                got[r.k * decontamination.part_rows(space.size) * space.size + np.frombuffer(r.cells, np.int32)] += np.frombuffer(r.sums)
+        got = got[: want.size].reshape(want.shape)
+        assert np.allclose(got + got.T, want, rtol=1e-5) and sum(r.n for r in rows if r.k < 0) == n > 3000
+
+
 def test_screen_leaves_out_nothing_that_verifies():
     rng = np.random.default_rng(0)
     pool = [b"w%d" % i for i in range(60)]
