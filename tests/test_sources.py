@@ -242,3 +242,30 @@ def test_po_tables_equal_plain_texts(spark):
     given = documents.document_units(spark.createDataFrame(texts, "path string, text string"), "po").withColumn("target", F.element_at(F.create_map(*(F.lit(x) for p in targets.items() for x in p)), F.coalesce("unit_id", F.lit("none"))))
     made = {r.path: r.text for r in documents.rebuilt_documents(given, "po").collect()}
     assert made == {path: documents.rebuilt_po(units, {k: v for k, v in targets.items() if v}) for path, text in texts if (units := documents.po_units(text or ""))}
+
+
+def test_a_formatting_is_written_and_read_once_a_file(monkeypatch):
+    """2,000 paragraphs of one formatting: its XML was written for each of them, and parsed for each of their tags."""
+    w, calls = "http://schemas.openxmlformats.org/wordprocessingml/2006/main", {"written": 0, "read": 0}
+    body = "".join(f'<w:p><w:r><w:rPr><w:b/></w:rPr><w:t>a{i}</w:t></w:r><w:r><w:t>b</w:t><w:br/></w:r></w:p>' for i in range(2000))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body>{body}</w:body></w:document>')
+    written, read = office._xml, office.ET.fromstring
+
+    def counted(name, use):
+        def run(x):
+            calls[name] += 1
+            return use(x)
+
+        return run
+
+    monkeypatch.setattr(office, "_xml", counted("written", written))
+    units = office.units_of(out.getvalue(), "docx")
+    assert calls["written"] == 2 and all(len(u["data"]) == 2 for u in units) and len(units) == 2000
+    monkeypatch.setattr(office.ET, "fromstring", counted("read", read))
+    made = office.rebuilt(out.getvalue(), "docx", {u["unit_ord"]: u["tokens"] for u in units})
+    assert calls["read"] <= 4
+    assert office.units_of(made, "docx") == units and made != out.getvalue()
+    with pytest.raises(KeyError):
+        office.rebuilt(out.getvalue(), "odt", {})
